@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, sharding
+from . import chat, decontaminate, line_dedup, mixing, sharding, token_output
 
 QUERIES = {
     "op1_mix_to_weights": mixing.op1_mix_to_weights,
+    "op2_token_ids": token_output.op2_token_ids,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_chat_format": chat.op4_chat_format,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op10_shard_best_fit": sharding.op10_shard_best_fit,
 }
 ORACLE_SQL = {
     "op1_mix_to_weights": mixing.OP1_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
+    "op8_line_dedup": line_dedup.OP8_SQL,
 }
