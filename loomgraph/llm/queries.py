@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_dedup, mixing, near_dup, sharding, token_output
+from . import chat, decontaminate, fingerprints, language, line_dedup, mixing, near_dup, quality, sharding, token_output
 
 QUERIES = {
     "op1_mix_to_weights": mixing.op1_mix_to_weights,
     "op2_token_ids": token_output.op2_token_ids,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_chat_format": chat.op4_chat_format,
+    "op5_quality_kneser_ney": quality.op5_quality_kneser_ney,
+    "op6_language_id": language.op6_language_id,
     "op7_minhash_near_dup": near_dup.op7_minhash_near_dup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_shard_best_fit": sharding.op10_shard_best_fit,
 }
 ORACLE_SQL = {

@@ -147,12 +147,17 @@ def narrow(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", byte_size(text).alias("size"), crc.alias("text_crc32"), F.xxhash64(text.isNull(), text).alias("__text"))
 
 
-def op10_shard_best_fit(spark, sf_dir: str, shards: int = 16) -> DataFrame:
-    rows = stored(narrow(spark.read.parquet(f"{sf_dir}/documents.parquet")), "rows")
+def report(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard; one row per row of ``docs``."""
+    rows = stored(narrow(docs), "rows")
     placed = shard(rows, ["__text", "text_crc32"], "size", shards)
     return numbered(stored(placed, "placed"), "shard", ["doc_id", "__text"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_shard_best_fit(spark, sf_dir: str) -> DataFrame:
+    return report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
     """Writes whole documents to ``path``/shard=N, each shard in order of doc_id over several files."""
     text = F.col("text")
