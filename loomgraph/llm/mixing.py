@@ -67,7 +67,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum("source_size").over(everything) * float(share) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     per = per.withColumn("level", level)
-    reached = F.min(F.when(F.col("weight") * F.col("level") < F.col("most"), F.col("level"))).over(everything)
+    # the level of the first source that isn't capped; those after it come out lower
+    reached = F.max(F.when(F.col("weight") * F.col("level") < F.col("most"), F.col("level"))).over(everything)
     per = per.withColumn("reached", reached)
     return per.select("__source", "source_size", F.coalesce(F.least("most", F.col("weight") * F.col("reached")), F.col("most")).alias("target"), "class")
 
@@ -132,7 +133,7 @@ ranked AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) %
 weighed AS (SELECT *, CASE class WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, source_size * 2.0::DOUBLE AS most FROM ranked),
 levels AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
            / sum(weight) OVER (ORDER BY most / weight, source NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
-reached AS (SELECT *, min(CASE WHEN weight * level < most THEN level END) OVER () AS reached FROM levels),
+reached AS (SELECT *, max(CASE WHEN weight * level < most THEN level END) OVER () AS reached FROM levels),
 targets AS (SELECT source, source_size, class, coalesce(least(most, weight * reached), most) AS target FROM reached),
 placed AS (SELECT r.*, t.source_size, t.target, t.class,
              CAST(sum(size) OVER (PARTITION BY r.source ORDER BY o, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size + size / 2.0::DOUBLE AS middle
