@@ -205,7 +205,8 @@ def report(docs: DataFrame, least_percent: int = 75, bands: int = BANDS, rows: i
     salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
     wanted = pairs.join(salts, "hub").select(F.col("member").alias("doc_id"), "hub", "member", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"))
     own = salts.select(F.col("hub").alias("doc_id"), "hub", F.lit(None).cast("long").alias("member"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    stars = texts.join(wanted.unionByName(own), "doc_id").select("hub", "salt", "member", "text")
+    # the list of candidates grows with the corpus: never broadcast, whatever its size looks like
+    stars = texts.hint("merge").join(wanted.unionByName(own).hint("merge"), "doc_id").select("hub", "salt", "member", "text")
     stars = stars.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("member"))
     links = stars.mapInArrow(confirmed(least_percent), "hub long, member long")
     groups = components(stored(links, "confirmed"))
