@@ -285,8 +285,9 @@ def corpus_ranks(docs: DataFrame) -> np.ndarray:
 
 def report(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), text_key(F.col("text")).alias("mark"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # the least key of each range: a row per shuffle partition
-    keys = rows.select("key", "mark").repartitionByRange("key", "mark")
+    # the least key of each range: two ranges for each partition of the scan, so that a task's share stays the same
+    scanned = docs.select(F.spark_partition_id().alias("p")).distinct().count()
+    keys = rows.select("key", "mark").repartitionByRange(max(1, 2 * scanned), "key", "mark")
     bounds = sorted((r["b"]["key"], r["b"]["mark"]) for r in keys.groupBy(F.spark_partition_id()).agg(F.min(F.struct("key", "mark")).alias("b")).collect())
     if not bounds:
         return docs.sparkSession.createDataFrame([], COMPARED)
