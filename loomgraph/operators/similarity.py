@@ -14,18 +14,15 @@ PACKED = "block long, ids array<long>, flat array<double>"
 
 
 def packed(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows (id, v) gathered into blocks of about ``block`` vectors, where they lie."""
+    """Rows (id, v) gathered into blocks of up to ``block`` vectors, where they lie; a block goes by its least id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, block):
                 rows = batch.slice(at, block)
                 flat = np.array(rows.column("v").to_pylist(), np.float64).ravel()
-                yield pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "ids": pa.array([rows.column("id").to_pylist()], pa.list_(pa.int64())), "flat": pa.array([flat], pa.list_(pa.float64()))})
-                number += 1
+                ids = rows.column("id").to_pylist()
+                yield pa.RecordBatch.from_pydict({"block": pa.array([min(ids)], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "flat": pa.array([flat], pa.list_(pa.float64()))})
 
     return vectors.where(F.col("v").isNotNull() & (F.size("v") > 0)).mapInArrow(run, PACKED)
 
