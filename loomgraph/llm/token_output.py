@@ -69,7 +69,7 @@ class PieceEncoder:
         if len(self.parts) > MOST_PIECES:
             self.parts = {"": b""}
         simple = {p: (m[1].lower(), m[2]) for p in pieces if (m := SIMPLE.fullmatch(p))}
-        self._library(sorted({x for pair in simple.values() for x in pair} - self.parts.keys()), self.parts)
+        self._library(sorted({x for pair in simple.values() for x in pair if x not in self.parts}), self.parts)
         for p, (letters, signs) in simple.items():
             self.pieces[p] = self.parts[letters] + self.parts[signs]
         self._library(sorted(set(pieces) - simple.keys()), self.pieces)
