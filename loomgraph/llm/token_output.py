@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ from .common import new_path, text_key
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 STORED = StructType().add("part", IntegerType()).add("doc_id", LongType()).add("place", LongType()).add("local_start", LongType()).add("n_tokens", LongType()).add("ids", ArrayType(IntegerType()))
-#: Pieces kept by each worker; both caches are emptied when full.
-MOST_PIECES = 600_000
+#: Pieces and parts kept by each worker; a cache is emptied when full, and longer pieces aren't kept.
+MOST_PIECES, LONGEST_PIECE = 600_000, 64
 #: A run of letters that lower-casing maps one to one, then ASCII signs other than the apostrophe.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
 
@@ -46,7 +47,30 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class PieceEncoder:
+def byte_letters() -> str:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(others)) for b in range(256))
+
+
+class _Parts(dict):
+    """Ids of lower-case letter runs and of sign runs: each is one word of the library's model."""
+
+    def __init__(self, model):
+        super().__init__({"": b""})
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) > MOST_PIECES:
+            self.clear()
+            self[""] = b""
+        word = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        self[part] = ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return ids
+
+
+class PieceEncoder(dict):
     """Ids of whole texts as little-endian unsigned 32-bit integers, by way of cached pieces."""
 
     def __init__(self, path: str):
@@ -55,35 +79,23 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _library(self, pieces: list[str], into: dict[str, bytes]) -> None:
-        for piece, found in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False)):
-            into[piece] = np.array(found.ids, dtype="<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.pieces) > MOST_PIECES:
-            self.pieces = {"": b""}
-        if len(self.parts) > MOST_PIECES:
-            self.parts = {"": b""}
-        simple = {p: (m[1].lower(), m[2]) for p in pieces if (m := SIMPLE.fullmatch(p))}
-        self._library(sorted({x for pair in simple.values() for x in pair if x not in self.parts}), self.parts)
-        for p, (letters, signs) in simple.items():
-            self.pieces[p] = self.parts[letters] + self.parts[signs]
-        self._library(sorted(set(pieces) - simple.keys()), self.pieces)
+        self.parts = _Parts(self.tokenizer.model)
+
+    def __missing__(self, piece: str) -> bytes:
+        if simple := SIMPLE.fullmatch(piece):
+            ids = self.parts[simple[1].lower()] + self.parts[simple[2]]
+        else:
+            ids = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        if len(piece) <= LONGEST_PIECE:
+            if len(self) > MOST_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        found = list(map(self.pieces.get, pieces))
-        if None in found:
-            self._learn(list({p for p, x in zip(pieces, found) if x is None} | {""}))
-            missing = [p for p in set(pieces) if p not in self.pieces]
-            if missing:  # the cache was emptied
-                self._learn(missing)
-            found = map(self.pieces.__getitem__, pieces)
-        return b"".join(found)
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def encoder(path: str) -> PieceEncoder:
