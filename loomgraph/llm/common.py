@@ -39,6 +39,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bitmaps of 32,768 ids that are broadcast, of 4 KB each; beyond, ids are joined by sorting.
+MOST_BITMAPS = 8192
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, held: bool = True) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is (or with ``held=False`` is not) in the one column of ``ids``.
+
+    The ids become bitmaps, so that dense ids take an eighth of a byte each and no text is shuffled;
+    if they are so many or so sparse that there are over ``MOST_BITMAPS``, both sides are sorted.
+    A null doc_id is in no list.
+    """
+    ids = stored(ids.toDF("__id").select(F.col("__id").cast("long").alias("__id")).where("__id is not null").distinct(), "ids")
+    bitmaps = stored(ids.groupBy(F.bitmap_bucket_number("__id").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__id")).alias("__bits")), "bitmaps")
+    doc = docs["doc_id"].cast("long")
+    if bitmaps.count() > MOST_BITMAPS:
+        return docs.join(ids.hint("merge"), doc == ids["__id"], "left_semi" if held else "left_anti")
+    place = F.bitmap_bit_position(doc)
+    byte = F.conv(F.hex(F.substring(bitmaps["__bits"], F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1, F.lit(False))
+    found = docs.join(F.broadcast(bitmaps), F.bitmap_bucket_number(doc) == bitmaps["__bucket"], "left")
+    return found.where(hit if held else ~hit).select(*[docs[f"`{c}`"] for c in docs.columns])
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, all else unchanged. ``lower`` does that to pure ASCII, and is much faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import by_ids, stored
 
 BANDS, ROWS, WORDS = 28, 4, 5
 #: Members compared in one task group with a hub's set.
@@ -218,8 +218,7 @@ def report(docs: DataFrame, least_percent: int = 75, bands: int = BANDS, rows: i
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, all columns kept."""
-    gone = stored(report(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return by_ids(docs, report(docs, **options).where(~F.col("kept")).select("doc_id"), held=False)
 
 
 def op7_minhash_near_dup(spark, sf_dir: str) -> DataFrame:

@@ -35,6 +35,23 @@ def test_matches_sql(spark, name):
     assert canonical(queries.QUERIES[name](spark, SF).toPandas()) == canonical(expected(queries.ORACLE_SQL[name]))
 
 
+@pytest.mark.parametrize("most", [8192, 0])
+def test_rows_by_ids(spark, odd, none, most, monkeypatch):
+    from loomgraph.llm import common
+
+    monkeypatch.setattr(common, "MOST_BITMAPS", most)
+    rng = np.random.default_rng(5)
+    ids = sorted({int(x) for x in rng.integers(-100_000, 100_000, 5_000)} | {-(1 << 40), 1 << 40, 0, 1, 32_768, 32_769, -32_768, -32_767})
+    chosen = set(ids[::3])
+    docs = spark.createDataFrame([(i, "x") for i in [*ids, None]], "doc_id long, `__bucket.x` string")
+    wanted = spark.createDataFrame([(i,) for i in [*chosen, *ids[:3], None]], "doc_id long")
+    chosen |= set(ids[:3])
+    assert {r.doc_id for r in common.by_ids(docs, wanted).collect()} == chosen
+    assert {r.doc_id for r in common.by_ids(docs, wanted, held=False).collect()} == {*ids, None} - chosen
+    assert common.by_ids(odd, wanted.limit(0), held=False).count() == odd.count() and common.by_ids(odd, wanted).columns == odd.columns
+    assert common.by_ids(none, wanted).count() == common.by_ids(odd, wanted.limit(0)).count() == 0
+
+
 def documents(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
