@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 #: Entities decoded when HTML is stripped, in this order.
 ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " ")]
 #: Words left out of keyword queries.
-STOPWORDS = "a an and are as at be by can did do does for from had has have how in is it its of on or that the this to was were what when where which who why will with would".split()
+STOPWORDS = (
+    "a an the is are was were be been being have has had do does did will would could should may might must shall can need dare "
+    "to of in for on with at by from as into through during before after above below between under again further then once here "
+    "there when where why how all each few more most other some such no nor not only own same so than too very just "
+    "and but if or because until while what which who whom this that these those am "
+    "about it its they their them we us our you your he she him her his i me my"
+).split()
 #: Relation families and the word parts that decide them; the first family that matches counts.
 FAMILIES = [
-    ("Cause/Effect", "cause lead trigger result disrupt impact affect".split()),
-    ("Partnership", "partner collaborat integrat".split()),
-    ("Acquisition/Investment", "acqui invest purchase merge".split()),
-    ("Competition", "compet rival outperform".split()),
-    ("Regulation/Legal", "regulat fine sue antitrust".split()),
-    ("Security Incident", "hack breach exploit attack".split()),
-    ("Pricing/Cost", "price cost worth".split()),
-    ("Performance", "benchmark evaluat score".split()),
-    ("Hiring/Layoffs", "hire laid appoint".split()),
-    ("Product Launch", "launch release announce open".split()),
-    ("Association", "use include feature is".split()),
+    ("Cause/Effect", "cause, result in, lead to, leads to, led to, trigger, enable, prevent, block, reduce, increase, impact, affect, disrupt, transform, drive, accelerate".split(", ")),
+    ("Partnership", "partner, collaborate, team up, ally, join, integrate, work with, cooperate, support".split(", ")),
+    ("Acquisition/Investment", "acquire, buy, purchase, invest, fund, merge, raise, sell, divest, ipo".split(", ")),
+    ("Competition", "compete, rival, challenge, outperform, surpass, overtake, beat, versus, alternative".split(", ")),
+    ("Regulation/Legal", "regulate, ban, approve, fine, sue, comply, enforce, legislat, sanction, antitrust, patent, licens, lawsuit".split(", ")),
+    ("Security Incident", "hack, breach, attack, vulnerab, exploit, malware, ransomware, phish, compromis, leak".split(", ")),
+    ("Pricing/Cost", "price, cost, fee, tariff, discount, revenue, profit, margin, valuation, billion, million, worth".split(", ")),
+    ("Performance", "benchmark, perform, test, evaluat, score, speed, latency, throughput, accuracy, efficien".split(", ")),
+    ("Hiring/Layoffs", "hire, recruit, layoff, lay off, laid off, fire, restructur, downsize, appoint, resign, ceo".split(", ")),
+    ("Product Launch", "launch, release, announc, unveil, introduce, debut, ship, deploy, roll out, open source".split(", ")),
+    ("Association", "use, run, has, is, include, contain, feature, offer, provide, consist".split(", ")),
 ]
 
 
