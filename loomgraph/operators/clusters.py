@@ -27,3 +27,11 @@ def top_by_sum(rows: DataFrame, key: str, label: str, value: str, k: int) -> Dat
     per = rows.groupBy(key, label).agg(F.sum(value).alias("score"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), label))
     return per.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def auto_labels(entities: DataFrame, families: DataFrame) -> DataFrame:
+    """cluster, label: its two first entities and its first family (rows as of ``top_by_sum``); "Cluster" without entities."""
+    first = entities.where("rank <= 2").groupBy("cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "node"))), lambda s: s["node"]), ", ").alias("names"))
+    both = first.join(families.where("rank = 1").select("cluster", "family"), "cluster", "full")
+    label = F.when(F.col("names").isNull(), "Cluster").otherwise(F.concat_ws(" — ", "names", "family"))
+    return both.select("cluster", label.alias("label"))

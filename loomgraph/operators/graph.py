@@ -38,6 +38,17 @@ def neighbours(incidences: DataFrame, seeds: DataFrame) -> DataFrame:
     return near.join(incidences.select("edge_id", F.col("node").alias("neighbour")), "edge_id").where(F.col("node") != F.col("neighbour")).select("node", "neighbour").distinct()
 
 
+def neighborhood(incidences: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node: the given nodes and all that share an edge with one of them."""
+    edges = incidences.join(nodes.select("node").distinct(), "node", "left_semi").select("edge_id").distinct()
+    return incidences.join(edges, "edge_id", "left_semi").select("node").unionByName(nodes.select("node")).distinct()
+
+
+def subgraph(incidences: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, degree: the given nodes with their degrees, 0 for those that are no source or target."""
+    return nodes.select("node").distinct().join(degrees(incidences), "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
 def statistics(incidences: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes, edges, average_degree, max_degree, isolated, density = edges / (n (n - 1))."""
     all_nodes = incidences.select("node").distinct()

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as tx
 from loomgraph.functions import vectors as vx
-from loomgraph.operators import graph, similarity
+from loomgraph.operators import clusters, graph, merging, paths, similarity
 
 
 def value(spark, column):
@@ -50,6 +50,44 @@ def test_hops(spark):
     assert {(r.seed, r.node): r.length for r in graph.hop_lengths(rows, seeds, 3).collect()} == {("a", "b"): 1, ("a", "d"): 1, ("a", "c"): 2}
 
 
+def test_paths(spark):
+    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    edges = {1: "ab", 2: "bc", 3: "bc", 4: "cd", 5: "ax", 6: "xd", 7: "bc", 8: "bc"}
+    rows = spark.createDataFrame([(e, n) for e, ns in edges.items() for n in ns], "edge_id long, node string")
+    ends = spark.createDataFrame([("a",), ("c",), ("d",), ("alone",)], "node string")
+    found = paths.shortest_paths(rows, ends, ends, 5, 3)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.seed + r.target, []).append(list(r.path))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "ac": [[1, 2], [1, 3], [1, 7]], "ad": [[5, 6]], "cd": [[4]], "dc": [[4]], "da": [[6, 5]], "ca": [[2, 1], [3, 1], [7, 1]]}
+    assert {tuple(r.path): r.shared for r in paths.hops(found, rows).where("seed = 'a'").collect()} == {(1, 2): ["b"], (1, 3): ["b"], (1, 7): ["b"], (5, 6): ["x"]}
+    assert paths.shortest_paths(rows.limit(0), ends, ends).count() == 0
+    assert sorted(r.node for r in graph.neighborhood(rows, ends.where("node in ('d', 'alone')")).collect()) == ["alone", "c", "d", "x"]
+    assert {r.node: r.degree for r in graph.subgraph(rows.selectExpr("*", "'member' role"), ends).collect()} == dict.fromkeys(["a", "c", "d", "alone"], 0)
+
+
+def test_merging(spark):
+    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    pairs = [(1, 2, 0.99), (2, 3, 0.98), (1, 3, 0.97), (3, 4, 0.97), (5, 6, 0.99), (6, 7, 0.95), (5, 7, 0.95)]
+    degree = {1: 1, 2: 5, 3: 9, 4: 9, 6: 2}
+    gone, plan = set(), set()
+    for a, b, _ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if a not in gone and b not in gone:
+            kept, other = (a, b) if degree.get(a, 0) >= degree.get(b, 0) else (b, a)
+            gone.add(other)
+            plan.add((kept, other))
+    rows = spark.createDataFrame(pairs, "a long, b long, similarity double")
+    found = merging.merge_plan(rows, spark.createDataFrame(list(degree.items()), "node long, degree long"))
+    assert {(r.kept, r.gone) for r in found.collect()} == plan
+    assert {r.gone: r.kept for r in merging.final_nodes(found).collect()} == {1: 3, 2: 3, 4: 3, 5: 6, 7: 6}
+    inc = spark.createDataFrame([(1, 1, "source", 0), (1, 2, "source", 3), (1, 2, "target", 0), (2, 8, "source", 0)], "edge_id long, node long, role string, position int")
+    assert sorted(map(tuple, merging.merged(inc, found).collect())) == [(1, 3, "source", 0), (1, 3, "target", 0), (2, 8, "source", 0)]
+    assert merging.merge_plan(rows.limit(0), inc.selectExpr("node", "1L degree")).count() == 0
+    labels = clusters.auto_labels(spark.createDataFrame([(0, "x", 1), (0, "y", 2)], "cluster int, node string, rank int"), spark.createDataFrame([(0, "Other", 1), (1, "Other", 1)], "cluster int, family string, rank int"))
+    assert {r.cluster: r.label for r in labels.collect()} == {0: "x, y — Other", 1: "Cluster"}
+
+
 def test_streaming_ingest(spark, tmp_path):
     from loomgraph.streaming import ingest
 
