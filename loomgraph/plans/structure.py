@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions import chunks
 from loomgraph.functions import text as tx
 from loomgraph.operators import clusters, graph, merging, paths, similarity
 from loomgraph.plans.queries import INCIDENCES, ORDERS, checkpointed, family_sql, query, vectors
@@ -111,3 +112,9 @@ def cluster_auto_label(spark, sf_dir):
     entities = clusters.top_by_sum(members.join(src.event_incidences(spark, sf_dir), "edge_id").select("cluster", "node", one), "cluster", "node", "one", 2)
     edges = src.event_edges(spark, sf_dir).select("edge_id", tx.relation_family(F.col("label")).alias("family"))
     return clusters.auto_labels(entities, clusters.top_by_sum(members.join(edges, "edge_id").select("cluster", "family", one), "cluster", "family", "one", 1))
+
+
+@query()
+def text_chunks(spark, sf_dir):
+    docs = src.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(chunks.text_chunks(F.col("text"))).alias("pos", "chunk"))

@@ -21,7 +21,7 @@ def expected(sql):
     return db.execute(sql).df()
 
 
-@pytest.mark.parametrize("name", sorted(plans.QUERIES))
+@pytest.mark.parametrize("name", sorted(plans.SQL))
 def test_matches_sql(spark, name):
     assert canonical(plans.QUERIES[name](spark, SF).toPandas()) == canonical(expected(plans.SQL[name]))
 
