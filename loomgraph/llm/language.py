@@ -126,7 +126,7 @@ def trained(texts: list[str], languages: list[str], steps: int = 350, rows: int
     for step in range(1, steps + 1):
         y = rng.integers(0, len(names), rows)
         x = np.stack([by_language[k][rng.integers(len(by_language[k]))] for k in y])
-        x = np.roll(x, 0) if step % 2 else np.where(np.arange(x.shape[1]) < rng.integers(6, 64, (rows, 1)), x, 256)  # short texts, too
+        x = x if step % 2 else np.where(np.arange(x.shape[1]) < rng.integers(6, 64, (rows, 1)), x, 256)  # short texts, too
         x = x.T
         _, grad = net.gradients(x, y, (x < 256).astype(np.float32))
         rate = 0.02 * (1 - step / (steps + 1)) + 1e-4
@@ -190,12 +190,18 @@ def predicting(net: Network | None) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def sample(docs: DataFrame, trainable: Column, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(text slice, lang), at most ``per_language`` a language: those of the least digests of doc_id."""
+    """(text slice, lang), at most ``per_language`` a language: those of the least digests of doc_id.
+
+    Only digests below a share of their range, set by the language's count so that twice as many rows
+    as needed pass, are ranked; so no task meets more of a frequent language than of a rare one.
+    """
     rows = docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
     rows = rows.select("lang", F.substring("text", 1, SLICE).alias("slice"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("digest"))
-    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("digest", "slice"))).where(F.col("rank") <= per_language)
-    found = first.select("slice", "lang", F.count("*").over(Window.partitionBy("lang")).alias("n")).orderBy(F.desc("n"), "lang", "slice").limit(per_language * MOST_LANGUAGES)
-    return [(r["slice"], r["lang"]) for r in found.collect()]
+    share = F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") / 2**32
+    few = rows.join(F.broadcast(counts), "lang").where(share * F.col("n") < 2 * per_language)  # at most MOST_LANGUAGES rows
+    first = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("digest", "slice"))).where(F.col("rank") <= per_language)
+    return [(r["slice"], r["lang"]) for r in first.orderBy(F.desc("n"), "lang", "slice").select("slice", "lang").collect()]
 
 
 def report(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
