@@ -11,6 +11,12 @@ meet in tasks by (hub, salt), with as many salts as the hub has members / ``SALT
 compared one member at a time. Groups are connected components, by label passing and pointer
 jumping over tables in the shared folder.
 
+A bucket whose other members are still in several components then has all its pairs across them
+compared: its members are dealt into blocks, and each pair of blocks meets in a task, which holds
+one block's sets and streams the other's, and drops pairs that a link in the task has joined by
+then. A pair is compared in one of the buckets that it shares; of buckets with equal members one is
+taken. So every two documents that share a bucket are compared or in one group.
+
 With 28 bands of 4 rows a pair at the threshold 0.75 shares a bucket with probability 0.99998.
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing; a row with
@@ -33,6 +39,8 @@ from .common import by_ids, stored
 BANDS, ROWS, WORDS = 28, 4, 5
 #: Members compared in one task group with a hub's set.
 SALTED = 256
+#: Members and shingles of a block whose sets a task holds.
+BLOCK, BLOCK_SHINGLES = 1024, 4 << 20
 #: Bytes of text hashed at once; a longer text is cut at white space.
 PIECE = 2 << 20
 SHINGLED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
@@ -176,6 +184,93 @@ def confirmed(least_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
+class Block:
+    """Sets of a bucket's members with their components, and the links that join them with others."""
+
+    def __init__(self, bucket: int, least_percent: int):
+        self.bucket, self.least_percent = bucket, least_percent
+        self.sets: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = []
+        self.own: list[int] = []
+        self.roots, self.sizes, self.table, self.parent = np.empty(0, np.int64), np.empty(0, np.int64), None, {}
+
+    def root(self, component: int) -> int:
+        while component in self.parent:
+            component = self.parent[component]
+        return component
+
+    def add(self, keys: np.ndarray, component: int, found: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.own.append(component)
+        self.sets.append(found)
+
+    def seal(self) -> None:
+        """No more members follow."""
+        if self.table is None:
+            self.table, self.sizes = np.array(self.keys), np.array([len(x) for x in self.sets])
+            self.roots = np.array([self.root(c) for c in self.own], np.int64)
+
+    def links(self, keys: np.ndarray, component: int, found: np.ndarray, upto: int | None = None) -> Iterator[tuple[int, int]]:
+        """Pairs of components that the member joins by the first ``upto`` members held."""
+        mine, n, p = self.root(component), len(found), self.least_percent
+        if not n:
+            return
+        roots, sizes, table = self.roots[:upto], self.sizes[:upto], self.table[:upto]
+        at = np.flatnonzero((roots != mine) & (100 * np.minimum(sizes, n) >= p * np.maximum(sizes, n)))
+        same = (table[at] == keys) & (keys != 0)  # the first bucket that both are in
+        at = at[keys[same.argmax(axis=1)] == self.bucket]
+        if not len(at):
+            return
+        joined = np.concatenate([self.sets[i] for i in at])
+        place = np.minimum(np.searchsorted(found, joined), n - 1)
+        both = np.add.reduceat((found[place] == joined).astype(np.int64), np.cumsum(sizes[at]) - sizes[at])
+        for other in np.unique(roots[at[100 * both >= p * (sizes[at] + n - both)]]).tolist():
+            yield mine, other
+            self.parent[other] = mine
+            self.roots[self.roots == other] = mine
+
+
+def compared(least_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows sorted by (bucket, a, b, streamed): the components that a bucket's pairs join.
+
+    A pair of equal blocks has its members only as held ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in batches:
+            linked = []
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "a", "b", "streamed", "component", "keys")]
+            for bucket, a, b, streamed, component, keys, found in zip(*columns, shingle_sets(batch.column("text"))):
+                if at != (bucket, a, b):
+                    if held is not None:
+                        linked += inner_links(held, at)
+                    at, held = (bucket, a, b), Block(bucket, least_percent)
+                keys = np.array(keys, np.int64)
+                if not streamed:
+                    held.add(keys, component, found)
+                elif held.own:
+                    held.seal()
+                    linked += held.links(keys, component, found)
+            yield joins(linked)
+        if held is not None:
+            yield joins(inner_links(held, at))
+
+    return run
+
+
+def inner_links(held: Block, at: tuple[int, int, int]) -> list[tuple[int, int]]:
+    """Links among the members held, if the task has one block only."""
+    if at[1] != at[2]:
+        return []
+    held.seal()
+    return [pair for i in range(1, len(held.own)) for pair in held.links(held.keys[i], held.own[i], held.sets[i], i)]
+
+
+def joins(linked: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in linked], pa.int64()), pa.array([b for _, b in linked], pa.int64())], names=["hub", "member"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in ``links`` (hub, member): the least id that can be reached."""
     both = stored(links.select(F.col("hub").alias("id"), F.col("member").alias("other")).unionByName(links.select(F.col("member").alias("id"), F.col("hub").alias("other"))), "links")
@@ -190,6 +285,37 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def with_rest(texts: DataFrame, nodes: DataFrame, others: DataFrame, groups: DataFrame, least_percent: int) -> DataFrame:
+    """``groups`` joined by the links between ``others`` (id, bucket) of a bucket; its hubs' pairs are compared already."""
+    places = nodes.select("id", "n_shingles").join(groups, "id", "left").groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.coalesce("component", "id")).alias("component"))
+    others = stored(others.distinct().join(places, "id"), "others")
+    buckets = others.groupBy("bucket").agg(
+        F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"),
+        F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("digest"),
+    ).where(F.col("first") < F.col("last"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    buckets = stored(buckets.groupBy("n", "digest").agg(F.min("bucket").alias("bucket"), F.any_value(blocks).alias("blocks")), "buckets")
+    if buckets.isEmpty():
+        return groups
+    rest = others.join(buckets.select("bucket", "blocks"), "bucket")
+    rest = rest.groupBy("id", "component").agg(F.collect_list(F.struct("bucket", "blocks")).alias("within"))
+    taken = F.transform("bands", lambda k: F.when(F.array_contains(F.col("within.bucket"), k), k).otherwise(F.lit(0).cast("long")))
+    rest = rest.join(nodes.select("id", "bands"), "id").select(F.col("id").alias("doc_id"), "component", "within", taken.alias("keys"))
+    # as in the stars: the list grows with the corpus
+    rest = texts.hint("merge").join(rest.hint("merge"), "doc_id").select("doc_id", "component", "keys", "text", F.explode("within").alias("w"))
+    rest = rest.select("doc_id", "component", "keys", "text", "w.*").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("streamed"), "component", "keys", "text")
+    rest = rest.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "streamed")
+    links = stored(rest.mapInArrow(compared(least_percent), "hub long, member long").distinct(), "rest")
+    if links.isEmpty():
+        return groups
+    # the links join components, whose ids are their least members
+    further = components(links).select(F.col("id").alias("component"), F.col("component").alias("least"))
+    every = places.select("id", "component").join(further, "component", "left")
+    return every.select("id", F.coalesce("least", "component").alias("component"))
+
+
 def report(docs: DataFrame, least_percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per row of ``docs``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -198,7 +324,8 @@ def report(docs: DataFrame, least_percent: int = 75, bands: int = BANDS, rows: i
     nodes = stored(sets.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands")), "nodes")
     keys = nodes.select("id", F.explode("bands").alias("bucket"))
     hubs = keys.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("low") < F.col("high"))
-    star = keys.join(hubs, "bucket").select("id", F.explode(F.array("low", "high")).alias("hub")).where(F.col("id") != F.col("hub"))
+    shared = stored(keys.join(hubs, "bucket"), "shared")
+    star = shared.select("id", F.explode(F.array("low", "high")).alias("hub")).where(F.col("id") != F.col("hub"))
     pairs = star.groupBy(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).agg(F.min("hub").alias("hub"))
     pairs = stored(pairs.select("hub", (F.col("a") + F.col("b") - F.col("hub")).alias("member")), "pairs")
     # a text for each node; rows that share a doc_id give one of theirs
@@ -210,6 +337,7 @@ def report(docs: DataFrame, least_percent: int = 75, bands: int = BANDS, rows: i
     stars = stars.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("member"))
     links = stars.mapInArrow(confirmed(least_percent), "hub long, member long")
     groups = components(stored(links, "confirmed"))
+    groups = with_rest(texts, nodes, shared.where((F.col("id") != F.col("low")) & (F.col("id") != F.col("high"))).select("id", "bucket"), groups, least_percent)
     of_node = nodes.select("s1", "s2", "n_shingles", "id").join(groups, "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component"))
     linked = rows_.select("doc_id", "n_shingles", "s1", "s2").join(of_node, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -194,6 +194,28 @@ def test_near_dup_brute_force(spark):
     assert got == {i: (len(sets[i]), least[i]) for i in ids}
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_near_dup_template_family(spark, monkeypatch, block):
+    """Parts of one template, nearly all unlike each other, each with one partner that is like it."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    passages, texts = [[f"p{i}w{j}" for j in range(10)] for i in range(60)], {}
+    for i, k in enumerate(np.random.default_rng(4).permutation(400).tolist()):
+        lost = set(np.random.default_rng(k // 2).permutation(60)[: 10 + 8 * (k % 2)].tolist())
+        texts[i] = " ".join(w for j, p in enumerate(passages) if j not in lost for w in p)
+    sets = {i: {tuple(w[j: j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    least, changed = {i: i for i in sets}, True
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(least[a], least[b])
+            changed |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    assert len(links) >= 100 and len(set(least.values())) >= 250
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dup.report(rows).collect()} == least
+
+
 def test_long_text_is_hashed_in_pieces(monkeypatch):
     raw = np.frombuffer(LONG.encode(), np.uint8)
     whole = near_dup.hashed_texts(raw, np.array([0, len(raw)]))[0]
