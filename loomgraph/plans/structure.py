@@ -24,11 +24,14 @@ found AS (SELECT seed, target, length, path FROM r WHERE length = least QUALIFY
 
 
 def order_paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Paths of up to three orders between every hundredth customer, and the incidences they run over."""
+    """Paths of up to five orders between every hundredth customer, and the incidences they run over.
+
+    The SQL ends at three; it gives the same as long as no pair's shortest path is longer.
+    """
     checkpointed(spark)
     rows = src.order_incidences(spark, sf_dir).where("role <> 'member'")
     seeds = rows.where(F.startswith("node", F.lit("c:")) & (F.substring("node", 3, 20).cast("long") % 100 == 0)).select("node")
-    return paths.shortest_paths(rows, seeds, seeds, 3), rows
+    return paths.shortest_paths(rows, seeds, seeds), rows
 
 
 @query(f"WITH {PATHS} SELECT seed, target, CAST(length AS INTEGER) AS length, array_to_string(path, ' ') AS path FROM found")
