@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as tx
@@ -287,13 +287,27 @@ v AS (SELECT e, idf, embedding::DOUBLE[] AS v FROM x JOIN i USING (p), n JOIN em
 q AS (SELECT e, idf, generate_subscripts(v, 1) AS pos, unnest(v) AS y FROM v)
 SELECT e AS edge_id, CAST(pos - 1 AS INTEGER) AS pos, round(sum(idf * y) / sum(idf), 5) + 0.0 AS mean FROM q WHERE pos <= 4 GROUP BY e, pos""")
 def event_vector_pool(spark, sf_dir):
-    """IDF-weighted mean of the target parts' embeddings per order (its first four elements)."""
+    """The first four elements of ``event_vector_pool_whole``."""
+    return pooled_parts(spark, sf_dir, F.slice("embedding", 1, 4))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM embeddings), x AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS p FROM lineitem), w AS (SELECT p, count(*) AS df FROM x GROUP BY p),
+k AS (SELECT count(DISTINCT e) AS k FROM x), i AS (SELECT p, least(ln((k + 1) / (df + 1)) + 1, 6.0) AS idf FROM w, k),
+v AS (SELECT e, idf, embedding::DOUBLE[] AS v FROM x JOIN i USING (p), n JOIN embeddings ON vec_id = p % n),
+q AS (SELECT e, idf, generate_subscripts(v, 1) AS pos, unnest(v) AS y FROM v)
+SELECT e AS edge_id, CAST(pos - 1 AS INTEGER) AS pos, round(sum(idf * y) / sum(idf), 5) + 0.0 AS mean FROM q GROUP BY e, pos""")
+def event_vector_pool_whole(spark, sf_dir):
+    return pooled_parts(spark, sf_dir, F.col("embedding"))
+
+
+def pooled_parts(spark: SparkSession, sf_dir: str, vector: Column) -> DataFrame:
+    """IDF-weighted mean of the target parts' vectors per order."""
     x = src.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("edge_id"), F.col("l_partkey").alias("part")).distinct()
     k = x.agg(F.countDistinct("edge_id").alias("k"))
     idf = x.groupBy("part").agg(F.count("*").alias("df")).crossJoin(F.broadcast(k)).select("part", F.least(F.log((F.col("k") + 1) / (F.col("df") + 1)) + 1, F.lit(6.0)).alias("idf"))  # one row
     e = src.table(spark, sf_dir, "embeddings")
     n = e.agg(F.count("*").alias("n"))
-    weighted = idf.crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("part") % F.col("n")).join(e.select("vec_id", F.slice("embedding", 1, 4).alias("v")), "vec_id")
+    weighted = idf.crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("part") % F.col("n")).join(e.select("vec_id", vector.alias("v")), "vec_id")
     return clusters.weighted_means(x.join(weighted, "part"), ["edge_id"], "v", "idf").select("edge_id", F.posexplode("mean").alias("pos", "mean")).withColumn("mean", F.round("mean", 5) + 0.0)
 
 

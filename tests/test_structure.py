@@ -1,7 +1,10 @@
-"""Path queries on a table of their own, against a brute-force search."""
+"""Queries on tables of their own, against brute force."""
 
+import math
 from collections import Counter
 
+import pytest
+
 from loomgraph.plans import queries as plans
 
 #: Order, customer, part: chains between every hundredth customer; no other comes near 900.
@@ -31,3 +34,13 @@ def test_paths_of_five_edges(spark, tmp_path):
     hops = {(r.seed, r.target, tuple(map(int, r.path.split())), r.hop): r.shared for r in plans.QUERIES["reasoning_paths"](spark, str(tmp_path)).collect()}
     assert hops == {(s, t, p, i): " ".join(sorted(nodes[a] & nodes[b])) for s, t, p in wanted for i, (a, b) in enumerate(zip(p, p[1:]))}
     assert {r.length: r.n for r in plans.QUERIES["path_length_histogram"](spark, str(tmp_path)).collect()} == Counter(len(p) for _, _, p in wanted)
+
+
+def test_pool_has_the_whole_vector(spark, tmp_path):
+    vectors = {0: [float(i) for i in range(64)], 1: [float(-i * i) for i in range(64)]}
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, 10), (1, 11), (1, 11), (2, 11)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    a, b = math.log(3 / 2) + 1, math.log(3 / 3) + 1
+    got = {(r.edge_id, r.pos): r["mean"] for r in plans.QUERIES["event_vector_pool_whole"](spark, str(tmp_path)).collect()}
+    wanted = {(1, i): (a * x + b * y) / (a + b) for i, (x, y) in enumerate(zip(vectors[0], vectors[1]))} | {(2, i): y for i, y in enumerate(vectors[1])}
+    assert got == pytest.approx(wanted, abs=1e-5)
