@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions import chunks
 from loomgraph.functions import text as tx
 from loomgraph.functions import vectors as vx
 from loomgraph.operators import clusters, graph, search, similarity
@@ -150,6 +151,14 @@ def provenance_edge(spark, sf_dir):
     return src.provenance(spark, sf_dir).join(items, "feed_item_id", "left").select("edge_id", "feed_item_id", F.coalesce("chunk_text", F.substring("full_content", 1, 80), F.lit("(Source text not available)")).alias("chunk_text"))
 
 
+@query()
+def provenance_edge_whole(spark, sf_dir):
+    """As ``provenance_edge``, but a missing text is the whole content of the item's chunk of that index."""
+    docs = src.feed_items(spark, sf_dir).select(F.col("id").alias("feed_item_id"), F.posexplode(chunks.text_chunks(F.col("full_content"))).alias("chunk_index", "content"))
+    found = src.provenance(spark, sf_dir).join(docs, ["feed_item_id", "chunk_index"], "left")
+    return found.select("edge_id", "feed_item_id", F.coalesce("chunk_text", "content", F.lit("(Source text not available)")).alias("chunk_text"))
+
+
 @query("""SELECT doc_id AS id FROM documents LEFT JOIN (SELECT event_id, event_type FROM events) ON event_id = doc_id
 WHERE text IS NOT NULL AND text <> '' AND (event_id IS NULL OR event_type = 'click')""")
 def unprocessed_items(spark, sf_dir):
@@ -318,6 +327,13 @@ def conversation_history(spark, sf_dir):
     return rows.select("conv_id", "turns", F.array_join(F.transform("lines", lambda s: s["line"]), "\n").alias("history"))
 
 
+@query("""SELECT conv_id, count(*) AS turns, string_agg(coalesce(role, '') || ': ' || regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), chr(10) ORDER BY turn) AS history FROM conversations GROUP BY conv_id""")
+def conversation_history_whole(spark, sf_dir):
+    line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    rows = src.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines"))
+    return rows.select("conv_id", "turns", F.array_join(F.transform("lines", lambda s: s["line"]), "\n").alias("history"))
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def hourly_events(spark, sf_dir):
     return src.table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("start"), "event_type").agg(F.count("*").alias("n"))

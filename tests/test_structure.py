@@ -44,3 +44,15 @@ def test_pool_has_the_whole_vector(spark, tmp_path):
     got = {(r.edge_id, r.pos): r["mean"] for r in plans.QUERIES["event_vector_pool_whole"](spark, str(tmp_path)).collect()}
     wanted = {(1, i): (a * x + b * y) / (a + b) for i, (x, y) in enumerate(zip(vectors[0], vectors[1]))} | {(2, i): y for i, y in enumerate(vectors[1])}
     assert got == pytest.approx(wanted, abs=1e-5)
+
+
+def test_provenance_and_history_are_whole(spark, tmp_path):
+    first = " ".join(f"word{i}" for i in range(80))
+    docs = [(0, f"{first}\n\n{'x' * 300}"), (1, None), (2, "short")]
+    spark.createDataFrame([(i, t, "a") for i, t in docs], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i,) for i in (0, 1, 7, 14)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.edge_id: r.chunk_text for r in plans.QUERIES["provenance_edge_whole"](spark, str(tmp_path)).collect()}
+    assert len(first) > 80 and got == {0: first, 1: "chunk of 1", 7: "(Source text not available)", 14: "short"}
+    spark.createDataFrame([(1, 1, "b", "y" * 400), (1, 0, None, "x  " * 100), (2, 0, "a", None)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    said = {r.conv_id: r.history for r in plans.QUERIES["conversation_history_whole"](spark, str(tmp_path)).collect()}
+    assert said == {1: f": {'x ' * 100}\nb: {'y' * 400}", 2: "a: "}
