@@ -16,10 +16,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder takes its place.
+    Where the session names none, a local session gets a temporary folder of its own; a cluster's
+    executors would each write to their own disk, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -43,16 +46,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 MOST_BITMAPS = 8192
 
 
-def by_ids(docs: DataFrame, ids: DataFrame, held: bool = True) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is (or with ``held=False`` is not) in the one column of ``ids``.
+def by_ids(docs: DataFrame, ids: DataFrame, held: bool = True, key: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is (or with ``held=False`` is not) in the one column of ``ids``.
 
     The ids become bitmaps, so that dense ids take an eighth of a byte each and no text is shuffled;
     if they are so many or so sparse that there are over ``MOST_BITMAPS``, both sides are sorted.
-    A null doc_id is in no list.
+    A null key is in no list.
     """
     ids = stored(ids.toDF("__id").select(F.col("__id").cast("long").alias("__id")).where("__id is not null").distinct(), "ids")
     bitmaps = stored(ids.groupBy(F.bitmap_bucket_number("__id").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__id")).alias("__bits")), "bitmaps")
-    doc = docs["doc_id"].cast("long")
+    doc = docs[key].cast("long")
     if bitmaps.count() > MOST_BITMAPS:
         return docs.join(ids.hint("merge"), doc == ids["__id"], "left_semi" if held else "left_anti")
     place = F.bitmap_bit_position(doc)

@@ -1,22 +1,30 @@
 """Operator 5: quality classifier by an interpolated modified Kneser-Ney n-gram model.
 
-The model is a trigram model over characters: printable ASCII, one class for white space other than
-blanks, and 30 classes for the rest by code point. It is trained on all trusted documents (labelled
-quality 1 and not toxic). Counts are joined in shards: trigrams, the histories and continuations of
-every order, and their discounts are tables keyed by n-gram that Spark aggregates and joins. However
-large the corpus, a model has at most 128 ** 3 entries (8 MB as 32-bit floats); with that bound it
-is broadcast, and the join of documents with it is a lookup in each task. No n-gram of a document is
-shuffled.
-
-A document's perplexity is drawn to its language's middle by ``SHRINK`` characters, so that a few
-characters don't decide. It is kept if it lies between two quantiles of the trusted documents of its
-language, widened by ``MARGIN``: nonsense has a high perplexity, repetition a low one.
-
-Defined results: a null or empty text has the middle perplexity of its language and is kept; a
-language (null, too) with fewer than ``FEWEST`` trusted documents goes by all trusted documents'
-quantiles; labels that repeat a doc_id count if any says trusted; without trusted documents all is
-kept; an empty table gives an empty result; other columns are ignored by the report and kept by the
-filter.
+The model is over characters: n-grams of ``ORDER`` Unicode code points, none folded, so its alphabet
+is open and its tables grow with the trusted text (labelled quality 1 and not toxic; a quarter of it,
+by digest, is held out and only sets thresholds). The tables are sharded by n-gram: raw counts of the
+highest order, and per lower order the numbers of distinct left extensions; histories' totals and
+back-off masses come from aggregations over them. Nothing of the model is collected but the numbers
+of n-grams seen once to four times per order, from which the discounts follow.
+
+Documents are cut into parts by file and row number. Each part's distinct n-grams are listed in its
+task (so a frequent n-gram counts once a part, not once a use), their lower orders are joined with the
+shards, and the losses go back to the part, where they meet the documents' compressed texts. That is
+the only shuffle of texts; a task streams them and holds the losses of one part's n-grams.
+
+Two rates decide. The loss per character, over all characters, is high for nonsense. The loss per
+character that a cache of the last ``CACHE`` places leaves (an n-gram seen there costs nothing) is low
+for repetition. Each is drawn to its language's median by ``SHRINK`` characters, so that a few
+characters don't decide, and must lie within a quantile of the trusted documents of the language,
+widened by ``MARGIN``. Quantiles come from exact histograms of rates in steps of ``STEP``, so reruns
+agree however rows are dealt.
+
+Defined results: a null, empty or blank text has no perplexity and is not kept; a language (null, too)
+with fewer than ``FEWEST`` trusted documents goes by all trusted documents' quantiles; labels that
+repeat a doc_id count if any says trusted; without trusted text all texts that aren't blank are kept;
+repeated rows are judged alike; ties at a threshold are kept; a very long text is worked on in pieces
+with the same result; an empty table gives an empty result; other columns, whatever their names, are
+ignored by the report and kept by the filter.
 """
 
 from __future__ import annotations
@@ -25,190 +33,375 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_ids, stored
 
-CLASSES = 128
-BEGIN = 0
-LOW, HIGH, MARGIN = 0.001, 0.999, 1.03
+ORDER = 5
+#: Code points, each with the same chance where nothing is known; the place before a text's begin.
+SYMBOLS = 0x110000
+BEGIN = SYMBOLS
+BITS, MASK = 21, (1 << 21) - 1
+CACHE = 64
+LOW, HIGH, MARGIN, STEP = 0.001, 0.999, 1.05, 0.001
 SHRINK, FEWEST = 100.0, 50
-#: Languages for which thresholds are broadcast; beyond, they are joined.
-MOST_LANGUAGES = 10_000
-PIECE = 1_000_000
+PART_ROWS = 8192
+#: Characters worked on at once; a longer text is cut.
+PIECE = 1 << 20
+#: Distinct code points of a piece, so that an n-gram of its own numbers fits 64 bits.
+MOST_SYMBOLS = 7131
+
+Span = tuple[int, int, int]
+
+
+def pieces(texts: list[str]) -> Iterator[list[Span]]:
+    """(text, begin, end) of about PIECE characters together."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        for a in range(0, len(text), PIECE):
+            b = min(len(text), a + PIECE)
+            held.append((i, a, b))
+            size += b - a
+            if size >= PIECE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+class Piece:
+    """The n-grams that end at the characters of some spans.
+
+    ``keys`` has one for each character, in numbers of the piece's own alphabet; ``owner`` its text;
+    ``recent`` tells where it has occurred in the CACHE places before.
+    """
+
+    def __init__(self, spans: list[Span], keys: np.ndarray, owner: np.ndarray, recent: np.ndarray, alphabet: np.ndarray):
+        self.spans, self.keys, self.owner, self.recent, self.alphabet = spans, keys, owner, recent, alphabet
+
+    def words(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hi, lo): the code points of n-grams, the last three in lo."""
+        points = []
+        for _ in range(ORDER):
+            keys, at = np.divmod(keys, np.uint64(len(self.alphabet)))
+            points.append(self.alphabet[at.astype(np.int64)])
+        return points[4] << BITS | points[3], points[2] << 2 * BITS | points[1] << BITS | points[0]
+
+
+def grams(texts: list[str], spans: list[Span], cached: bool = True) -> Iterator[Piece]:
+    """The spans as one piece, or as several when their alphabet is too large."""
+    back = [max(0, a - CACHE - ORDER + 1) for _, a, _ in spans]
+    cut = [texts[i][c:b] for (i, _, b), c in zip(spans, back)]
+    lengths = np.array([len(t) for t in cut])
+    which = np.repeat(np.arange(len(cut)), lengths)
+    offset = np.arange(len(which)) - (np.cumsum(lengths) - lengths)[which]
+    codes = np.full(len(which) + (ORDER - 1) * len(cut), BEGIN, np.int64)
+    codes[np.arange(len(which)) + (ORDER - 1) * (which + 1)] = np.frombuffer("".join(cut).encode("utf-32-le"), "<u4")
+    table = np.zeros(SYMBOLS + 1, bool)
+    table[codes] = True
+    alphabet = np.flatnonzero(table)
+    if len(alphabet) > MOST_SYMBOLS:
+        half = len(spans) // 2
+        (i, a, b) = spans[0]
+        for part in (spans[:half], spans[half:]) if half else ([(i, a, (a + b) // 2)], [(i, (a + b) // 2, b)]):
+            yield from grams(texts, part, cached)
+        return
+    number = np.zeros(SYMBOLS + 1, np.uint16)
+    number[alphabet] = np.arange(len(alphabet))
+    codes = number[codes].astype(np.uint64)
+    keys = codes[: len(codes) - ORDER + 1].copy()
+    for k in range(1, ORDER):
+        keys *= np.uint64(len(alphabet))
+        keys += codes[k: len(codes) - ORDER + 1 + k]
+    keys = keys[np.arange(len(which)) + (ORDER - 1) * which]
+    recent = np.zeros(len(keys), bool)
+    if cached:
+        near = np.minimum(offset, 255).astype(np.uint8)
+        for d in range(1, min(CACHE, len(keys) - 1) + 1):
+            recent[d:] |= (keys[d:] == keys[:-d]) & (near[d:] >= d)
+    own = offset >= np.array([a - c for (_, a, _), c in zip(spans, back)])[which]
+    yield Piece(spans, keys[own], np.array([i for i, _, _ in spans])[which][own], recent[own], alphabet)
 
 
-def class_table() -> np.ndarray:
-    """Class of each code point below 0x3000; those above share one."""
-    table = 97 + np.arange(0x3000) % 30
-    table[:128] = 127  # control characters
-    table[32:127] = np.arange(1, 96)
-    table[[9, 10, 11, 12, 13]] = 96
-    return table.astype(np.int32)
+def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n-gram counts of each piece of the texts."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        for spans in pieces(texts):
+            for piece in grams(texts, spans, cached=False):
+                keys, n = np.unique(piece.keys, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (*piece.words(keys), n.astype(np.int64)))], names=["hi", "lo", "n"])
 
 
-_TABLE = class_table()
+def runs_of(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of rows that agree in the columns."""
+    change = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        change |= c[1:] != c[:-1]
+    edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(columns[0])]
+    yield from ((a, b) for a, b in zip(edges, edges[1:]) if b > a)
 
 
-def classes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the texts, each after two BEGINs, and where each text's part starts."""
-    joined = "".join("\0\0" + t.replace("\0", " ") for t in texts)
-    codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
-    found = _TABLE[np.minimum(codes, len(_TABLE) - 1)]
-    found[codes == 0] = BEGIN
-    lengths = np.array([len(t) + 2 for t in texts])
-    return found, np.concatenate([[0], np.cumsum(lengths)[:-1]])
+def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of each part's texts, as far as the part lies in the task's partition."""
+    at, held = None, []
 
+    def listed() -> Iterator[pa.RecordBatch]:
+        hi, lo = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((lo, hi))
+        hi, lo = hi[order], lo[order]
+        new = np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(new.sum()), at, np.int32)), pa.array(hi[new]), pa.array(lo[new])], names=["part", "hi", "lo"])
 
-def trigrams_of(classes: np.ndarray) -> np.ndarray:
-    """The trigram that ends at each place from the third on."""
-    return (classes[:-2] * CLASSES + classes[1:-1]) * CLASSES + classes[2:]
+    for batch in batches:
+        parts, column = np.asarray(batch.column("part")), batch.column("text")
+        for a, b in runs_of(parts):
+            if held and parts[a] != at:
+                yield from listed()
+                held = []
+            at = parts[a]
+            texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
+            for spans in pieces(texts):
+                held += [piece.words(np.unique(piece.keys)) for piece in grams(texts, spans, cached=False)]
+            if len(held) > 24:  # long texts: what is held stays near the number of distinct n-grams
+                yield from listed()
+                held = []
+    if held:
+        yield from listed()
 
 
-def text_groups(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """(first, texts) with about PIECE characters each."""
-    a, size, held = 0, 0, []
-    for i, t in enumerate(texts):
-        held.append(t or "")
-        size += len(held[-1])
-        if size >= PIECE:
-            yield a, held
-            a, size, held = i + 1, 0, []
-    if held:
-        yield a, held
+def suffix(k: int) -> tuple[Column, Column]:
+    """hi, lo of a k-gram without its first code point."""
+    hi, lo = F.col("hi"), F.col("lo")
+    none = F.lit(0).cast("long")
+    return {5: (hi.bitwiseAND(MASK), lo), 4: (none, lo), 3: (none, lo.bitwiseAND((1 << 2 * BITS) - 1)), 2: (none, lo.bitwiseAND(MASK))}[k]
 
 
-def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts of the task's texts."""
-    counts = np.zeros(CLASSES**3, np.int64)
-    for batch in batches:
-        for _, texts in text_groups(batch.column("text").to_pylist()):
-            classes, _ = classes_of(texts)
-            found = trigrams_of(classes)[classes[2:] != BEGIN]
-            counts += np.bincount(found, minlength=CLASSES**3)
-    seen = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], names=["gram", "n"])
+def history() -> tuple[Column, Column]:
+    """hi, lo of an n-gram without its last code point."""
+    hi, lo = F.col("hi"), F.col("lo")
+    return F.shiftright(hi, BITS), F.shiftleft(hi.bitwiseAND(MASK), 2 * BITS).bitwiseOR(F.shiftright(lo, BITS))
 
 
-def discounts(counts: DataFrame, n: str) -> Column:
-    """The discount of a count, by the numbers of n-grams seen once to four times."""
-    seen = {r[n]: r["k"] for r in counts.where(F.col(n) <= 4).groupBy(n).agg(F.count("*").alias("k")).collect()}
+def discounts(counts: DataFrame) -> list[float]:
+    """What is taken off counts of 1, 2, and 3 or more, by the numbers of n-grams seen once to four times."""
+    seen = {r["n"]: r["k"] for r in counts.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}  # at most 4 rows
     n1, n2, n3, n4 = (float(seen.get(i, 0)) for i in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
     d = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    d = [min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1)]
-    return F.when(F.col(n) == 1, d[0]).when(F.col(n) == 2, d[1]).otherwise(d[2])
-
-
-def level(counts: DataFrame, history: str, n: str) -> DataFrame:
-    """``counts`` with direct (discounted share within its history) and back (the mass left to the lower order)."""
-    discounted = stored(counts.withColumn("off", discounts(counts, n)), "level")
-    per = discounted.groupBy(history).agg(F.sum(n).alias("total"), F.sum("off").alias("off_total"))
-    return discounted.join(per, history).withColumn("direct", (F.col(n) - F.col("off")) / F.col("total")).withColumn("back", F.col("off_total") / F.col("total"))
-
-
-def train(trusted: DataFrame) -> np.ndarray | None:
-    """Log-probability of every trigram, as a dense table; None without text."""
-    counts = stored(trusted.select("text").mapInArrow(counting, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    first, pair, last = (F.col("gram") / CLASSES).cast("int"), F.col("gram") % (CLASSES**2), F.col("gram") % CLASSES
-    three = level(counts.withColumn("history", first), "history", "n")
-    two = stored(counts.groupBy(pair.alias("pair")).agg(F.count("*").alias("n")), "continuations")
-    two_ = level(two.withColumn("history", (F.col("pair") / CLASSES).cast("int")), "history", "n")
-    one = stored(two.groupBy((F.col("pair") % CLASSES).alias("last")).agg(F.count("*").alias("n")), "continuations")
-    one_ = level(one.withColumn("history", F.lit(0)), "history", "n")
-    # at most 128, 128 ** 2 and 128 ** 3 rows
-    p1 = np.full(CLASSES, 1.0 / CLASSES)
-    rows = one_.select("last", "direct", "back").toPandas()
-    if not len(rows):
-        return None
-    p1 *= rows["back"].iloc[0]
-    p1[rows["last"]] += rows["direct"]
-    p2 = np.tile(p1, (CLASSES, 1))
-    rows = two_.select("pair", "history", "direct", "back").toPandas()
-    back = np.ones(CLASSES)
-    back[rows["history"]] = rows["back"]
-    p2 = (p2 * back[:, None]).reshape(-1)
-    p2[rows["pair"]] += rows["direct"]
-    rows = three.select("gram", "history", "direct", "back").toPandas()
-    back = np.ones(CLASSES**2)
-    back[rows["history"]] = rows["back"]
-    p3 = (np.tile(p2.reshape(1, CLASSES, CLASSES), (CLASSES, 1, 1)).reshape(CLASSES**2, CLASSES) * back[:, None]).reshape(-1)
-    p3[rows["gram"]] += rows["direct"]
-    return np.log(np.maximum(p3, 1e-12)).astype(np.float32)
-
-
-def losses(table: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Total negative log-likelihood and characters of each text."""
-    classes, starts = classes_of(texts)
-    loss = np.zeros(len(classes))
-    loss[2:] = np.where(classes[2:] == BEGIN, 0, -table[trigrams_of(classes)])
-    return np.add.reduceat(loss, starts), np.array([len(t) for t in texts], dtype=np.int64)
-
-
-def scoring(table, extra: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds __loss and __chars of the column text to the columns ``extra``."""
+    return [min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1)]
+
+
+def train(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]] | None:
+    """Per order from 1 on: (hi, lo, n, off) and its histories (hh, hl, total, back); None without text."""
+    counts = trusted.select("text").mapInArrow(counting, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
+    levels = []
+    for k in range(ORDER, 0, -1):
+        counts = stored(counts, f"grams{k}")
+        if counts.isEmpty():
+            return None
+        d = discounts(counts)
+        off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        hh, hl = history()
+        per = counts.groupBy(hh.alias("hh"), hl.alias("hl")).agg(F.sum("n").alias("total"), *[F.count_if(c).alias(f"n{i}") for i, c in enumerate((F.col("n") == 1, F.col("n") == 2, F.col("n") > 2), 1)])
+        back = (d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total")  # from whole numbers: the same however rows are dealt
+        levels.insert(0, (counts.withColumn("off", off), stored(per.select("hh", "hl", "total", back.alias("back")), f"histories{k}")))
+        if k > 1:
+            sh, sl = suffix(k)
+            counts = counts.select(sh.alias("hi"), sl.alias("lo")).groupBy("hi", "lo").agg(F.count("*").alias("n"))
+    return levels
+
+
+def probabilities(levels: list[tuple[DataFrame, DataFrame]], wanted: DataFrame) -> DataFrame:
+    """hi, lo, loss for the distinct n-grams ``wanted``, by joins with the counts of every order."""
+    needed = {ORDER: wanted}
+    for k in range(ORDER, 1, -1):
+        sh, sl = suffix(k)
+        needed[k - 1] = stored(needed[k].select(sh.alias("hi"), sl.alias("lo")).distinct(), f"needed{k - 1}")
+    lower = None
+    for k, (counts, histories) in enumerate(levels, 1):
+        hh, hl = history()
+        rows = needed[k].join(counts, ["hi", "lo"], "left").withColumns({"hh": hh, "hl": hl}).join(histories, ["hh", "hl"], "left")
+        if lower is None:
+            rows = rows.withColumn("lower", F.lit(1.0 / SYMBOLS))
+        else:
+            sh, sl = suffix(k)
+            rows = rows.withColumns({"sh": sh, "sl": sl}).join(lower.select(F.col("hi").alias("sh"), F.col("lo").alias("sl"), F.col("p").alias("lower")), ["sh", "sl"])
+        p = F.coalesce((F.col("n") - F.col("off")) / F.col("total"), F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("lower")
+        lower = stored(rows.select("hi", "lo", p.alias("p")), f"probabilities{k}")
+    return lower.select("hi", "lo", (-F.log("p")).cast("float").alias("loss"))
+
+
+class Losses:
+    """The losses of a part's n-grams."""
+
+    def __init__(self, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        hi, lo, loss = (np.concatenate(c) for c in zip(*held))
+        mark = self.mark(hi, lo)
+        order = np.argsort(mark)
+        self.marks, self.hi, self.lo, self.loss = mark[order], hi[order], lo[order], loss[order].astype(np.float64)
+
+    @staticmethod
+    def mark(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        return lo.astype(np.uint64) ^ hi.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def of(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.marks, self.mark(hi, lo)), len(self.marks) - 1)
+        if not ((self.hi[at] == hi) & (self.lo[at] == lo)).all():
+            raise ValueError("a part's list of n-grams lacks one of its texts'")
+        return self.loss[at]
+
+
+def text_losses(table: Losses | None, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's loss over all characters, and over those that the cache doesn't know."""
+    total, fresh = np.zeros(len(texts)), np.zeros(len(texts))
+    for spans in pieces(texts):
+        for piece in grams(texts, spans):
+            keys = np.unique(piece.keys)
+            loss = table.of(*piece.words(keys))[np.searchsorted(keys, piece.keys)]
+            total += np.bincount(piece.owner, loss, len(texts))
+            fresh += np.bincount(piece.owner, np.where(piece.recent, 0, loss), len(texts))
+    return total, fresh
+
+
+def packing(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = [None if t is None else pack.compress(t.encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(packed, pa.binary())], names=[*columns, "packed"])
+
+    return run
+
+
+def scoring(columns: list[str], text_at: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows sorted by (part, kind), n-grams with losses before texts: ``columns`` with loss, fresh, chars, blank;
+    the text comes back in place ``text_at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        at, held, table = None, [], None
         for batch in batches:
-            found = [losses(table.value, texts) for _, texts in text_groups(batch.column("text").to_pylist())]
-            columns = [batch.column(c) for c in extra] + [pa.array(np.concatenate([f[k] for f in found]) if found else np.empty(0), kind) for k, kind in ((0, pa.float64()), (1, pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*extra, "__loss", "__chars"])
+            parts, kinds = np.asarray(batch.column("part")), np.asarray(batch.column("kind"))
+            for a, b in runs_of(parts, kinds):
+                if parts[a] != at:
+                    at, held, table = parts[a], [], None
+                if kinds[a] == 0:
+                    held.append(tuple(np.asarray(batch.column(c).slice(a, b - a)) for c in ("hi", "lo", "loss")))
+                    continue
+                if table is None and held:
+                    table, held = Losses(held), []
+                for c in range(a, b, 256):
+                    rows = batch.slice(c, min(256, b - c))
+                    texts = [None if x is None else unpack.decompress(x).decode() if x else "" for x in rows.column("packed").to_pylist()]
+                    total, fresh = text_losses(table, [t or "" for t in texts])
+                    out = [pa.array(texts, pa.string()) if i == text_at else rows.column(n) for i, n in enumerate(columns)]
+                    chars, blank = [len(t or "") for t in texts], [not (t and t.strip()) for t in texts]
+                    yield pa.RecordBatch.from_arrays([*out, pa.array(total), pa.array(fresh), pa.array(chars, pa.int64()), pa.array(blank)], names=[*columns, "loss", "fresh", "chars", "blank"])
 
     return run
 
 
-def scored(docs: DataFrame, table: np.ndarray, columns: list[str]) -> DataFrame:
-    """``columns`` of the documents (under whatever names) with __loss and __chars."""
-    numbered = [F.col(f"`{c}`").alias("text" if c == "text" else f"c{i}") for i, c in enumerate(columns)]
-    needed = docs.select(*numbered, *([] if "text" in columns else ["text"]))
-    extra = ["text" if c == "text" else f"c{i}" for i, c in enumerate(columns)]
-    schema = needed.select(*extra).schema.add("__loss", "double").add("__chars", "long")
-    table = docs.sparkSession.sparkContext.broadcast(table)
-    return needed.mapInArrow(scoring(table, extra), schema).toDF(*columns, "__loss", "__chars")
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` with part: a digest of file and row number, the same in every run; rows without a file are written first."""
+    try:
+        part = F.hash("_metadata.file_path", F.floor(F.col("_metadata.row_index") / PART_ROWS))
+        return docs.select("*", part.alias("part"))
+    except AnalysisException:
+        return located(stored(docs, "located"))
+
+
+def scored(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]], columns: list[str], text: str) -> DataFrame:
+    """``columns`` of ``docs`` with loss, fresh, chars and blank. Names must not be those of this function's own columns."""
+    placed = located(docs)
+    # narrow rows: part and n-gram
+    listed = stored(placed.select("part", F.col(text).alias("text")).mapInArrow(listing, "part int, hi long, lo long"), "listed")
+    wanted = stored(listed.select("hi", "lo").distinct(), "wanted")
+    losses = listed.join(probabilities(levels, wanted), ["hi", "lo"]).withColumn("kind", F.lit(0))
+    others = [c for c in columns if c != text]
+    texts = placed.select("part", F.lit(1).alias("kind"), *others, F.col(text).alias("text"))
+    schema = texts.select("part", "kind", *others).schema.add("packed", "binary")
+    texts = texts.mapInArrow(packing(["part", "kind", *others]), schema)
+    both = losses.unionByName(texts, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", "kind")
+    out = docs.select(*columns).schema.add("loss", "double").add("fresh", "double").add("chars", "long").add("blank", "boolean")
+    return both.mapInArrow(scoring(columns, columns.index(text) if text in columns else None), out)
+
+
+def quantiles(rows: DataFrame, value: Column, shares: dict[str, float]) -> DataFrame:
+    """lang, n and a column for each share: the least step that so many of the language's rows don't exceed. Exact."""
+    bins = rows.groupBy("lang", F.round(value / STEP).cast("long").alias("bin")).agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy("lang").orderBy("bin"))  # rates span a few thousand steps, whatever the rows
+    bins = bins.withColumns({"upto": upto, "n": F.sum("k").over(Window.partitionBy("lang"))})
+    return bins.groupBy("lang").agg(F.max("n").alias("n"), *[(F.min(F.when(F.col("upto") >= s * F.col("n"), F.col("bin"))) * STEP).alias(name) for name, s in shares.items()])
+
+
+def gathered(*tables: DataFrame) -> DataFrame:
+    """One row per language with the columns of all tables."""
+    every = tables[0]
+    for table in tables[1:]:
+        every = every.unionByName(table, allowMissingColumns=True)
+    return every.groupBy("lang").agg(*[F.max(c).alias(c) for c in every.columns if c != "lang"])
+
+
+def drawn(what: str, middle: Column) -> Column:
+    """Rate per character, drawn to the middle."""
+    return (F.col(what) + SHRINK * middle) / (F.col("chars") + SHRINK)
 
 
 def thresholds(trusted: DataFrame) -> DataFrame:
-    """lang (null: all documents), middle, low, high: loss per character, from scored trusted documents."""
-    rate = F.col("__loss") / F.col("__chars")
-    rows = trusted.where(F.col("__chars") > 0).withColumn("rate", rate)
-    middles = rows.groupBy("lang").agg(F.percentile_approx("rate", 0.5, 10_000).alias("middle"), F.count("*").alias("n")).where((F.col("n") >= FEWEST) & F.col("lang").isNotNull())
-    overall = rows.agg(F.percentile_approx("rate", 0.5, 10_000).alias("middle"))
-    middles = stored(middles.select("lang", "middle").unionByName(overall.select(F.lit(None).cast("string").alias("lang"), "middle")), "middles")
-    own = rows.join(F.broadcast(middles.where("lang is not null")), "lang")
-    every = rows.drop("lang").crossJoin(F.broadcast(middles.where("lang is null")))  # one row
-    drawn = (F.col("__loss") + SHRINK * F.col("middle")) / (F.col("__chars") + SHRINK)
-    bounds = own.select("lang", drawn.alias("rate")).unionByName(every.select("lang", drawn.alias("rate")))
-    bounds = bounds.groupBy("lang").agg(F.percentile_approx("rate", [LOW, HIGH], 10_000).alias("q"))
-    return middles.alias("m").join(bounds.alias("b"), F.col("m.lang").eqNullSafe(F.col("b.lang"))).select("m.lang", "middle", (F.col("q")[0] / MARGIN).alias("low"), (F.col("q")[1] * MARGIN).alias("high"))
+    """lang (null: all), middle, high, middle_fresh, low: from the scored trusted texts."""
+    rows = trusted.where(~F.col("blank"))
+    rows = rows.select(F.explode(F.array_distinct(F.array("lang", F.lit(None).cast("string")))).alias("lang"), "loss", "fresh", "chars")
+    middles = gathered(quantiles(rows, F.col("loss") / F.col("chars"), {"middle": 0.5}), quantiles(rows, F.col("fresh") / F.col("chars"), {"middle_fresh": 0.5}))
+    middles = stored(middles.where((F.col("n") >= FEWEST) | F.col("lang").isNull()).drop("n"), "middles")
+    rows = rows.join(middles.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of")))
+    bounds = gathered(middles, quantiles(rows, drawn("loss", F.col("middle")), {"high": HIGH}), quantiles(rows, drawn("fresh", F.col("middle_fresh")), {"low": LOW}))
+    # languages that have rows but too few have no middle
+    return bounds.where("middle is not null").select("lang", "middle", "middle_fresh", (F.col("high") * MARGIN).alias("high"), (F.col("low") / MARGIN).alias("low"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of all documents with __perplexity, __low, __high and __keep."""
+    """``columns`` of all documents, numbered c0 on, with perplexity, fresh_perplexity, low, high and keep."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select("doc_id")
-    trusted = by_ids(docs.select("doc_id", "lang", "text"), good).select("lang", "text")
-    table = train(trusted)
-    if table is None:
+    names = list(dict.fromkeys([*columns, "doc_id", "lang", "text"]))
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()])
+    trusted = by_ids(rows, good, key=at["doc_id"]).select(F.col(at["text"]).alias("text"))
+    levels = train(trusted.where(F.pmod(F.xxhash64("text"), F.lit(4)) != 0))
+    kept = [at[c] for c in columns]
+    if levels is None:
         nothing = F.lit(None).cast("double")
-        return docs.select(*[F.col(f"`{c}`") for c in columns], nothing.alias("__perplexity"), nothing.alias("__low"), nothing.alias("__high"), F.lit(True).alias("__keep"))
-    limits = stored(thresholds(scored(trusted, table, ["lang"])), "limits")
-    hint = F.broadcast if limits.count() <= MOST_LANGUAGES else (lambda df: df)
-    own = limits.where("lang is not null").select(F.col("lang").alias("__lang"), F.struct("middle", "low", "high").alias("__own"))
-    every = limits.where("lang is null").select(F.struct("middle", "low", "high").alias("__every"))
-    rows = scored(docs, table, list(dict.fromkeys([*columns, "lang"])))
-    rows = rows.join(hint(own), rows["lang"] == F.col("__lang"), "left").crossJoin(F.broadcast(every)).withColumn("__by", F.coalesce("__own", "__every"))
-    drawn = (F.col("__loss") + SHRINK * F.col("__by.middle")) / (F.col("__chars") + SHRINK)
-    return rows.select(*[F.col(f"`{c}`") for c in columns], F.exp(drawn).alias("__perplexity"), F.exp("__by.low").alias("__low"), F.exp("__by.high").alias("__high"), drawn.between(F.col("__by.low"), F.col("__by.high")).alias("__keep"))
+        keep = F.coalesce(F.regexp_like(at["text"], F.lit(r"\S")), F.lit(False))
+        return rows.select(*kept, *[nothing.alias(c) for c in ("perplexity", "fresh_perplexity", "low", "high")], keep.alias("keep"))
+    wanted = list(dict.fromkeys([*kept, at["doc_id"], at["lang"]]))
+    found = stored(scored(rows, levels, wanted, at["text"]), "scored")
+    limits = stored(thresholds(by_ids(found, good, key=at["doc_id"]).withColumn("lang", F.col(at["lang"]))), "limits")
+    own = limits.where("lang is not null").select(F.col("lang").alias("of"), F.struct("middle", "middle_fresh", "low", "high").alias("own"))
+    every = limits.where("lang is null").select(F.struct("middle", "middle_fresh", "low", "high").alias("every"))
+    # one row per language with FEWEST trusted documents; Spark broadcasts it while it is small
+    found = found.join(own, F.col(at["lang"]) == F.col("of"), "left").join(F.broadcast(every), F.lit(True), "left")  # one row
+    found = found.withColumn("by", F.coalesce("own", "every"))
+    rate, fresh = drawn("loss", F.col("by.middle")), drawn("fresh", F.col("by.middle_fresh"))
+    some = ~F.col("blank")
+    keep = some & F.coalesce((F.round(rate / STEP) * STEP <= F.col("by.high")) & (F.round(fresh / STEP) * STEP >= F.col("by.low")), F.lit(True))
+    return found.select(*kept, F.when(some, F.exp(rate)).alias("perplexity"), F.when(some, F.exp(fresh)).alias("fresh_perplexity"), F.exp("by.low").alias("low"), F.exp("by.high").alias("high"), keep.alias("keep"))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    found = judged(docs, labels, ["doc_id", "lang"])
-    return found.select("doc_id", "lang", F.col("__perplexity").alias("perplexity"), F.col("__low").alias("low"), F.col("__high").alias("high"), F.col("__keep").alias("keep"))
+    """doc_id, lang, perplexity, fresh_perplexity (both drawn), the bounds low (of the second) and high (of the first), keep."""
+    return judged(docs, labels, ["doc_id", "lang"]).withColumnsRenamed({"c0": "doc_id", "c1": "lang"})
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, all columns kept."""
-    return judged(docs, labels, docs.columns).where("__keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = judged(docs, labels, docs.columns).where("keep")
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op5_quality_kneser_ney(spark, sf_dir: str) -> DataFrame:
