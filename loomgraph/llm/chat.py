@@ -7,12 +7,14 @@ by one), so the rendered text is unambiguous too. The loss mask is the prefix su
 token of each assistant text and -1 behind its last.
 
 Turns are range-partitioned by (conversation, turn), so one huge conversation spreads over many
-tasks; each task streams its turns into blocks of whole turns. Conversations that may continue in
-another block are put together when read, in order and one block at a time.
+tasks; each task streams its turns into blocks of whole turns. Blocks are decoded where they lie;
+those of a conversation that may continue in another block give their texts, compressed, to one task,
+which streams them in order, since a digest has to be sequential.
 
 Defined results: a null text or role is empty; a null turn comes first; ties go by role, then text;
 a null conv_id is a conversation of its own; repeated rows are turns of their own; an empty table
-gives the added conversation only; other columns are ignored.
+gives the added conversation only; other columns are ignored; a very long text is encoded in slices of
+``SLICE`` code points, whose bytes join to the same text.
 """
 
 from __future__ import annotations
@@ -34,9 +36,12 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Reserved ids and how they are rendered.
 START, BODY, END = 50257, 50258, 50259
 RENDERED = {START: "<|im_start|>", BODY: "\n", END: "<|im_end|>\n"}
+#: The library's pattern can't take runs of hundreds of thousands of blanks.
+SLICE = 1 << 16
 #: A block ends with the turn that brings it to so many tokens.
 BLOCK_TOKENS = 32_768
 BLOCKS = "conv_id long, part int, block long, whole boolean, chars long, ids array<int>, mask array<byte>"
+SAID = "conv_id long, part int, block long, n long, loss_chars long, chars long, said binary, loss binary"
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 _loaded: dict[str, object] = {}
 
@@ -60,14 +65,25 @@ def unescaped(text: str) -> str:
     return re.sub(r"<(\\*)\\\|", r"<\1|", text) if "|" in text else text
 
 
+def encoded(text: str, enc) -> list[int]:
+    text = escaped(text)
+    if len(text) <= SLICE:
+        return enc.encode_ordinary(text)
+    return [i for a in range(0, len(text), SLICE) for i in enc.encode_ordinary(text[a: a + SLICE])]
+
+
+def decoded(ids: np.ndarray, enc) -> str:
+    return unescaped(enc.decode_bytes(ids.tolist()).decode())
+
+
 def assembled(turns: list[tuple[str, str]], enc, trained: str) -> tuple[list[int], np.ndarray]:
     """Token ids and loss mask of the turns."""
     ids: list[int] = []
     edges: list[tuple[int, int]] = []
     for role, text in turns:
-        ids += [START, *enc.encode_ordinary(escaped(role)), BODY]
+        ids += [START, *encoded(role, enc), BODY]
         first = len(ids)
-        ids += enc.encode_ordinary(escaped(text))
+        ids += encoded(text, enc)
         if role == trained:
             edges.append((first, len(ids)))
         ids.append(END)
@@ -127,52 +143,90 @@ def parsed(ids: np.ndarray, enc) -> Iterator[tuple[str, str]]:
     """(role, text) of each turn, from ids alone."""
     starts, bodies, ends = (np.flatnonzero(ids == x) for x in (START, BODY, END))
     for a, b, c in zip(starts, bodies, ends):
-        yield unescaped(enc.decode(ids[a + 1:b].tolist())), unescaped(enc.decode(ids[b + 1:c].tolist()))
+        yield decoded(ids[a + 1:b], enc), decoded(ids[b + 1:c], enc)
+
+
+def contents(ids: np.ndarray, mask: np.ndarray, enc) -> tuple[int, str, str, int]:
+    """Of a block: its turns, what they say, what the loss mask covers, and its rendered characters."""
+    turns = list(parsed(ids, enc))
+    steps = np.diff(np.concatenate([[0], mask, [0]]))
+    loss = "".join(decoded(ids[a:b], enc) for a, b in zip(np.flatnonzero(steps > 0), np.flatnonzero(steps < 0)))
+    chars = len(enc.decode_bytes(ids[ids < START].tolist()).decode()) + sum(int((ids == k).sum()) * len(v) for k, v in RENDERED.items())
+    return len(turns), "".join(f"{role}\n{text}\n" for role, text in turns), loss, chars
+
 
+def arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i in range(batch.num_rows):
+        yield tuple(np.asarray(batch.column(c)[i].values) for c in ("ids", "mask"))
 
-def digests(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Streams blocks sorted by conversation; a conversation's digests are running ones."""
+
+def sha256(data: str) -> str:
+    return hashlib.sha256(data.encode()).hexdigest()
+
+
+def whole_digests(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Digests of conversations that lie in one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, state = codec(path), [], None
-        schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+        enc = codec(path)
+        for batch in batches:
+            found = [contents(ids, mask, enc) for ids, mask in arrays(batch)]
+            n, said, loss, chars = zip(*found) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(n, pa.int64()), pa.array(map(sha256, said), pa.string()), pa.array(map(len, loss), pa.int64()), pa.array(map(sha256, loss), pa.string()), pa.array(chars, pa.int64())], names=[c.split()[0] for c in DIGESTS.split(", ")])
+
+    return run
 
-        def close(s) -> None:
-            out.append({"conv_id": s["conv"], "n_turns": s["n"], "turns_sha256": s["turns"].hexdigest(), "loss_chars": s["loss_chars"], "loss_sha256": s["loss"].hexdigest(), "formatted_chars": s["chars"]})
 
+def said_in_blocks(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        enc, pack = codec(path), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for i, conv in enumerate(batch.column("conv_id").to_pylist()):
-                if state is None or conv != state["conv"]:
-                    if state is not None:
-                        close(state)
-                    state = {"conv": conv, "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0}
-                ids, mask = (np.asarray(batch.column(c)[i].values) for c in ("ids", "mask"))
-                for role, text in parsed(ids, enc):
-                    state["n"] += 1
-                    state["turns"].update(f"{role}\n{text}\n".encode())
-                steps = np.diff(np.concatenate([[0], mask, [0]]))
-                for a, b in zip(np.flatnonzero(steps > 0), np.flatnonzero(steps < 0)):
-                    text = unescaped(enc.decode(ids[a:b].tolist()))
-                    state["loss"].update(text.encode())
-                    state["loss_chars"] += len(text)
-                state["chars"] += len(enc.decode(ids[ids < START].tolist())) + sum(int((ids == k).sum()) * len(v) for k, v in RENDERED.items())
-            if len(out) >= 10_000:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-                out.clear()
-        if state is not None:
-            close(state)
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                n, said, loss, chars = contents(*next(arrays(row)), enc)
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("conv_id", "part", "block")), *(pa.array([x], pa.int64()) for x in (n, len(loss), chars)), *(pa.array([pack.compress(x.encode())]) for x in (said, loss))], names=[c.split()[0] for c in SAID.split(", ")])
 
     return run
 
 
+def joined_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams blocks' texts sorted by conversation; a conversation's digests are running ones."""
+    import zstandard
+
+    unpack, out, state = zstandard.ZstdDecompressor(), [], None
+    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
+    def close(s) -> None:
+        out.append({"conv_id": s["conv"], "n_turns": s["n"], "turns_sha256": s["turns"].hexdigest(), "loss_chars": s["loss_chars"], "loss_sha256": s["loss"].hexdigest(), "formatted_chars": s["chars"]})
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("conv_id", "n", "loss_chars", "chars", "said", "loss")]
+        for conv, n, loss_chars, chars, said, loss in zip(*columns):
+            if state is None or conv != state["conv"]:
+                if state is not None:
+                    close(state)
+                state = {"conv": conv, "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0}
+            state["turns"].update(unpack.decompress(said))
+            state["loss"].update(unpack.decompress(loss))
+            state.update(n=state["n"] + n, loss_chars=state["loss_chars"] + loss_chars, chars=state["chars"] + chars)
+        if len(out) >= 10_000:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            out.clear()
+    if state is not None:
+        close(state)
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+
 def chat_digests(spark: SparkSession, path: str, vocabulary: str | None = None) -> DataFrame:
-    run = digests(vocabulary or vocabulary_path(VOCABULARY))
+    vocabulary = vocabulary or vocabulary_path(VOCABULARY)
     stored = spark.read.schema(BLOCKS).parquet(path)
-    whole = stored.where("whole").select("conv_id", "ids", "mask").mapInArrow(run, DIGESTS)
-    pieces = stored.where("not whole").repartition("conv_id").sortWithinPartitions("conv_id", "part", "block")
-    return whole.unionByName(pieces.select("conv_id", "ids", "mask").mapInArrow(run, DIGESTS))
+    whole = stored.where("whole").select("conv_id", "ids", "mask").mapInArrow(whole_digests(vocabulary), DIGESTS)
+    pieces = stored.where("not whole").select("conv_id", "part", "block", "ids", "mask").mapInArrow(said_in_blocks(vocabulary), SAID)
+    pieces = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "part", "block")
+    return whole.unionByName(pieces.mapInArrow(joined_digests, DIGESTS))
 
 
 def op4_chat_format(spark, sf_dir: str) -> DataFrame:
