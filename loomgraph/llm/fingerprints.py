@@ -1,20 +1,23 @@
 """Operator 9: document fingerprints from statistically improbable features.
 
-Features are windows of 64 bytes. Each window's Shannon entropy, in steps of 1/16 bit, is looked up
+Features are windows of 32 bytes. Each window's Shannon entropy, in steps of 1/16 bit, is looked up
 in the corpus: the rarer a window's entropy among all windows of all documents, the better its rank.
-A window is selected if it has the best rank in at least ``POPULAR`` of the 64 neighbourhoods of
-64 windows that hold it. Selected features go into Bloom filters of 256 bytes, up to ``PER_FILTER``
+A window is selected if it has the best rank in at least ``POPULAR`` of the ``NEAR`` neighbourhoods
+of as many windows that hold it. Selected features go into Bloom filters of 256 bytes, up to ``PER_FILTER``
 each, chained in text order. The likeness of two digests compares their filters' common bits with
 those that chance and full agreement would give.
 
-The whole corpus is scanned twice: once for the entropy histogram (a row of 97 counts per task),
+The whole corpus is scanned twice: once for the entropy histogram (a row of 81 counts per task),
 once for the digests. For the second scan, documents travel once, compressed, to the task of their
 doc_id range; the first document of each range also goes to the range before, so every document
 meets its successor in order of doc_id.
 
-A text under 256 bytes has too few windows of 64; all its windows of 8 bytes are features instead.
+Every text is read between ``MARGIN`` filler bytes on each side, so that one rule holds for all
+lengths: a window has at least 12 bytes of the text, or all of a shorter one.
 
-Defined results: a null text is empty; a text without a feature has its whole text as the only one; the empty text has the empty fingerprint, alike 1 to itself and 0 to others; null doc_ids
+Defined results: a null text is empty; if no window of a text is selected, its best is; the empty text
+has the empty fingerprint, alike 1 to itself and 0 to others; a very long text is read in overlapping
+pieces with the same result; repeated rows are compared with each other as successors; null doc_ids
 come first and equal doc_ids go by the text's digest, then arbitrarily between equal rows; a single
 row is its own successor; an empty table gives an empty result; other columns are ignored.
 """
@@ -32,10 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import text_key
 
-WINDOW, NEAR, POPULAR = 64, 64, 16
-SHORT, SHORT_WINDOW = 256, 8
+WINDOW, NEAR, POPULAR = 32, 24, 6
+MARGIN, FILLER = 20, b"\xff"  # no byte of UTF-8
 FILTER_BYTES, PER_FILTER, HASHES = 256, 128, 5
-LEVELS = 6 * 16 + 1
+LEVELS = 5 * 16 + 1
 #: Bytes of text worked on at once; a longer text is worked on in overlapping pieces.
 PIECE = 256 << 10
 COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -56,9 +59,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def window_levels(raw: np.ndarray) -> np.ndarray:
-    """Entropy level of the window that begins at each byte (len(raw) - 63 of them)."""
+    """Entropy level of the window that begins at each byte (len(raw) - 31 of them)."""
     n = len(raw)
-    before, after = np.zeros(n, np.uint8), np.zeros(n, np.uint8)  # equal bytes among the 63 before, after
+    before, after = np.zeros(n, np.uint8), np.zeros(n, np.uint8)  # equal bytes among the 31 before, after
     for d in range(1, WINDOW):
         same = (raw[d:] == raw[:-d]).view(np.uint8)
         before[d:] += same
@@ -66,15 +69,16 @@ def window_levels(raw: np.ndarray) -> np.ndarray:
     first = np.bincount(raw[:WINDOW], minlength=256)
     change = _STEP[before[WINDOW:]] - _STEP[after[: n - WINDOW]]
     total = np.concatenate([[_PHI[first].sum()], change]).cumsum()
-    return np.clip(np.rint((6 - total / (WINDOW * _UNIT)) * 16), 0, LEVELS - 1).astype(np.uint8)
+    return np.clip(np.rint((5 - total / (WINDOW * _UNIT)) * 16), 0, LEVELS - 1).astype(np.uint8)
 
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[bytes, list[tuple[int, int, int]]]]:
-    """(bytes, [(text, begin, end)]): texts joined to about PIECE bytes; a longer text comes alone."""
-    held, spans, size = [], [], 0
+    """(bytes, [(text, begin, end)]): texts with margins joined to about PIECE bytes; a longer text comes alone."""
+    held, spans, size, margin = [], [], 0, FILLER * MARGIN
     for i, t in enumerate(texts):
-        if len(t) < SHORT:
+        if not t:
             continue
+        t = margin + t + margin
         if size and size + len(t) > PIECE:
             yield b"".join(held), spans
             held, spans, size = [], [], 0
@@ -125,13 +129,14 @@ def selected(raw: np.ndarray, spans: list[tuple[int, int, int]], ranks: np.ndarr
             least = np.minimum(least[:-step], least[step:])
             width += step
         best = np.bincount(least & ((1 << 40) - 1), minlength=n)
-        found.append(np.flatnonzero(best >= min(POPULAR, len(least))))
+        popular = np.flatnonzero(best >= POPULAR)
+        found.append(popular if len(popular) else np.array([key.argmin()]))
     return found
 
 
-def feature_hashes(raw: np.ndarray, places: np.ndarray, width: int = WINDOW) -> np.ndarray:
-    powers = np.cumprod(np.full(width, _ODD, np.uint64))
-    return mixed((_BYTE[raw[places[:, None] + np.arange(width)]] * powers).sum(axis=1))
+def feature_hashes(raw: np.ndarray, places: np.ndarray) -> np.ndarray:
+    powers = np.cumprod(np.full(WINDOW, _ODD, np.uint64))
+    return mixed((_BYTE[raw[places[:, None] + np.arange(WINDOW)]] * powers).sum(axis=1))
 
 
 def filters_of(features: np.ndarray) -> np.ndarray:
@@ -166,16 +171,8 @@ def fingerprints(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
             starts = np.concatenate([p + a for p, (_, a, _) in zip(chosen, spans)])
             places = np.split(feature_hashes(raw, starts), np.cumsum([len(p) for p in chosen])[:-1])
         for (i, _, _), features in zip(spans, places):
-            if len(features):
-                found[i] = filters_of(features)
-    for i, t in enumerate(texts):
-        if found[i] is None:
-            if SHORT_WINDOW <= len(t) < SHORT:
-                features = feature_hashes(np.frombuffer(t, np.uint8), np.arange(len(t) - SHORT_WINDOW + 1), SHORT_WINDOW)
-            else:
-                features = np.frombuffer(hashlib.blake2b(t, digest_size=8).digest(), "<u8") if t else np.empty(0, np.uint64)
             found[i] = filters_of(features)
-    return found
+    return [filters_of(np.empty(0, np.uint64)) if f is None else f for f in found]
 
 
 def encoded(bits: np.ndarray) -> str:
@@ -278,7 +275,7 @@ def dealt(bounds: list[tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 def corpus_ranks(docs: DataFrame) -> np.ndarray:
     """Ranks of the entropy levels, from all windows of all documents."""
     counts = np.zeros(LEVELS, np.int64)
-    for r in docs.select("text").mapInArrow(histogram, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():  # 97 rows
+    for r in docs.select("text").mapInArrow(histogram, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():  # LEVELS rows
         counts[r["level"]] = r["n"]
     return ranks_of(counts)
 
