@@ -2,31 +2,35 @@
 
 The network reads windows of bytes in both directions, gives every position a distribution over the
 languages, and a document's log-probabilities are averaged over all its positions. It is trained on
-the driver in numpy, by backpropagation through time, on a bounded sample: ``PER_LANGUAGE`` slices
-of ``SLICE`` code points per language, taken by the digest of doc_id. Prediction runs in Arrow
-batches over every byte of every text.
+the driver in numpy, by backpropagation through time, on a bounded sample: slices of ``SLICE`` code
+points, ``PER_LANGUAGE`` per language or as many as ``SAMPLE`` gives each of the languages, one at
+least. Rows and the slices' places in their texts are taken by a digest of doc_id and text. Prediction
+runs in Arrow batches over every byte of every text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; languages are those
-of the training rows (at most ``MOST_LANGUAGES``, the most frequent); with none, all is ``und``; a
-long text is read window by window; repeated rows and ties need no rule; an empty table gives an
-empty result; other columns are ignored, and lang, source and doc_id play no part in a prediction.
+of the training rows, all of them; with none, all is ``und``; a long text is read window by window;
+repeated rows count once in the sample and are predicted alike; on a tie the language first in order
+is predicted; an empty table gives an empty result; other columns are ignored, and lang, source and
+doc_id play no part in a prediction.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Bounds of the training sample.
-PER_LANGUAGE, SLICE, MOST_LANGUAGES = 400, 256, 200
+PER_LANGUAGE, SLICE, SAMPLE = 400, 256, 80_000
 HIDDEN, WINDOW, ABREAST = 8, 96, 1024
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -190,17 +194,20 @@ def predicting(net: Network | None) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def sample(docs: DataFrame, trainable: Column, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(text slice, lang), at most ``per_language`` a language: those of the least digests of doc_id.
+    """(text slice, lang), at most ``per_language`` a language: those of the least digests of doc_id and text.
 
-    Only digests below a share of their range, set by the language's count so that twice as many rows
-    as needed pass, are ranked; so no task meets more of a frequent language than of a rare one.
+    Only digests below a share of their range, set by the language's count of them so that twice as many
+    rows as needed pass, are ranked; so no task meets more of a frequent language than of a rare one.
     """
     rows = docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    rows = rows.select("lang", F.substring("text", 1, SLICE).alias("slice"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("digest"))
-    share = F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") / 2**32
-    few = rows.join(F.broadcast(counts), "lang").where(share * F.col("n") < 2 * per_language)  # at most MOST_LANGUAGES rows
-    first = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("digest", "slice"))).where(F.col("rank") <= per_language)
+    digest = F.xxhash64("doc_id", "text")
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.char_length("text") - SLICE + 1)).cast("int") + 1
+    rows = rows.select("lang", digest.alias("digest"), F.substr("text", start, F.lit(SLICE)).alias("slice"))
+    counts = stored(rows.select("lang", "digest").distinct().groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    each = max(1, min(per_language, SAMPLE // max(1, counts.count())))
+    share = F.col("digest") / 2.0**64 + 0.5
+    few = rows.join(counts, "lang").where(share * F.col("n") < 2 * each).dropDuplicates(["lang", "digest"])
+    first = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("digest", "slice"))).where(F.col("rank") <= each)
     return [(r["slice"], r["lang"]) for r in first.orderBy(F.desc("n"), "lang", "slice").select("slice", "lang").collect()]
 
 
