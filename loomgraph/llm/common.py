@@ -39,7 +39,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it: later reads start from the files."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discarded(table: DataFrame) -> None:
+    """Deletes the files of a table that :func:`stored` gave, once nothing reads them any more."""
+    jvm = table.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Bitmaps of 32,768 ids that are broadcast, of 4 KB each; beyond, ids are joined by sorting.

@@ -21,8 +21,9 @@ With 28 bands of 4 rows a pair at the threshold 0.75 shares a bucket with probab
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing; a row with
 null doc_id is linked with nothing, has no component and is kept; rows that share a doc_id are one
-node; an empty table gives an empty result; other columns are ignored by the report and kept by the
-filter.
+node, linked by any of their texts; ties in size don't matter, the least doc_id stays; a very long text
+is hashed in pieces with the same result; an empty table gives an empty result; other columns are
+ignored by the report and kept by the filter.
 """
 
 from __future__ import annotations
@@ -34,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids, stored
+from .common import by_ids, discarded, stored
 
 BANDS, ROWS, WORDS = 28, 4, 5
 #: Members compared in one task group with a hub's set.
 SALTED = 256
+#: Shares in which a hub's members are counted.
+SHARES = 64
 #: Members and shingles of a block whose sets a task holds.
 BLOCK, BLOCK_SHINGLES = 1024, 4 << 20
 #: Bytes of text hashed at once; a longer text is cut at white space.
@@ -100,7 +103,7 @@ def shingle_set(words: np.ndarray, n: int = WORDS) -> np.ndarray:
     if not len(words):
         return words
     if len(words) < n:
-        return mixed((words * _PLACE[: len(words)]).sum(keepdims=True) + np.uint64(len(words)) * _PLACE[-1])
+        return mixed((words * _PLACE[: len(words)]).sum(keepdims=True) + np.array([len(words)], np.uint64) * _PLACE[-1:])
     total = words[: len(words) - n + 1] * _PLACE[0]
     for j in range(1, n):
         total = total + words[j: len(words) - n + 1 + j] * _PLACE[j]
@@ -164,22 +167,30 @@ def shingled(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def confirmed(least_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From rows sorted by (hub, salt, member first null): the members linked with their hub."""
+    """From rows sorted by (hub, salt, member first null): the members linked with their hub.
+
+    A hub has as many sets as its doc_id has different texts; a member is linked by any of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, np.empty(0, np.uint64)
+        hub, own, begun = None, {}, False
         for batch in batches:
             hubs, members = batch.column("hub").to_pylist(), batch.column("member").to_pylist()
             linked = []
             for h, m, found in zip(hubs, members, shingle_sets(batch.column("text"))):
                 if m is None:
-                    hub, own = h, found
+                    if h != hub or begun:
+                        hub, own, begun = h, {}, False
+                    own[found.tobytes()] = found
                     continue
                 assert h == hub, "a star without its hub"
-                both = len(np.intersect1d(own, found, assume_unique=True))
-                if 100 * both >= least_percent * (len(own) + len(found) - both):
-                    linked.append((h, m))
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in linked], pa.int64()), pa.array([m for _, m in linked], pa.int64())], names=["hub", "member"])
+                begun = True
+                for mine in own.values():
+                    both = len(np.intersect1d(mine, found, assume_unique=True))
+                    if len(found) and 100 * both >= least_percent * (len(mine) + len(found) - both):
+                        linked.append((h, m))
+                        break
+            yield joins(linked)
 
     return run
 
@@ -275,12 +286,15 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in ``links`` (hub, member): the least id that can be reached."""
     both = stored(links.select(F.col("hub").alias("id"), F.col("member").alias("other")).unionByName(links.select(F.col("member").alias("id"), F.col("hub").alias("other"))), "links")
     labels = stored(both.groupBy("id").agg(F.min("other").alias("least")).select("id", F.least("id", "least").alias("component")), "labels")
+    before = None
     while True:
         heard = both.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("heard"))
         nearer = labels.join(heard, "id").select("id", F.col("component").alias("was"), F.least("component", "heard").alias("component"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("beyond"))
         after = stored(nearer.join(jump, "component").select("id", "was", F.least("component", "beyond").alias("component")), "labels")
-        labels = after.select("id", "component")
+        if before is not None:
+            discarded(before)
+        before, labels = after, after.select("id", "component")
         if after.where(F.col("component") != F.col("was")).isEmpty():
             return labels
 
@@ -302,7 +316,8 @@ def with_rest(texts: DataFrame, nodes: DataFrame, others: DataFrame, groups: Dat
     taken = F.transform("bands", lambda k: F.when(F.array_contains(F.col("within.bucket"), k), k).otherwise(F.lit(0).cast("long")))
     rest = rest.join(nodes.select("id", "bands"), "id").select(F.col("id").alias("doc_id"), "component", "within", taken.alias("keys"))
     # as in the stars: the list grows with the corpus
-    rest = texts.hint("merge").join(rest.hint("merge"), "doc_id").select("doc_id", "component", "keys", "text", F.explode("within").alias("w"))
+    rest = stored(rest, "others")
+    rest = by_ids(texts, rest.select("doc_id")).hint("merge").join(rest.hint("merge"), "doc_id").select("doc_id", "component", "keys", "text", F.explode("within").alias("w"))
     rest = rest.select("doc_id", "component", "keys", "text", "w.*").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("streamed"), "component", "keys", "text")
@@ -328,18 +343,25 @@ def report(docs: DataFrame, least_percent: int = 75, bands: int = BANDS, rows: i
     star = shared.select("id", F.explode(F.array("low", "high")).alias("hub")).where(F.col("id") != F.col("hub"))
     pairs = star.groupBy(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).agg(F.min("hub").alias("hub"))
     pairs = stored(pairs.select("hub", (F.col("a") + F.col("b") - F.col("hub")).alias("member")), "pairs")
-    # a text for each node; rows that share a doc_id give one of theirs
-    salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
-    wanted = pairs.join(salts, "hub").select(F.col("member").alias("doc_id"), "hub", "member", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"))
+    # the texts of each node; a hub's members are counted and salted in shares, so that no task meets all of them
+    share = F.pmod(F.xxhash64("member"), F.lit(SHARES)).cast("int")
+    counted = pairs.groupBy("hub", share.alias("share")).agg(F.count("*").alias("n"))
+    salts = stored(counted.groupBy("hub").agg(F.ceil(F.sum("n") / SALTED).cast("int").alias("salts")), "salts")
+    large = counted.select("hub", "share").join(salts.where("salts > 1"), "hub")
+    wanted = pairs.withColumn("share", share).join(large, ["hub", "share"], "left")
+    wanted = wanted.select(F.col("member").alias("doc_id"), "hub", "member", F.pmod(F.xxhash64("member", F.lit(1)), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
     own = salts.select(F.col("hub").alias("doc_id"), "hub", F.lit(None).cast("long").alias("member"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    # the list of candidates grows with the corpus: never broadcast, whatever its size looks like
-    stars = texts.hint("merge").join(wanted.unionByName(own).hint("merge"), "doc_id").select("hub", "salt", "member", "text")
+    wanted = stored(wanted.unionByName(own), "wanted")
+    # only candidates' texts are shuffled; their list grows with the corpus: never broadcast, whatever its size looks like
+    stars = by_ids(texts, wanted.select("doc_id")).hint("merge").join(wanted.hint("merge"), "doc_id").select("hub", "salt", "member", "text")
     stars = stars.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("member"))
     links = stars.mapInArrow(confirmed(least_percent), "hub long, member long")
     groups = components(stored(links, "confirmed"))
     groups = with_rest(texts, nodes, shared.where((F.col("id") != F.col("low")) & (F.col("id") != F.col("high"))).select("id", "bucket"), groups, least_percent)
     of_node = nodes.select("s1", "s2", "n_shingles", "id").join(groups, "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component"))
-    linked = rows_.select("doc_id", "n_shingles", "s1", "s2").join(of_node, ["s1", "s2", "n_shingles"], "left")
+    # empty sets have no node: they are dealt by row, not by set
+    alone = F.when(F.col("n_shingles") == 0, F.xxhash64("doc_id")).otherwise(F.col("s1"))
+    linked = rows_.select("doc_id", "n_shingles", alone.alias("s1"), "s2").join(of_node, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return linked.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
