@@ -3,16 +3,19 @@
 A line's key is the line without white space at its ends, A-Z in lower case; its 128-bit hash stands
 for it. (hash, document, line number) rows are range-partitioned by hash with a secondary sort by
 document, so one very common line spreads over several partitions. Each task streams its runs of
-equal hashes: runs inside the partition are decided on the spot, and the first and last run, which
-may continue next door, are decided from sums over those runs (two per partition at most). The
-decisions become one compressed bitmap of kept lines per document; texts never enter that shuffle.
+equal hashes: runs inside the partition are decided on the spot. The first and last run, which may
+continue next door, give their lines and a summary each: largest and smallest document and how many
+there are. A hash's summaries decide on its lines; there are as many as partitions that it reaches.
+The decisions become one compressed bitmap of kept lines per document; texts never enter that shuffle,
+and only texts that lose lines meet their bitmap in one.
 
 A key of at least ``shortest`` code points found in at least ``documents`` documents loses all its
 lines except in the largest doc_id that holds it.
 
 Defined results: a null or empty text is one empty line; rows with the same doc_id count as one
-document; a null doc_id is smaller than all others; an empty table gives an empty result; other
-columns are ignored by the report and kept by the filter.
+document; rows with null doc_ids count as one document, smaller than all others; repeated rows lose
+the same lines; a very long text is one row with many lines; an empty table gives an empty result;
+other columns, whatever their names, are ignored by the report and kept by the filter.
 """
 
 from __future__ import annotations
@@ -26,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, text_key
+from .common import by_ids, stored, text_key
 
 SPACE = "\t\n\v\f\r "
 NO_ID = -(1 << 63)
 LINES = "h1 long, h2 long, doc long, row long, line int"
-FOUND = "h1 long, h2 long, doc long, row long, line int, open boolean"
+#: Lines, and summaries of open runs (no line; doc is the largest of the run, last the smallest, docs their number).
+FOUND = "h1 long, h2 long, doc long, row long, line int, open boolean, last long, docs long"
+#: Decisions on open runs that are broadcast; beyond, they are joined.
+MOST_DECIDED = 500_000
 
 
 def lines_of(shortest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -62,13 +68,19 @@ def runs(documents: int, most_held: int = 1_000_000) -> Callable[[Iterator[pa.Re
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h1", "h2", "doc", "row", "line", "open"]
+        names = ["h1", "h2", "doc", "row", "line", "open", "last", "docs"]
         held: list[list[np.ndarray]] = []  # the run that goes on, in pieces
         key: tuple[int, int] | None = None
         is_open = True  # of the held run
 
         def out(cols: list[np.ndarray], undecided: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.full(len(cols[0]), undecided))], names=names)
+            n = len(cols[0])
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.full(n, undecided)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+
+        def summary() -> pa.RecordBatch:
+            docs = np.concatenate([piece[2] for piece in held])
+            row = {"h1": held[0][0][0], "h2": held[0][1][0], "doc": docs[0], "row": None, "line": None, "open": True, "last": docs[-1], "docs": 1 + int((docs[1:] != docs[:-1]).sum())}
+            return pa.RecordBatch.from_arrays([pa.array([row[c]], kind) for c, kind in zip(names, [pa.int64()] * 4 + [pa.int32(), pa.bool_(), pa.int64(), pa.int64()])], names=names)
 
         def decided(cols: list[np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Drops of whole runs. A run's first row has its largest document, rows of one document are adjacent."""
@@ -81,8 +93,9 @@ def runs(documents: int, most_held: int = 1_000_000) -> Callable[[Iterator[pa.Re
                 yield out([c[drop] for c in cols], False)
 
         def closed(undecided: bool) -> Iterator[pa.RecordBatch]:
-            if undecided:
+            if undecided and held:
                 yield from (out(piece, True) for piece in held)
+                yield summary()
             elif held:
                 yield from decided([np.concatenate(c) for c in zip(*held)], np.array([0]))
 
@@ -112,17 +125,18 @@ def runs(documents: int, most_held: int = 1_000_000) -> Callable[[Iterator[pa.Re
 
 def dropped_lines(docs: DataFrame, shortest: int = 20, documents: int = 3) -> DataFrame:
     """(doc, row, line) of every line that goes; doc is doc_id (the least long for null), row the text's digest."""
-    spark = docs.sparkSession
     rows = docs.select(doc_of(F.col("doc_id")).alias("doc"), text_key(F.col("text")).alias("row"), "text")
-    lines = rows.mapInArrow(lines_of(shortest), LINES)
+    lines = stored(rows.mapInArrow(lines_of(shortest), LINES), "hashes")  # range partitioning reads them twice
     ordered = lines.repartitionByRange("h1", "h2", F.desc("doc"), "row", "line").sortWithinPartitions("h1", "h2", F.desc("doc"), "row", "line")
-    path = new_path(spark, "lines")
-    ordered.mapInArrow(runs(documents), FOUND).write.parquet(path)
-    found = spark.read.schema(FOUND).parquet(path)
-    undecided = found.where("open")
-    # at most two runs a partition and one per million lines, so small enough to broadcast
-    per = undecided.groupBy("h1", "h2").agg(F.countDistinct("doc").alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= documents)
-    decided = undecided.join(F.broadcast(per), ["h1", "h2"]).where(F.col("doc") != F.col("keeper"))
+    found = stored(ordered.mapInArrow(runs(documents), FOUND), "lines")
+    # a document that goes on in the next run of its hash is counted in both
+    of_hash = F.sort_array(F.collect_list(F.struct("doc", "last", "docs")), asc=False)
+    shared = F.size(F.filter(F.sequence(F.lit(1), F.size("s") - 1, F.lit(1)), lambda i: F.col("s")[i - 1]["last"] == F.col("s")[i]["doc"]))
+    shared = F.when(F.size("s") > 1, shared).otherwise(0)
+    per = found.where("open and line is null").groupBy("h1", "h2").agg(of_hash.alias("s")).select("h1", "h2", (F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["docs"]) - shared).alias("n"), F.col("s")[0]["doc"].alias("keeper"))
+    per = stored(per.where(F.col("n") >= documents).drop("n"), "decided")
+    hint = F.broadcast if per.count() <= MOST_DECIDED else (lambda df: df)
+    decided = found.where("open and line is not null").join(hint(per), ["h1", "h2"]).where(F.col("doc") != F.col("keeper"))
     return found.where("not open").select("doc", "row", "line").unionByName(decided.select("doc", "row", "line"))
 
 
@@ -162,21 +176,26 @@ def kept_text(text: str | None, keep: bytes | None) -> tuple[str, int, int]:
     return "\n".join(stay), len(lines), len(lines) - len(stay)
 
 
-def joined(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    b = bitmaps.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("keep").alias("__keep"))
-    return docs.join(b, (doc_of(docs["doc_id"]) == F.col("__doc")) & (text_key(docs["text"]) == F.col("__row")), "left")
+def with_bitmaps(docs: DataFrame, shortest: int, documents: int) -> tuple[DataFrame, DataFrame]:
+    """The documents, their columns numbered c0 on, that lose no line, and those that may with ``keep``."""
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    bitmaps = stored(keep_bitmaps(docs, shortest, documents), "bitmaps")
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()], doc_of(F.col("doc_id")).alias("doc"))
+    some = by_ids(rows, bitmaps.select("doc"), key="doc").withColumn("row", text_key(F.col(at["text"])))
+    rest = by_ids(rows, bitmaps.select("doc"), held=False, key="doc").drop("doc")
+    return rest, some.join(bitmaps, ["doc", "row"], "left").drop("doc", "row")
 
 
 def reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [kept_text(t, k) for t, k in zip(batch.column("text").to_pylist(), batch.column("__keep").to_pylist())]
+        found = [kept_text(t, k) for t, k in zip(batch.column("text").to_pylist(), batch.column("keep").to_pylist())]
         sha = [hashlib.sha256(t.encode()).hexdigest() for t, _, _ in found]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([d for _, _, d in found], pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
 
 def report(docs: DataFrame, shortest: int = 20, documents: int = 3) -> DataFrame:
-    narrow = docs.select("doc_id", "text")
-    rows = joined(narrow, keep_bitmaps(narrow, shortest, documents)).select("doc_id", "text", "__keep")
+    rest, some = with_bitmaps(docs.select("doc_id", "text"), shortest, documents)
+    rows = rest.withColumn("keep", F.lit(None).cast("binary")).unionByName(some).withColumnsRenamed({"c0": "doc_id", "c1": "text"})
     return rows.mapInArrow(reported, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
@@ -189,8 +208,10 @@ def without_repeated_lines(docs: DataFrame, shortest: int = 20, documents: int =
 
         return pd.Series([t if k is None else kept_text(t, k)[0] for t, k in zip(text, keep)])
 
-    rows = joined(docs, keep_bitmaps(docs, shortest, documents))
-    return rows.select(*[kept("text", "__keep").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    rest, some = with_bitmaps(docs, shortest, documents)
+    text = f"c{docs.columns.index('text')}"
+    both = rest.unionByName(some.withColumn(text, kept(text, "keep")).drop("keep"))
+    return both.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
