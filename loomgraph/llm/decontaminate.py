@@ -9,8 +9,10 @@ The hash sets are broadcast while the windows number at most ``MOST_WINDOWS``; b
 joins shuffle block keys instead.
 
 Defined results: a null text has no words; null or wordless items have no windows; an item without
-id is listed as ''; rows that share doc_id and text have the same result; empty tables give empty
-or uncontaminated results; other columns are ignored by the report and kept by the filter.
+id is listed as ''; rows that share doc_id and text have the same result; items with equal windows are
+all listed; in a very long text only the blocks around a found one are compared; empty tables give
+empty or uncontaminated results; other columns, whatever their names, are ignored by the report and
+kept by the filters.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, text_key
+from .common import ascii_lower, by_ids, stored, text_key
 
 WIDTH = 10
+#: Stands for a null doc_id where ids are looked up.
+NO_ID = -(1 << 63)
 #: At about 100 bytes a window the sets stay under some 100 MB.
 MOST_WINDOWS = 500_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -63,15 +67,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
         lengths = [r["n"] for r in stats if (r["n"] + 1) // 2 == block]
         of_block = windows.where(F.col("n").isin(lengths))
         anchors = of_block.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda o: run_of(word_array(F.col("window")), o, block))).alias("block")).distinct()
-        blocks = F.regexp_extract_all("norm", F.lit(f"(?:[^ ]+ ){{{block}}}"), F.lit(0))
-        if small:  # the text stays beside its blocks: no row is built until a block is found
-            near = rows.select("doc_id", "__text", "norm", F.posexplode(blocks).alias("k", "block")).join(hint(anchors), "block")
+        # the last may be shorter; the blocks around one that is found hold every window that covers it
+        blocks = F.regexp_extract_all("norm", F.lit(f"(?:[^ ]+ ){{1,{block}}}"), F.lit(0))
+        cut = rows.select("doc_id", "__text", blocks.alias("blocks"))
+        if small:  # the blocks stay beside each other: no row is built until one is found
+            near = cut.select("doc_id", "__text", "blocks", F.posexplode("blocks").alias("k", "block")).join(hint(anchors), "block")
         else:
-            near = rows.select("doc_id", "__text", F.posexplode(blocks).alias("k", "block")).join(anchors, "block", "left_semi").join(rows.dropDuplicates(["doc_id", "__text"]).withColumnsRenamed({"doc_id": "__id", "__text": "__t"}), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")))
-        near = near.select("doc_id", "__text", (F.col("k") * block).alias("at"), word_array(F.col("norm")).alias("words"))
+            places = cut.select("doc_id", "__text", F.posexplode("blocks").alias("k", "block")).join(anchors, "block", "left_semi").groupBy("doc_id", "__text").agg(F.collect_set("k").alias("ks"))
+            places = places.withColumnsRenamed({"doc_id": "__id", "__text": "__t"})
+            near = cut.dropDuplicates(["doc_id", "__text"]).join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t"))).select("doc_id", "__text", "blocks", F.explode("ks").alias("k"))
+        first = F.greatest(F.col("k") - 1, F.lit(0))
+        around = F.array_join(F.slice("blocks", first + 1, F.col("k") - first + 2), "")
+        near = near.select("doc_id", "__text", (first * block).alias("base"), ((F.col("k") - first) * block).alias("at"), word_array(around).alias("words"))
         for n in lengths:
             starts = F.filter(F.sequence(F.col("at") - (block - 1), F.col("at")), lambda p: (p >= 0) & (p + n <= F.size("words")))
-            places = F.explode(F.transform(starts, lambda p: F.struct(p.alias("start"), run_of(F.col("words"), p, n).alias("window")))).alias("place")
+            places = F.explode(F.transform(starts, lambda p: F.struct((F.col("base") + p).alias("start"), run_of(F.col("words"), p, n).alias("window")))).alias("place")
             part = near.select("doc_id", "__text", places).select("doc_id", "__text", "place.*", F.lit(n).alias("n")).join(hint(of_block.where(F.col("n") == n).select("window", "items")), "window")
             part = part.select("doc_id", "__text", F.struct("start", "n").alias("run"), "items")
             found = part if found is None else found.unionByName(part)
@@ -96,19 +106,33 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
     return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def split_by_hits(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents whose doc_id has no occurrence, the others, and the occurrences (__id, __t, runs)."""
+    found = stored(hits(docs, benchmark, width).select(F.col("doc_id").alias("__id"), F.col("__text").alias("__t"), "runs"), "hits")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()], key.alias("__key"))
+    ids = found.select(F.coalesce(F.col("__id").cast("long"), F.lit(NO_ID)))
+    return by_ids(rows, ids, held=False, key="__key"), by_ids(rows, ids, key="__key").withColumn("__t", text_key(F.col(at["text"]))), found.withColumn("__key", F.coalesce(F.col("__id").cast("long"), F.lit(NO_ID)))
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents without an occurrence, all columns kept."""
-    found = stored(hits(docs, benchmark, width).select(F.col("doc_id").alias("__id"), F.col("__text").alias("__t")), "hits")
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")) & (text_key(docs["text"]) == F.col("__t")), "left_anti")
+    """The documents without an occurrence, all columns kept. Only texts under a doc_id that has one are shuffled."""
+    rest, some, found = split_by_hits(docs, benchmark, width)
+    both = rest.drop("__key").unionByName(some.join(found, ["__key", "__t"], "left_anti").drop("__key", "__t"))
+    return both.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """All documents; in those with occurrences the words under them are cut out, the others joined by spaces."""
-    found = stored(hits(docs, benchmark, width).select(F.col("doc_id").alias("__id"), F.col("__text").alias("__t"), "runs"), "hits")
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")) & (text_key(docs["text"]) == F.col("__t")), "left")
-    words = F.regexp_extract_all(docs["text"], F.lit(ANY_CASE_WORD), F.lit(0))
+    rest, some, found = split_by_hits(docs, benchmark, width)
+    text = F.col(f"c{docs.columns.index('text')}")
+    words = F.regexp_extract_all(text, F.lit(ANY_CASE_WORD), F.lit(0))
     left = F.filter(words, lambda w, i: ~F.exists("runs", lambda r: (i >= r["start"]) & (i < r["start"] + r["n"])))
-    return joined.select(*[F.when(F.col("runs").isNotNull(), F.array_join(left, " ")).otherwise(docs["text"]).alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns])
+    cut = some.join(found.select("__key", "__t", "runs"), ["__key", "__t"], "left")
+    columns = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    cut = cut.select(*[F.when(F.col("runs").isNotNull(), F.array_join(left, " ")).otherwise(text).alias(c) if c == "text" else x for c, x in zip(docs.columns, columns)])
+    return rest.select(*columns).unionByName(cut)
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
