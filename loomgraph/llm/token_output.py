@@ -6,17 +6,18 @@ Each file holds a contiguous range of documents, with each document's offset wit
 offset of a part is the sum of the parts before it, taken from the n_tokens column alone. Readers
 work stripe by stripe, and look up documents through the stripes' statistics and Bloom filters.
 
-Texts are cut at spaces and newlines before encoding. The tokenizer drops white space and never
-joins across it, so the ids are those of the whole text, and frequent pieces come from a bounded
-cache in each Python worker.
+A vocabulary whose file says that it lowers case, drops white space and never joins across it is read
+piece by piece: texts are cut at spaces and newlines, the ids are those of the whole text, and frequent
+pieces come from a bounded cache in each Python worker. With any other, whole texts go to the library.
 
 Defined results: a null or empty text gives the end id alone; null doc_ids come first; equal
-doc_ids follow each other in order of the text's digest; an empty table gives empty files; other
-columns are not written.
+doc_ids follow each other in order of the text's digest, repeated rows in any order; a very long text
+is one row; an empty table gives empty files; other columns are not written.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -38,6 +39,10 @@ MOST_PIECES, LONGEST_PIECE = 600_000, 64
 #: A run of letters that lower-casing maps one to one, then ASCII signs other than the apostrophe.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
 
+#: What a vocabulary's file has where pieces may be encoded one by one.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORDS = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -54,6 +59,17 @@ def byte_letters() -> str:
     return "".join(chr(b if b in plain else next(others)) for b in range(256))
 
 
+def splits_at_spaces(path: str) -> bool:
+    """Whether the vocabulary's own rules allow :class:`PieceEncoder`'s cutting and lower-casing."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    normalizer, cut = rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {}
+    first, *rest = cut.get("pretokenizers") or [{}]
+    byte_level = [{k: r.get(k) for k in ("type", "add_prefix_space", "use_regex")} for r in rest] == [{"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]
+    words = first.get("pattern") == WORDS and first.get("behavior") == "Removed" and first.get("invert")
+    return normalizer.get("normalizers") == NORMALIZER and bool(words) and byte_level and not rules["model"].get("dropout")
+
+
 class _Parts(dict):
     """Ids of lower-case letter runs and of sign runs: each is one word of the library's model."""
 
@@ -81,6 +97,7 @@ class PieceEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_pieces = splits_at_spaces(path)
         self.parts = _Parts(self.tokenizer.model)
 
     def __missing__(self, piece: str) -> bytes:
@@ -95,6 +112,8 @@ class PieceEncoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if not self.by_pieces:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -136,6 +155,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORED).orc(path)
 
 
+def tokens_of(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """The rows of some documents; the filter reaches the stripes' statistics and Bloom filters."""
+    return read_tokens(spark, path).where(F.col("doc_id").isin(doc_ids))
+
+
 def part_starts(tokens: DataFrame) -> DataFrame:
     """part, part_start: a row per part; reads n_tokens only."""
     per = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n"))
