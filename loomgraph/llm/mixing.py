@@ -10,7 +10,9 @@ of bucket totals gives each bucket its start.
 
 Defined results: a null text has size 0; a null source is a source of its own, sorted last; a source
 without words has target 0 and nothing is taken from it; repeated rows are documents of their own;
-an empty table gives an empty result; other columns pass through, whatever their names.
+ties in the shuffled order go by doc_id, then size; a very long text is one document, taken whole;
+an empty table gives an empty result; other columns pass through, whatever their names. The table of
+sources, of about 50 bytes each, is ranked in one task, so some ten millions of sources are the limit.
 """
 
 from __future__ import annotations
@@ -106,10 +108,12 @@ def assign(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` in training order: each document as often as it is taken, range-sorted by position."""
-    rows = keyed(docs, word_count(F.col("text")))
+    needed = ["doc_id", "source", "text"]
+    at = {c: c if c in needed else f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = keyed(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()]), word_count(F.col("text")))
     order = assign(rows, stats=rows.select("__source", "__size", "__order"), **options)
-    order = order.select(*[F.col(f"`{c}`") for c in docs.columns], "__order", F.explode("__positions").alias("__position"))
-    return order.orderBy("__position", "__order").select(*[f"`{c}`" for c in docs.columns])
+    order = order.select(*at.values(), "__order", F.explode("__positions").alias("__position"))
+    return order.orderBy("__position", "__order").select(*[F.col(n).alias(c) for c, n in at.items()])
 
 
 def op1_mix_to_weights(spark, sf_dir: str) -> DataFrame:
