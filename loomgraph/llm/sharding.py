@@ -11,7 +11,10 @@ balanced tree. Without a given capacity, the least one for which the shards suff
 
 Defined results: a null text has 0 bytes and is equal to other null texts, not to the empty text;
 size counts one more than the bytes; a group larger than the capacity opens a shard of its own or,
-when none is left, goes to the emptiest; an empty table gives an empty result.
+when none is left, goes to the emptiest; groups of equal size go by their digests; repeated rows are
+one group and have slots of their own; a row with null doc_id is a row like others; a very long text
+is a large group; an empty table gives an empty result; other columns, whatever their names, are
+ignored by the report and written along.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from random import Random
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -105,13 +109,15 @@ def byte_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def numbered(rows: DataFrame, by: str, order: list[str], cells: int = 1024) -> DataFrame:
+def numbered(rows: DataFrame, by: str, order: list[str], cell: Column | None = None, cells: int = 1024) -> DataFrame:
     """Adds slot, a gapless number from 0 within ``by``. ``by`` has few values, so each is cut into
-    hash cells: numbers run within (by, cell) and a table of cell counts gives each cell its start."""
-    cell = rows.withColumn("__cell", F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
-    starts = cell.groupBy(by, "__cell").agg(F.count("*").alias("__n"))
+    cells: numbers run within (by, cell) and a table of cell counts gives each cell its start. Without
+    ``cell``, whose order the numbers follow, rows are dealt by hash."""
+    cell = F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int") if cell is None else cell
+    rows = rows.withColumn("__cell", cell)
+    starts = rows.groupBy(by, "__cell").agg(F.count("*").alias("__n"))
     starts = starts.withColumn("__start", F.coalesce(F.sum("__n").over(Window.partitionBy(by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    within = cell.withColumn("__in", F.row_number().over(Window.partitionBy(by, "__cell").orderBy(*order)) - 1)
+    within = rows.withColumn("__in", F.row_number().over(Window.partitionBy(by, "__cell").orderBy(*order)) - 1)
     return within.join(starts, [by, "__cell"]).withColumn("slot", (F.col("__start") + F.col("__in")).cast("long")).drop("__cell", "__in", "__start")
 
 
@@ -158,10 +164,38 @@ def op10_shard_best_fit(spark, sf_dir: str) -> DataFrame:
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def placed(docs: DataFrame, shards: int) -> DataFrame:
+    """``docs``, columns numbered c0 on, with __size, __text, __crc and shard."""
+    text = F.col("`text`")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], byte_size(text).alias("__size"), F.xxhash64(text.isNull(), text).alias("__text"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("__crc"))
+    return shard(rows, ["__text", "__crc"], "__size", shards)
+
+
+#: Columns that :func:`in_order` adds; documents' columns of those names are left out.
+ADDED = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+def in_order(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """The documents with the columns of ``ADDED``; slots of a shard follow the order of ``docs``' files and their rows.
+
+    Rows that don't come from Parquet files are written first, as they come.
+    """
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED])
+    at = [f"c{i}" for i in range(len(docs.columns))]
+    try:
+        rows = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    except AnalysisException:
+        return in_order(stored(docs.toDF(*at), "documents").toDF(*docs.columns), shards)
+    rows = placed(rows, shards).withColumnsRenamed({f"c{len(at)}": "__file", f"c{len(at) + 1}": "__at"})
+    # narrow rows are numbered; a file is a range of the order, whose rows come from one task
+    slots = numbered(stored(rows.select("shard", "__file", "__at"), "places"), "shard", ["__at"], F.col("__file")).select("__file", "__at", "shard", "slot")
+    found = rows.drop("shard").join(slots.hint("merge"), ["__file", "__at"])
+    return found.select(*[F.col(n).alias(c) for n, c in zip(at, docs.columns)], F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """Writes whole documents to ``path``/shard=N, each shard in order of doc_id over several files."""
-    text = F.col("text")
-    rows = docs.withColumns({"__text": F.xxhash64(text.isNull(), text), "__crc": F.crc32(F.coalesce(text, F.lit("")).cast("binary")), "__size": byte_size(text)})
-    placed = shard(rows, ["__text", "__crc"], "__size", shards)
-    ordered = placed.repartitionByRange("shard", "doc_id", "__text").sortWithinPartitions("shard", "doc_id")
-    ordered.select(*docs.columns, "shard").write.partitionBy("shard").parquet(path)
+    """Writes whole documents to ``path``/__shard=N, each shard in order of doc_id over several files."""
+    rows = placed(docs, shards)
+    key = f"c{docs.columns.index('doc_id')}"
+    ordered = rows.repartitionByRange("shard", key, "__text").sortWithinPartitions("shard", key)
+    ordered.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("shard").alias("__shard")).write.partitionBy("__shard").parquet(path)
