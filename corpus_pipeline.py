@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the
 shared folder and read again as the next stage's documents.
+
+Defined results, for all stages: null doc_ids, languages, sources and texts are allowed; a null, empty
+or blank text goes in the first stage; very long texts, ties and repeated rows (which are exact copies
+and so come down to one in the second stage) are handled as the operators state; an empty table stays
+empty; other columns come along, but for those that the last stage adds under the same name.
 """
 
 from __future__ import annotations
@@ -13,17 +18,17 @@ from loomgraph.llm.common import stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps; nonsense, repetition and blank texts go."""
     return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that of the least doc_id; rows without doc_id stay."""
     return near_dup.without_near_duplicates(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item; items without words match nothing."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -33,8 +38,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A shard and a slot for each row of the mix."""
-    return sharding.report(docs)
+    """The mix with shards; slots keep the training order within a shard, so the copies of a document that is
+    taken twice, which are in one shard, lie apart."""
+    return sharding.in_order(docs)
 
 
 STAGES = [
