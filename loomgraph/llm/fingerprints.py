@@ -13,7 +13,8 @@ doc_id range; the first document of each range also goes to the range before, so
 meets its successor in order of doc_id.
 
 Every text is read between ``MARGIN`` filler bytes on each side, so that one rule holds for all
-lengths: a window has at least 12 bytes of the text, or all of a shorter one.
+lengths: a window has at least 12 bytes of the text, or all of a shorter one. A text of under some 50
+bytes has one or two features, so any edit may change all of them.
 
 Defined results: a null text is empty; if no window of a text is selected, its best is; the empty text
 has the empty fingerprint, alike 1 to itself and 0 to others; a very long text is read in overlapping
