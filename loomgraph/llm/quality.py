@@ -74,24 +74,37 @@ def pieces(texts: list[str]) -> Iterator[list[Span]]:
 class Piece:
     """The n-grams that end at the characters of some spans.
 
-    ``keys`` has one for each character, in numbers of the piece's own alphabet; ``owner`` its text;
-    ``recent`` tells where it has occurred in the CACHE places before.
+    ``keys`` are the distinct ones, in numbers of the piece's own alphabet; for each character, ``at`` is
+    its n-gram's place in ``keys``, ``owner`` its text, and ``recent`` whether the n-gram has occurred in
+    the CACHE places before.
     """
 
-    def __init__(self, spans: list[Span], keys: np.ndarray, owner: np.ndarray, recent: np.ndarray, alphabet: np.ndarray):
-        self.spans, self.keys, self.owner, self.recent, self.alphabet = spans, keys, owner, recent, alphabet
+    def __init__(self, keys: np.ndarray, at: np.ndarray, owner: np.ndarray, recent: np.ndarray, alphabet: np.ndarray):
+        self.keys, self.at, self.owner, self.recent, self.alphabet = keys, at, owner, recent, alphabet
 
-    def words(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hi, lo): the code points of n-grams, the last three in lo."""
-        points = []
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hi, lo): the code points of the distinct n-grams, the last three in lo."""
+        points, keys = [], self.keys
         for _ in range(ORDER):
             keys, at = np.divmod(keys, np.uint64(len(self.alphabet)))
             points.append(self.alphabet[at.astype(np.int64)])
         return points[4] << BITS | points[3], points[2] << 2 * BITS | points[1] << BITS | points[0]
 
 
-def grams(texts: list[str], spans: list[Span], cached: bool = True) -> Iterator[Piece]:
-    """The spans as one piece, or as several when their alphabet is too large."""
+def places(keys: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """The place of each key among the sorted distinct ones, by hashed slots; what shares a slot is searched."""
+    bits = max(4, int(len(distinct) * 8).bit_length())
+    slot = lambda k: (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+    table = np.zeros(1 << bits, np.int32)
+    table[slot(distinct)] = np.arange(len(distinct), dtype=np.int32)
+    at = table[slot(keys)]
+    other = np.flatnonzero(distinct[at] != keys)
+    at[other] = np.searchsorted(distinct, keys[other])
+    return at
+
+
+def grams(texts: list[str], spans: list[Span], cached: bool = True, numbered: bool = True) -> Iterator[Piece]:
+    """The spans as one piece, or as several when their alphabet is too large; ``at`` and ``recent`` only on demand."""
     back = [max(0, a - CACHE - ORDER + 1) for _, a, _ in spans]
     cut = [texts[i][c:b] for (i, _, b), c in zip(spans, back)]
     lengths = np.array([len(t) for t in cut])
@@ -106,7 +119,7 @@ def grams(texts: list[str], spans: list[Span], cached: bool = True) -> Iterator[
         half = len(spans) // 2
         (i, a, b) = spans[0]
         for part in (spans[:half], spans[half:]) if half else ([(i, a, (a + b) // 2)], [(i, (a + b) // 2, b)]):
-            yield from grams(texts, part, cached)
+            yield from grams(texts, part, cached, numbered)
         return
     number = np.zeros(SYMBOLS + 1, np.uint16)
     number[alphabet] = np.arange(len(alphabet))
@@ -116,13 +129,21 @@ def grams(texts: list[str], spans: list[Span], cached: bool = True) -> Iterator[
         keys *= np.uint64(len(alphabet))
         keys += codes[k: len(codes) - ORDER + 1 + k]
     keys = keys[np.arange(len(which)) + (ORDER - 1) * which]
-    recent = np.zeros(len(keys), bool)
+    own = offset >= np.array([a - c for (_, a, _), c in zip(spans, back)])[which]
+    if not numbered:
+        yield Piece(np.unique(keys[own]), None, None, None, alphabet)
+        return
+    distinct = np.unique(keys)
+    at = places(keys, distinct)
+    recent = np.zeros(len(at), bool)
     if cached:
         near = np.minimum(offset, 255).astype(np.uint8)
-        for d in range(1, min(CACHE, len(keys) - 1) + 1):
-            recent[d:] |= (keys[d:] == keys[:-d]) & (near[d:] >= d)
-    own = offset >= np.array([a - c for (_, a, _), c in zip(spans, back)])[which]
-    yield Piece(spans, keys[own], np.array([i for i, _, _ in spans])[which][own], recent[own], alphabet)
+        for d in range(1, min(CACHE, len(at) - 1) + 1):
+            recent[d:] |= (at[d:] == at[:-d]) & (near[d:] >= d)
+    at = at[own]
+    used = np.bincount(at, minlength=len(distinct)) > 0  # not those before a cut only
+    at, distinct = (np.cumsum(used, dtype=np.int32) - 1)[at], distinct[used]
+    yield Piece(distinct, at, np.array([i for i, _, _ in spans])[which][own], recent[own], alphabet)
 
 
 def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,8 +152,7 @@ def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         for spans in pieces(texts):
             for piece in grams(texts, spans, cached=False):
-                keys, n = np.unique(piece.keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (*piece.words(keys), n.astype(np.int64)))], names=["hi", "lo", "n"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (*piece.words(), np.bincount(piece.at)))], names=["hi", "lo", "n"])
 
 
 def runs_of(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -164,7 +184,7 @@ def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = parts[a]
             texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
             for spans in pieces(texts):
-                held += [piece.words(np.unique(piece.keys)) for piece in grams(texts, spans, cached=False)]
+                held += [piece.words() for piece in grams(texts, spans, numbered=False)]
             if len(held) > 24:  # long texts: what is held stays near the number of distinct n-grams
                 yield from listed()
                 held = []
@@ -259,8 +279,7 @@ def text_losses(table: Losses | None, texts: list[str]) -> tuple[np.ndarray, np.
     total, fresh = np.zeros(len(texts)), np.zeros(len(texts))
     for spans in pieces(texts):
         for piece in grams(texts, spans):
-            keys = np.unique(piece.keys)
-            loss = table.of(*piece.words(keys))[np.searchsorted(keys, piece.keys)]
+            loss = table.of(*piece.words())[piece.at]
             total += np.bincount(piece.owner, loss, len(texts))
             fresh += np.bincount(piece.owner, np.where(piece.recent, 0, loss), len(texts))
     return total, fresh
@@ -297,8 +316,8 @@ def scoring(columns: list[str], text_at: int | None) -> Callable[[Iterator[pa.Re
                     continue
                 if table is None and held:
                     table, held = Losses(held), []
-                for c in range(a, b, 256):
-                    rows = batch.slice(c, min(256, b - c))
+                for c in range(a, b, 400):
+                    rows = batch.slice(c, min(400, b - c))
                     texts = [None if x is None else unpack.decompress(x).decode() if x else "" for x in rows.column("packed").to_pylist()]
                     total, fresh = text_losses(table, [t or "" for t in texts])
                     out = [pa.array(texts, pa.string()) if i == text_at else rows.column(n) for i, n in enumerate(columns)]
