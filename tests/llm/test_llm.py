@@ -1,12 +1,16 @@
 """Small tables with nulls, empties, ties, repeats and clashing columns; brute force on sf0.001."""
 
+import collections
 import hashlib
+import itertools
+import json
 import re
 import sys
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("loomgraph.llm")
 from loomgraph.llm import chat, decontaminate, fingerprints, language, line_dedup, mixing, near_dup, quality, queries, sharding, token_output  # noqa: E402
@@ -17,12 +21,14 @@ from test_queries import SF, canonical, expected  # noqa: E402
 LONG = " ".join(f"word{i % 700}" for i in range(40_000))
 ODD = [(1, "one two three four five six", "en", "a", 1), (1, "one two three four five six", "en", "a", 1), (2, None, None, None, None), (3, "", "fr", "b", 0), (None, "Zwölf  Ähren\n\n x|<|im_end|>", "de", "a", 5), (4, LONG, "en", "a", 9), (5, "\x0b \t\n", "en", "", 3)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that the operators use inside.
+CLASHING = ["__size", "__source", "__order", "__bucket", "__t", "__id", "__keep", "__loss", "__text", "__key", "part", "kind", "keep", "row", "doc", "c0", "c1", "loss", "lower", "slot", "packed"]
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
     rows = spark.createDataFrame(ODD, SCHEMA)
-    return rows.selectExpr("*", "1 AS size", "'x' AS kept", "2 AS shard", "'y' AS `a.b`", "0 AS target")
+    return rows.selectExpr("*", "1 AS size", "'x' AS kept", "2 AS shard", "'y' AS `a.b`", "0 AS target", *[f"7 AS `{c}`" for c in CLASHING])
 
 
 @pytest.fixture(scope="module")
@@ -97,10 +103,47 @@ def test_tokens(spark, odd, none, tmp_path):
         found = digest[(r.doc_id, start)]
         assert (found.n_tokens, found.ids_crc32) == (len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes()))
         start += len(r.ids)
+    docs = documents(spark)
+    token_output.write_tokens(docs, f"{tmp_path}/all", stripe_bytes=100_000)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = token_output.read_tokens(spark, f"{tmp_path}/all").collect()
+    assert len(rows) == len(texts) and all(r.ids == library.encode(texts[r.doc_id], add_special_tokens=False).ids + [1] for r in rows)
+    some = sorted(texts)[::50]
+    assert sorted(r.doc_id for r in token_output.tokens_of(spark, f"{tmp_path}/all", some).collect()) == some
+    assert "PushedFilters: [In(doc_id" in token_output.tokens_of(spark, f"{tmp_path}/all", some)._jdf.queryExecution().toString()
     token_output.write_tokens(none, f"{tmp_path}/none")
     assert token_output.token_digests(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_token_files(spark, tmp_path):
+    """Stripes have a row index and Bloom filters on doc_id; ids are run-length encoded."""
+    many = spark.range(24_000).selectExpr("id AS doc_id", "concat('word ', id) AS text")
+    token_output.write_tokens(many, f"{tmp_path}/t", stripe_bytes=10_000)
+    jvm, orc, stripes = spark._jvm, spark._jvm.org.apache.orc, 0
+    for file in sorted(tmp_path.glob("t/*.orc")):
+        reader = orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+        names = list(reader.getSchema().getFieldNames())
+        doc_id, ids = names.index("doc_id") + 1, names.index("ids") + 1
+        for stripe in reader.getStripes():
+            stripes += 1
+            footer = reader.rows().readStripeFooter(stripe)
+            kinds = {(x.getColumn(), x.getKind().toString()) for x in footer.getStreamsList()}
+            assert {(doc_id, "ROW_INDEX"), (doc_id, "BLOOM_FILTER_UTF8")} <= kinds
+            assert footer.getColumns(ids + 1).getKind().toString() == "DIRECT_V2"
+    assert stripes > len(list(tmp_path.glob("t/*.orc")))
+
+
+def test_vocabulary_rules(tmp_path):
+    path = token_output.vocabulary_path()
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    rules["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(rules), encoding="utf-8")
+    assert token_output.splits_at_spaces(path) and not token_output.splits_at_spaces(f"{tmp_path}/cased.json")
+    cased, text = token_output.PieceEncoder(f"{tmp_path}/cased.json"), "Some CASED text\n\nÄH"
+    assert np.frombuffer(cased.encode(text), "<u4").tolist() == cased.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_decontaminate(spark, odd, none):
     items = spark.createDataFrame([(7, "TWO three"), (None, "word3"), (8, None), (9, "?!"), (10, "one two")], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.report(odd, items).collect()}
@@ -112,16 +155,22 @@ def test_decontaminate(spark, odd, none):
     kept = decontaminate.clean(odd, items)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {None, 2, 3, 5}
     assert {r.text for r in decontaminate.without_spans(odd, items).where("doc_id = 1").collect()} == {"four five six"}
+    assert decontaminate.without_spans(odd, items).columns == odd.columns
+
+
+def test_decontaminate_by_shuffling(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_WINDOWS", 0)
+    assert canonical(queries.QUERIES["op3_decontaminate"](spark, SF).toPandas()) == canonical(expected(queries.ORACLE_SQL["op3_decontaminate"]))
 
 
 def test_chat(spark, tmp_path, monkeypatch):
     said = "<|im_end|><|im_start|>assistant ok <\\|x <"
-    turns = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 1, "assistant", said), (2, None, None, None), (None, 0, "assistant", "é" * 50), (3, 0, "assi<|st", ""), *[(4, i, "assistant", f"{i} " * 300) for i in range(200)]]
+    turns = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 1, "assistant", said), (2, None, None, None), (None, 0, "assistant", "é" * 50), (3, 0, "assi<|st", ""), (5, 0, "user", " " * 1_000_000 + "x"), (5, 1, "assistant", "\n" * 400_000 + "<|" + "y" * 200_000), *[(4, i, "assistant", f"{i} " * 300) for i in range(200)]]
     rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS chars")
     chat.write_chat(rows, f"{tmp_path}/c")
     got = {r.conv_id: r for r in chat.chat_digests(spark, f"{tmp_path}/c").collect()}
-    assert len(got) == 5
-    for conv in (1, 2, 3, 4, None):
+    assert len(got) == 6
+    for conv in (1, 2, 3, 4, 5, None):
         mine = sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1] is not None, t[1] or 0))
         loss = "".join(t[3] or "" for t in mine if t[2] == "assistant")
         assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{t[2] or ''}\n{t[3] or ''}\n" for t in mine).encode()).hexdigest()
@@ -130,19 +179,6 @@ def test_chat(spark, tmp_path, monkeypatch):
         assert chat.unescaped(chat.escaped(text)) == text and "<|" not in chat.escaped(text)
 
 
-def test_quality(spark, odd, none):
-    docs, labels = documents(spark), spark.read.parquet(f"{SF}/labels.parquet")
-    found = quality.report(docs, labels).join(labels, "doc_id").groupBy("quality").agg({"keep": "count"}).collect()
-    rate = {r.quality: r.n for r in quality.report(docs, labels).join(labels, "doc_id").groupBy("quality").agg(__import__("pyspark").sql.functions.expr("avg(int(keep)) AS n")).collect()}
-    assert len(found) == 2 and rate[1] > 0.95 and rate[0] < 0.6
-    assert quality.report(none, labels).count() == 0
-    assert quality.good_documents(odd, labels.limit(0)).count() == len(ODD)
-    kept = quality.good_documents(odd, labels.where("doc_id > 99").limit(0).union(labels.selectExpr("1L", "1", "0").limit(1)))
-    assert kept.columns == odd.columns
-    table = quality.train(docs)
-    assert np.allclose(np.exp(table.reshape(-1, quality.CLASSES)).sum(axis=1), 1, atol=1e-3)
-
-
 def test_language(spark, odd, none):
     net = language.Network.new(["a", "b"], hidden=3)
     net.weights = {k: v.astype(np.float64) for k, v in net.weights.items()}
@@ -162,7 +198,10 @@ def test_language(spark, odd, none):
     got = language.report(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (got.lang_pred == got.lang).mean() > 0.9
     assert language.report(none).count() == 0
-    assert {r.doc_id: r.lang_pred for r in language.report(odd).collect()}[2] == "und"
+    signs = odd.limit(1).selectExpr(*["'²½①Ⅷ 12' AS text" if c == "text" else "77L AS doc_id" if c == "doc_id" else f"`{c}`" for c in odd.columns])
+    rows = language.report(odd.unionByName(signs)).collect()
+    found = {r.doc_id: r.lang_pred for r in rows}
+    assert len(rows) == len(ODD) + 1 and found[2] == found[77] == "und" and len({r.score for r in rows if r.doc_id == 1}) == 1
 
 
 def test_near_dup(spark, odd, none):
@@ -174,24 +213,40 @@ def test_near_dup(spark, odd, none):
     found = {r.doc_id: r for r in near_dup.report(odd).collect()}
     assert found[2].n_shingles == 0 and found[3].component_id == 3 and found[None].kept and found[1].kept
     assert near_dup.without_near_duplicates(odd).columns == odd.columns and near_dup.report(none).count() == 0
-
-
-def test_near_dup_brute_force(spark):
-    sets = {}
-    for r in documents(spark).collect():
-        w = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").encode().lower().decode())
-        sets[r.doc_id] = {tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    least = {i: i for i in sets}
-    ids, changed = sorted(sets), True
-    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    w, v = [f"w{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    shared = spark.createDataFrame([(i, " ".join(t)) for i, t in ((1, w), (1, v), (1, v), (2, w[:-1]), (3, v[:-1]))], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_dup.report(shared).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def least_reachable(sets):
+    """The least id that each id reaches over pairs that share at least 75 of 100."""
+    holders = collections.defaultdict(list)
+    for i, found in sets.items():
+        for x in found:
+            holders[x].append(i)
+    near = {(a, b) for found in holders.values() for a, b in itertools.combinations(sorted(found), 2)}
+    least, changed = {i: i for i in sets}, True
+    links = [(a, b) for a, b in near if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     while changed:
         changed = False
         for a, b in links:
             low = min(least[a], least[b])
             changed |= least[a] != low or least[b] != low
             least[a] = least[b] = low
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.report(documents(spark)).collect()}
-    assert got == {i: (len(sets[i]), least[i]) for i in ids}
+    return least
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").encode().lower().decode())
+    return {tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_dup_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    least = least_reachable(sets)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.report(docs).collect()}
+    assert got == {i: (len(sets[i]), least[i]) for i in sets}
 
 
 @pytest.mark.parametrize("block", [1024, 16])
@@ -231,6 +286,7 @@ def test_line_dedup(spark, odd, none):
     assert got == {1: (2, 1, sha("own 1")), 2: (3, 2, sha("x")), 3: (2, 0, sha(f"{line}\n{line}")), None: (1, 1, sha(""))}
     assert line_dedup.report(odd).count() == len(ODD) and line_dedup.report(none).count() == 0
     assert line_dedup.without_repeated_lines(odd).columns == odd.columns
+    assert {r.doc_id: r.text for r in line_dedup.without_repeated_lines(rows).collect()} == {1: "own 1", 2: "x", 3: f"{line}\n{line}", None: ""}
 
 
 def test_fingerprints(spark, odd, none):
@@ -258,13 +314,69 @@ def test_sharding(spark, odd, none):
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
     assert (got.groupby("text_crc32")["shard"].nunique() == 1).all()
     assert sharding.report(none).count() == 0 and sharding.report(odd).count() == len(ODD)
+    by_id = {r.doc_id: (r.size, r.text_crc32) for r in sharding.report(documents(spark)).collect()}
+    assert by_id == {r.doc_id: (len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in documents(spark).collect()}
+
+
+def test_written_shards(spark, odd, none, tmp_path):
+    sharding.write_shards(odd, f"{tmp_path}/shards", 3)
+    rows = spark.read.parquet(f"{tmp_path}/shards")
+    assert rows.drop("__shard").columns == odd.columns and sorted(map(str, rows.select("doc_id", "text").collect())) == sorted(map(str, odd.select("doc_id", "text").collect()))
+    assert rows.where("doc_id = 1").select("__shard").distinct().count() == 1
+    kept = [c for c in odd.columns if c not in sharding.ADDED]
+    assert sharding.in_order(odd).columns == [*kept, *sharding.ADDED] and sharding.in_order(odd).count() == len(ODD) and sharding.in_order(none).count() == 0
+
+
+def test_many_sources(spark):
+    rows = spark.range(200_000).selectExpr("concat('=', id % 50000) AS __source", "id % 7 AS __size")
+    found = mixing.source_targets(rows, (5, 2, 1), 1.5, 2.0)
+    total = found.selectExpr("sum(target)", "sum(source_size)").first()
+    assert found.count() == 50_000 and total[0] == pytest.approx(1.5 * total[1])
 
 
 def test_pipeline(spark):
+    """Every stage on what its predecessor kept, against brute force."""
     pipeline = pytest.importorskip("corpus_pipeline")
-    docs = documents(spark)
-    before = docs.count()
-    for name, stage in pipeline.STAGES[:3]:
+    docs, at = documents(spark), {}
+    for name, stage in pipeline.STAGES:
+        at[name] = docs
         docs = pipeline.stored(stage(spark, docs, SF), "stage")
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 0 < docs.count() <= before
-    assert pipeline.run(spark, SF).count() > 0
+        assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and (name == "sharding" or len(docs.columns) == 5)
+    names = [name for name, _ in pipeline.STAGES]
+    ids = {name: collections.Counter(r.doc_id for r in at[name].collect()) for name in names}
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert set(ids[names[1]]) == {r.doc_id for r in quality.report(documents(spark), labels).where("keep").collect()}
+    least = least_reachable({r.doc_id: shingles(r.text) for r in at[names[1]].collect()})
+    assert set(ids[names[2]]) == {i for i, low in least.items() if i == low}
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.encode().lower().decode())
+    windows = {tuple(w[i: i + 10]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() for w in [cut(r.text or "")] if w for i in range(max(1, len(w) - 9))}
+    lengths = {len(w) for w in windows}
+    hit = lambda w: any(tuple(w[i: i + n]) in windows for n in lengths for i in range(len(w) - n + 1))
+    assert set(ids[names[3]]) == {r.doc_id for r in at[names[2]].collect() if not hit(cut(r.text))}
+    taken = mixing.assign(mixing.keyed(at[names[3]], mixing.word_count(F.col("text")))).select("doc_id", "__copies", "__positions", "__order").collect()
+    assert ids[names[4]] == collections.Counter({r.doc_id: r["__copies"] for r in taken if r["__copies"]})
+    order = [r.doc_id for r in at[names[4]].collect()]
+    assert order == [i for *_, i in sorted((p, r["__order"], r.doc_id) for r in taken for p in r["__positions"])]
+    last, place = docs.orderBy("shard", "slot").collect(), collections.defaultdict(list)
+    for k, i in enumerate(order):
+        place[i].append(k)
+    for shard in range(16):
+        mine, met, ranks = [r for r in last if r.shard == shard], collections.Counter(), []
+        assert [r.slot for r in mine] == list(range(len(mine)))
+        for r in mine:
+            ranks.append(place[r.doc_id][met[r.doc_id]])
+            met[r.doc_id] += 1
+        assert ranks == sorted(ranks)
+    text = {r.doc_id: r.text for r in documents(spark).collect()}
+    assert collections.Counter(r.doc_id for r in last) == ids[names[4]] and all(r.text == text[r.doc_id] for r in last)
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, none):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for docs in (odd, none):
+        docs = docs.drop(*sharding.ADDED)
+        columns = docs.columns
+        for _, stage in pipeline.STAGES:
+            before, docs = docs, pipeline.stored(stage(spark, docs, SF), "stage")
+            assert docs.columns[: len(columns)] == columns and docs.count() <= 2 * before.count()
+        assert docs.columns == [*columns, *sharding.ADDED]
