@@ -8,9 +8,11 @@ back-off masses come from aggregations over them. Nothing of the model is collec
 of n-grams seen once to four times per order, from which the discounts follow.
 
 Documents are cut into parts by file and row number. Each part's distinct n-grams are listed in its
-task (so a frequent n-gram counts once a part, not once a use), their lower orders are joined with the
-shards, and the losses go back to the part, where they meet the documents' compressed texts. That is
-the only shuffle of texts; a task streams them and holds the losses of one part's n-grams.
+task (so a frequent n-gram counts once a part, not once a use), dealt into ``BUCKETS`` by a digest and
+packed. The distinct ones of all parts are joined with the shards of every order; per bucket, the
+resulting losses meet the parts' lists and go back to the parts, where they meet the documents'
+compressed texts. That is the only shuffle of texts; a task streams them and holds the losses of one
+part's n-grams. A bucket of many parts is split by part (``BUCKET_PARTS``).
 
 Two rates decide. The loss per character, over all characters, is high for nonsense. The loss per
 character that a cache of the last ``CACHE`` places leaves (an n-gram seen there costs nothing) is low
@@ -48,8 +50,11 @@ CACHE = 64
 LOW, HIGH, MARGIN, STEP = 0.001, 0.999, 1.05, 0.001
 SHRINK, FEWEST = 100.0, 50
 PART_ROWS = 8192
+#: Buckets of n-grams, and parts whose lists of a bucket meet in one task.
+BUCKETS, BUCKET_PARTS = 64, 512
 #: Characters worked on at once; a longer text is cut.
-PIECE = 1 << 20
+PIECE = 1 << 19
+LISTED = "part int, bucket int, grams binary"
 #: Distinct code points of a piece, so that an n-gram of its own numbers fits 64 bits.
 MOST_SYMBOLS = 7131
 
@@ -164,16 +169,45 @@ def runs_of(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from ((a, b) for a, b in zip(edges, edges[1:]) if b > a)
 
 
+def bucket_of(hi, lo):
+    """The bucket of an n-gram, alike for numpy arrays and columns."""
+    return (lo % 1_000_003 * 31 + hi % 999_983) % BUCKETS
+
+
+def packed(hi: np.ndarray, lo: np.ndarray) -> bytes:
+    """Sorted distinct n-grams as compressed differences."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([np.diff(hi, prepend=0), lo]).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpacked(grams: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    flat = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(grams), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    n = len(flat) // 2
+    return np.cumsum(flat[:n]), flat[n:]
+
+
+def distinct(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((lo, hi))
+    hi, lo = hi[order], lo[order]
+    new = np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])) if len(hi) else np.empty(0, bool)
+    return hi[new], lo[new]
+
+
 def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct n-grams of each part's texts, as far as the part lies in the task's partition."""
+    """The distinct n-grams of each part's texts by bucket, as far as the part lies in the task's partition."""
     at, held = None, []
 
     def listed() -> Iterator[pa.RecordBatch]:
-        hi, lo = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((lo, hi))
-        hi, lo = hi[order], lo[order]
-        new = np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(new.sum()), at, np.int32)), pa.array(hi[new]), pa.array(lo[new])], names=["part", "hi", "lo"])
+        hi, lo = distinct(*(np.concatenate(c) for c in zip(*held)))
+        bucket = bucket_of(hi, lo)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        some = [k for k in range(BUCKETS) if edges[k] < edges[k + 1]]
+        grams = [packed(hi[order[edges[k]: edges[k + 1]]], lo[order[edges[k]: edges[k + 1]]]) for k in some]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), at, np.int32)), pa.array(some, pa.int32()), pa.array(grams, pa.binary())], names=["part", "bucket", "grams"])
 
     for batch in batches:
         parts, column = np.asarray(batch.column("part")), batch.column("text")
@@ -185,13 +219,50 @@ def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
             for spans in pieces(texts):
                 held += [piece.words() for piece in grams(texts, spans, numbered=False)]
-            if len(held) > 24:  # long texts: what is held stays near the number of distinct n-grams
-                yield from listed()
-                held = []
+                if len(held) > 16:  # what is held stays near the number of distinct n-grams
+                    held = [distinct(*(np.concatenate(c) for c in zip(*held)))]
     if held:
         yield from listed()
 
 
+def merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of lists sorted by bucket."""
+    at, held = None, []
+
+    def merged() -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([*map(pa.array, distinct(*(np.concatenate(c) for c in zip(*held))))], names=["hi", "lo"])
+
+    for batch in batches:
+        for bucket, grams in zip(batch.column("bucket").to_pylist(), batch.column("grams").to_pylist()):
+            if held and bucket != at:
+                yield from merged()
+                held = []
+            at = bucket
+            held.append(unpacked(grams))
+            if len(held) > 64:
+                held = [distinct(*(np.concatenate(c) for c in zip(*held)))]
+    if held:
+        yield from merged()
+
+
+def pricing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (bucket, salt, kind), n-grams with losses before lists: each list with its losses."""
+    at, held, table = None, [], None
+    for batch in batches:
+        keys = [np.asarray(batch.column(c)) for c in ("bucket", "salt", "kind")]
+        for a, b in runs_of(*keys):
+            if (keys[0][a], keys[1][a]) != at:
+                at, held, table = (keys[0][a], keys[1][a]), [], None
+            rows = batch.slice(a, b - a)
+            if keys[2][a] == 0:
+                held.append(tuple(np.asarray(rows.column(c)) for c in ("hi", "lo", "loss")))
+                continue
+            if table is None:
+                table, held = Losses(held), []
+            losses = [table.of(*unpacked(g)).astype("<f4").tobytes() for g in rows.column("grams").to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.column("part"), rows.column("grams"), pa.array(losses, pa.binary())], names=["part", "grams", "losses"])
+
+
 def suffix(k: int) -> tuple[Column, Column]:
     """hi, lo of a k-gram without its first code point."""
     hi, lo = F.col("hi"), F.col("lo")
@@ -298,7 +369,7 @@ def packing(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def scoring(columns: list[str], text_at: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From rows sorted by (part, kind), n-grams with losses before texts: ``columns`` with loss, fresh, chars, blank;
+    """From rows sorted by (part, kind), lists of n-grams with losses before texts: ``columns`` with loss, fresh, chars, blank;
     the text comes back in place ``text_at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,12 +383,13 @@ def scoring(columns: list[str], text_at: int | None) -> Callable[[Iterator[pa.Re
                 if parts[a] != at:
                     at, held, table = parts[a], [], None
                 if kinds[a] == 0:
-                    held.append(tuple(np.asarray(batch.column(c).slice(a, b - a)) for c in ("hi", "lo", "loss")))
+                    for grams, losses in zip(*(batch.column(c).slice(a, b - a).to_pylist() for c in ("grams", "losses"))):
+                        held.append((*unpacked(grams), np.frombuffer(losses, "<f4")))
                     continue
                 if table is None and held:
                     table, held = Losses(held), []
-                for c in range(a, b, 400):
-                    rows = batch.slice(c, min(400, b - c))
+                for c in range(a, b, 256):
+                    rows = batch.slice(c, min(256, b - c))
                     texts = [None if x is None else unpack.decompress(x).decode() if x else "" for x in rows.column("packed").to_pylist()]
                     total, fresh = text_losses(table, [t or "" for t in texts])
                     out = [pa.array(texts, pa.string()) if i == text_at else rows.column(n) for i, n in enumerate(columns)]
@@ -339,10 +411,14 @@ def located(docs: DataFrame) -> DataFrame:
 def scored(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]], columns: list[str], text: str) -> DataFrame:
     """``columns`` of ``docs`` with loss, fresh, chars and blank. Names must not be those of this function's own columns."""
     placed = located(docs)
-    # narrow rows: part and n-gram
-    listed = stored(placed.select("part", F.col(text).alias("text")).mapInArrow(listing, "part int, hi long, lo long"), "listed")
-    wanted = stored(listed.select("hi", "lo").distinct(), "wanted")
-    losses = listed.join(probabilities(levels, wanted), ["hi", "lo"]).withColumn("kind", F.lit(0))
+    listed = stored(placed.select("part", F.col(text).alias("text")).mapInArrow(listing, LISTED), "listed")
+    wanted = listed.select("bucket", "grams").repartition("bucket").sortWithinPartitions("bucket")
+    wanted = stored(wanted.mapInArrow(merging, "hi long, lo long"), "wanted")
+    salts = -(-listed.select("part").distinct().count() // BUCKET_PARTS)
+    prices = probabilities(levels, wanted).select(bucket_of(F.col("hi"), F.col("lo")).cast("int").alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(max(0, salts - 1)))).alias("salt"), F.lit(0).alias("kind"), "hi", "lo", "loss")
+    lists = listed.select("bucket", F.pmod("part", F.lit(max(1, salts))).alias("salt"), F.lit(1).alias("kind"), "part", "grams")
+    priced = prices.unionByName(lists, allowMissingColumns=True).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "kind")
+    losses = priced.mapInArrow(pricing, "part int, grams binary, losses binary").withColumn("kind", F.lit(0))
     others = [c for c in columns if c != text]
     texts = placed.select("part", F.lit(1).alias("kind"), *others, F.col(text).alias("text"))
     schema = texts.select("part", "kind", *others).schema.add("packed", "binary")
