@@ -45,7 +45,7 @@ SHARES = 64
 #: Members and shingles of a block whose sets a task holds.
 BLOCK, BLOCK_SHINGLES = 1024, 4 << 20
 #: Bytes of text hashed at once; a longer text is cut at white space.
-PIECE = 2 << 20
+PIECE = 1 << 19
 SHINGLED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
 
 _rng = np.random.default_rng(20_231)

@@ -53,7 +53,7 @@ PART_ROWS = 8192
 #: Buckets of n-grams, and parts whose lists of a bucket meet in one task.
 BUCKETS, BUCKET_PARTS = 64, 512
 #: Characters worked on at once; a longer text is cut.
-PIECE = 1 << 19
+PIECE = 1 << 18
 LISTED = "part int, bucket int, grams binary"
 #: Distinct code points of a piece, so that an n-gram of its own numbers fits 64 bits.
 MOST_SYMBOLS = 7131
