@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +13,29 @@ from loomgraph.functions.vectors import cosine_similarity
 
 
 def weighted_means(rows: DataFrame, key: list[str], vector: str, weight: str | None = None) -> DataFrame:
-    """key, mean: element-wise weighted mean of the vectors, as an array."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    parts = rows.select(*key, w.alias("w"), F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "x"))
-    per = parts.groupBy(*key, "pos").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"))
-    return per.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("mean"))
+    """key, mean: element-wise weighted mean of the vectors, as an array.
+
+    Each Arrow batch adds up its vectors per key first, so a key's vectors reach the shuffle as few sums.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    parts = rows.where(F.col(vector).isNotNull() & w.isNotNull()).select(F.struct(*key).alias("k"), w.alias("w"), F.col(vector).cast("array<double>").alias("v"))
+    text = F.to_json("k")  # one column to group by, whatever the keys are
+    schema = "t string, w double, v array<double>"
+    sums = parts.select(text.alias("t"), "w", "v").mapInArrow(added_up, schema)
+    total = sums.groupBy("t").agg(F.sum("w").alias("w"), F.collect_list("v").alias("vs"))
+    mean = F.transform(F.aggregate(F.slice("vs", 2, F.size("vs")), F.element_at("vs", 1), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)), lambda x: x / F.col("w"))
+    kind = parts.schema["k"].dataType
+    return total.select(F.from_json("t", kind).alias("k"), mean.alias("mean")).select("k.*", "mean")
+
+
+def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sums: dict[str, tuple[float, np.ndarray]] = {}
+        weights, lists = batch.column("w").to_numpy(), batch.column("v")
+        for i, t in enumerate(batch.column("t").to_pylist()):
+            v = lists[i].values.to_numpy(zero_copy_only=False) * weights[i]
+            sums[t] = (sums[t][0] + weights[i], sums[t][1] + v) if t in sums else (weights[i], v)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([w for w, _ in sums.values()], pa.float64()), pa.array([v for _, v in sums.values()], pa.list_(pa.float64()))], names=["t", "w", "v"])
 
 
 def exemplars(members: DataFrame, centroids: DataFrame, k: int = 10) -> DataFrame:

@@ -13,9 +13,11 @@ def degrees(incidences: DataFrame) -> DataFrame:
     return incidences.where(F.col("role").isin("source", "target")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def document_frequencies(incidences: DataFrame, edges: DataFrame, cap: float = 6.0) -> DataFrame:
-    """node, df (distinct edges), idf = min(ln((N + 1) / (df + 1)) + 1, cap)."""
+def document_frequencies(incidences: DataFrame, edges: DataFrame, cap: float = 6.0, nodes: DataFrame | None = None) -> DataFrame:
+    """node, df (distinct edges), idf = min(ln((N + 1) / (df + 1)) + 1, cap); nodes of the table ``nodes`` without edges have df 0."""
     df = incidences.groupBy("node").agg(F.countDistinct("edge_id").alias("df"))
+    if nodes is not None:
+        df = nodes.select("node").distinct().join(df, "node", "left").select("node", F.coalesce("df", F.lit(0)).alias("df"))
     n = edges.agg(F.count("*").alias("n"))
     return df.crossJoin(F.broadcast(n)).select("node", "df", F.least(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, F.lit(cap)).alias("idf"))  # n is one row
 
@@ -49,29 +51,89 @@ def subgraph(incidences: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(degrees(incidences), "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def statistics(incidences: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes, edges, average_degree, max_degree, isolated, density = edges / (n (n - 1))."""
-    all_nodes = incidences.select("node").distinct()
-    per = all_nodes.join(degrees(incidences), "node", "left").select(F.coalesce("degree", F.lit(0)).alias("degree"))
-    stats = per.agg(F.count("*").alias("nodes"), F.avg("degree").alias("average_degree"), F.max("degree").alias("max_degree"), F.count_if(F.col("degree") == 0).alias("isolated"))
+def subgraph_edges(incidences: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The view of all edges that touch one of the nodes; they may lead out of the set."""
+    touching = incidences.join(nodes.select("node").distinct(), "node", "left_semi").select("edge_id").distinct()
+    return edge_view(incidences.join(touching, "edge_id", "left_semi"))
+
+
+def all_degrees(incidences: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, degree for every node of the table, 0 for isolated ones."""
+    return nodes.select("node").distinct().join(degrees(incidences), "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def statistics(incidences: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes, edges, average_degree, max_degree, isolated, density = edges / (n (n - 1)); isolated nodes count."""
+    stats = all_degrees(incidences, nodes).agg(F.count("*").alias("nodes"), F.avg("degree").alias("average_degree"), F.max("degree").alias("max_degree"), F.count_if(F.col("degree") == 0).alias("isolated"))
     both = stats.crossJoin(edges.agg(F.count("*").alias("edges")))  # two single rows
     density = F.when(F.col("nodes") > 1, F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(0.0)
     return both.select("nodes", "edges", F.round("average_degree", 6).alias("average_degree"), "max_degree", "isolated", F.round(density, 9).alias("density"))
 
 
+def most_connected(incidences: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
+    return all_degrees(incidences, nodes).orderBy(F.desc("degree"), "node").limit(k)
+
+
+def connected_edges(incidences: DataFrame, least: int = 2, most_edges: int | None = None) -> DataFrame:
+    """a < b, shared: pairs of edges with at least ``least`` nodes in common.
+
+    A node on n edges gives n (n - 1) / 2 rows before they are counted, so with nodes on very many edges
+    the result itself is quadratic. ``most_edges`` leaves out nodes on more edges than that.
+    """
+    rows = incidences.select("edge_id", "node").distinct()
+    if most_edges is not None:
+        rows = rows.join(rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") <= most_edges).select("node"), "node", "left_semi")
+    pairs = rows.select("node", F.col("edge_id").alias("a")).join(rows.select("node", F.col("edge_id").alias("b")), "node").where("a < b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+
+
+def visibility_threshold(degrees: DataFrame, target: int) -> DataFrame:
+    """One row, threshold: the degree of the ``target``-th node by degree, 1 at least and if there are no more nodes than that."""
+    top = degrees.orderBy(F.desc("degree"), "node").limit(target + 1)
+    nth = top.agg(F.count("*").alias("n"), F.min("degree").alias("next"), F.sort_array(F.collect_list("degree"), asc=False).alias("top"))  # target + 1 numbers
+    return nth.select(F.when(F.col("n") <= target, 1).otherwise(F.greatest(F.lit(1), F.element_at("top", target))).cast("long").alias("threshold"))
+
+
+def visible(degrees: DataFrame, threshold: DataFrame, expanded: DataFrame) -> DataFrame:
+    """node: of at least the threshold's degree, or expanded."""
+    rows = degrees.join(expanded.select("node", F.lit(True).alias("open")).distinct(), "node", "left").crossJoin(F.broadcast(threshold))  # one row
+    return rows.where((F.col("degree") >= F.col("threshold")) | F.coalesce("open", F.lit(False))).select("node")
+
+
+def visible_edges(incidences: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edge_id: edges whose sources and targets are all among the nodes; an edge without any counts as such."""
+    hidden = incidences.where(F.col("role").isin("source", "target")).join(nodes, "node", "left_anti").select("edge_id").distinct()
+    return incidences.select("edge_id").distinct().join(hidden, "edge_id", "left_anti")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """id, component for the ids in ``links`` (a, b): the least id in reach, by labels from neighbours and doubled jumps."""
+    both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other"))).checkpoint()
+    labels = both.groupBy("id").agg(F.min("other").alias("least")).select("id", F.least("id", "least").alias("component")).checkpoint()
+    while True:
+        heard = both.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("heard"))
+        nearer = labels.join(heard, "id").select("id", F.col("component").alias("was"), F.least("component", "heard").alias("component"))
+        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("beyond"))
+        after = nearer.join(jump, "component").select("id", "was", F.least("component", "beyond").alias("component")).checkpoint()
+        labels = after.select("id", "component")
+        if after.where(F.col("component") != F.col("was")).isEmpty():
+            return labels
+
+
 def hop_lengths(incidences: DataFrame, seeds: DataFrame, most_edges: int = 3) -> DataFrame:
     """seed, node, length: edges on a shortest path, for nodes reached over at most ``most_edges``.
 
     Frontiers expand node to edge to node; edges met before by a seed are not met again, so a level
     costs no more than the frontier's incidences and pairs of edges are never built.
     """
-    rows = incidences.select("edge_id", "node").distinct()
+    rows = incidences.select("edge_id", "node").distinct().checkpoint()  # read at every level
     frontier = seeds.select(F.col("node").alias("seed"), "node").distinct()
     seen_nodes, seen_edges = frontier.withColumn("length", F.lit(0)), None
     for length in range(1, most_edges + 1):
         edges = frontier.join(rows, "node").select("seed", "edge_id").distinct()
         if seen_edges is not None:
             edges = edges.join(seen_edges, ["seed", "edge_id"], "left_anti")
+        edges = edges.checkpoint()
         seen_edges = edges if seen_edges is None else seen_edges.unionByName(edges)
         reached = edges.join(rows, "edge_id").select("seed", "node").distinct()
         frontier = reached.join(seen_nodes, ["seed", "node"], "left_anti").checkpoint()

@@ -1,26 +1,106 @@
-"""Full-text search: postings and BM25 (k1 = 1.2, b = 0.75; lower is better)."""
+"""Full-text search: stored postings and BM25 (k1 = 1.2, b = 0.75; lower is better)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.search import snippet, terms, terms_of
+
+K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+
+
+@dataclass(frozen=True)
+class Index:
+    """Postings (bucket, term, doc, tf, dl) by bucket of terms, and one row of totals (n, mean), both Parquet at ``path``."""
+
+    path: str
+    buckets: int
+
+    def postings(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/postings")
+
+    def totals(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/totals")
+
+
+def bucket_of(term, buckets: int):
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def build(docs: DataFrame, doc: str, text: str, path: str, buckets: int = 64) -> Index:
+    """Tokenizes every text once and writes its postings: a search reads the buckets of its own terms only."""
+    rows = docs.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("terms"))
+    counted = rows.select("doc", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
+    counted = counted.withColumn("bucket", bucket_of("term", buckets))
+    # a frequent term's postings spread over files by document
+    counted.repartitionByRange("bucket", "term", "doc").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    kept = docs.sparkSession.read.parquet(f"{path}/postings").select("doc", "dl").distinct()
+    every = docs.agg(F.count("*").alias("n"))
+    words = kept.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
+    every.crossJoin(words).select("n", (F.col("words") / F.col("n")).alias("mean")).write.parquet(f"{path}/totals")  # two single rows
+    return Index(path, buckets)
+
+
+def search(spark: SparkSession, index: Index, query: str, most: int | None = None) -> DataFrame:
+    """doc, rank: documents that hold all the query's stems, the best ``most`` of them."""
+    wanted = sorted(set(terms_of(query)))
+    found = index.postings(spark)
+    if not wanted:
+        return found.select("doc", F.lit(0.0).alias("rank")).limit(0)
+    buckets = [r[0] for r in spark.createDataFrame([(w,) for w in wanted], "term string").select(bucket_of("term", index.buckets)).distinct().collect()]  # as many as the query has words
+    found = found.where(F.col("bucket").isin(buckets) & F.col("term").isin(wanted))
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    rows = found.join(F.broadcast(df), "term").crossJoin(F.broadcast(index.totals(spark)))  # a row per word of the query; one row
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    ranked = rows.groupBy("doc").agg((-F.sum(score)).alias("rank"), F.count("*").alias("k")).where(F.col("k") == len(wanted)).drop("k")
+    return ranked if most is None else ranked.orderBy(F.round("rank", 9), "doc").limit(most)
+
+
+def search_nodes(spark: SparkSession, index: Index, nodes: DataFrame, query: str, most: int = 50) -> DataFrame:
+    """node, label, node_type, snippet, rank of nodes whose label holds the query's words."""
+    hits = search(spark, index, query, most).withColumnRenamed("doc", "node")
+    return nodes.join(F.broadcast(hits), "node").select("node", "label", "node_type", snippet(F.col("label"), terms_of(query), 32).alias("snippet"), "rank")  # `most` rows
+
+
+def search_content(spark: SparkSession, index: Index, chunks: DataFrame, edges: DataFrame, provenance: DataFrame, incidences: DataFrame, items: DataFrame, query: str, most: int = 30) -> DataFrame:
+    """node, rank, snippet, title: nodes on edges that come from one of the best ``most`` chunks, each with its best chunk.
+
+    An edge comes from a chunk that it names itself or that its provenance names.
+    """
+    hits = F.broadcast(search(spark, index, query, most).withColumnRenamed("doc", "id"))  # `most` rows
+    found = chunks.join(hits, "id").join(items.select(F.col("id").alias("feed_item_id"), "title"), "feed_item_id")
+    found = found.select("id", "feed_item_id", "chunk_index", "title", "rank", snippet(F.col("content"), terms_of(query), 48).alias("snippet")).persist()
+    named = edges.select("edge_id", F.col("source_chunk_id").alias("id")).join(F.broadcast(found.select("id")), "id")
+    stated = provenance.select("edge_id", "feed_item_id", "chunk_index").join(F.broadcast(found.select("id", "feed_item_id", "chunk_index")), ["feed_item_id", "chunk_index"])
+    both = named.select("edge_id", "id").unionByName(stated.select("edge_id", "id")).distinct()
+    nodes = both.join(incidences.select("edge_id", "node"), "edge_id").select("node", "id").distinct()
+    per = nodes.join(F.broadcast(found.select("id", "rank", "snippet", "title")), "id")
+    return per.groupBy("node").agg(F.min_by(F.struct("rank", "snippet", "title"), F.struct(F.round("rank", 9), "id")).alias("best")).select("node", "best.*")
+
+
+def search_all(direct: DataFrame, derived: DataFrame) -> DataFrame:
+    """node, rank, kind: direct matches, and nodes found by content that aren't among them."""
+    rest = derived.join(direct.select("node"), "node", "left_anti")
+    return direct.select("node", "rank", F.lit("label").alias("kind")).unionByName(rest.select("node", "rank", F.lit("content").alias("kind")))
+
 
-def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """term, doc, tf, dl."""
-    terms = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    rows = docs.select(F.col(doc).alias("doc"), terms.alias("terms")).where(F.size("terms") > 0)
-    return rows.select("doc", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
+def matched(results: DataFrame) -> DataFrame:
+    """All matched nodes, each once."""
+    return results.select("node").distinct()
 
 
-def bm25(docs: DataFrame, doc: str, text: str, words: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """doc, rank for the documents that hold all words. Filters reach the postings before they are counted."""
+def bm25(docs: DataFrame, doc: str, text: str, words: list[str], k1: float = K1, b: float = B) -> DataFrame:
+    """doc, rank for the documents that hold all words as they are written, without an index: one scan of the texts."""
     words = sorted(set(words))
-    terms = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    rows = docs.select(F.col(doc).alias("doc"), terms.alias("terms")).withColumn("dl", F.size("terms"))
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    rows = docs.select(F.col(doc).alias("doc"), tokens.alias("terms")).withColumn("dl", F.size("terms"))
     counts = [(F.size("terms") - F.size(F.array_remove("terms", w))).alias(f"tf{i}") for i, w in enumerate(words)]
     rows = rows.select("doc", "dl", *counts)
-    totals = rows.agg(F.count("*").alias("n"), F.avg(F.greatest("dl", F.lit(0))).alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
-    found = rows.where(" and ".join(f"tf{i} > 0" for i in range(len(words)))).crossJoin(F.broadcast(totals))  # one row
-    score = sum((F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("dl") / F.col("mean"))) for i in range(len(words))), F.lit(0.0))
+    stats = rows.agg(F.count("*").alias("n"), F.avg(F.greatest("dl", F.lit(0))).alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
+    found = rows.where(" and ".join(f"tf{i} > 0" for i in range(len(words)))).crossJoin(F.broadcast(stats))  # one row
+    score = sum((F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(LEAST_IDF)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("dl") / F.col("mean"))) for i in range(len(words))), F.lit(0.0))
     return found.select("doc", (-score).alias("rank"))

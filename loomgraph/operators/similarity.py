@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
@@ -20,7 +20,7 @@ def packed(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, block):
                 rows = batch.slice(at, block)
-                flat = np.array(rows.column("v").to_pylist(), np.float64).ravel()
+                flat = rows.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 ids = rows.column("id").to_pylist()
                 yield pa.RecordBatch.from_pydict({"block": pa.array([min(ids)], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "flat": pa.array([flat], pa.list_(pa.float64()))})
 
@@ -29,8 +29,10 @@ def packed(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
-        with np.errstate(invalid="ignore", divide="ignore"):
+        with np.errstate(invalid="ignore", divide="ignore"):  # NaN for a zero vector
             return 1 - (a @ b.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
+    if metric == "hamming":  # of sign bits
+        return ((a[:, None, :] > 0) != (b[None, :, :] > 0)).sum(axis=2).astype(np.float64)
     if metric == "l1":
         return np.stack([np.abs(b - x).sum(axis=1) for x in a])
     return np.sqrt(np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T))
@@ -42,9 +44,9 @@ def block_pairs(pairs: DataFrame, pick: Callable[[np.ndarray, np.ndarray, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                a, b = np.array(row["ids"]), np.array(row["ids2"])
-                yield pa.RecordBatch.from_arrays([*map(pa.array, pick(a, np.array(row["flat"]).reshape(len(a), -1), b, np.array(row["flat2"]).reshape(len(b), -1)))], names=names)
+            for i in range(batch.num_rows):
+                a, av, b, bv = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("ids", "flat", "ids2", "flat2"))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, pick(a, av.reshape(len(a), -1), b, bv.reshape(len(b), -1)))], names=names)
 
     return pairs.select("ids", "flat", "ids2", "flat2").mapInArrow(run, schema)
 
@@ -53,36 +55,54 @@ def second(blocks: DataFrame) -> DataFrame:
     return blocks.withColumnsRenamed({"block": "block2", "ids": "ids2", "flat": "flat2"})
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", within: float | None = None) -> DataFrame:
-    """query, id, distance, rank (from 1): the k nearest of ``base`` by (distance, id), itself excluded."""
+def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", within: float | None = None, where: Column | None = None, itself: bool = False) -> DataFrame:
+    """query, id, distance, rank (from 1): the k nearest of ``base`` by (distance, id).
+
+    ``where`` is a filter on any columns of ``base`` (ids, partition keys, metadata), applied before the
+    search; ``within`` is a strict bound on the distance. Each query itself is excluded, unless ``itself``.
+    """
 
     def pick(q, qv, ids, v):
-        d = distances(qv, v, metric)
-        d[q[:, None] == ids[None, :]] = np.inf
-        if within is not None:
-            d[~(d < within)] = np.inf
+        d = np.concatenate([distances(qv[i: i + 64], v, metric) for i in range(0, len(q), 64)]) if metric == "hamming" else distances(qv, v, metric)
+        if not itself:
+            d[q[:, None] == ids[None, :]] = np.inf
+        d[~(d < (np.inf if within is None else within))] = np.inf
         order = np.lexsort((np.broadcast_to(ids, d.shape), np.round(d, 9)), axis=1)[:, :k]
         rows = np.repeat(np.arange(len(q)), order.shape[1])
         found = d[rows, order.ravel()]
         fine = np.isfinite(found)
         return q[rows][fine], ids[order.ravel()][fine], found[fine]
 
-    pairs = packed(queries).crossJoin(second(packed(base)))  # blocks, not rows
+    base = base if where is None else base.where(where)
+    pairs = packed(queries.select("id", "v")).crossJoin(second(packed(base.select("id", "v"))))  # blocks, not rows
     found = block_pairs(pairs, pick, "query long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.round("distance", 9), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, above: float) -> DataFrame:
-    """a < b, similarity: all pairs with a cosine above the threshold, from the upper triangle of blocks."""
+def all_pairs(vectors: DataFrame, metric: str, accept: Callable[[np.ndarray], np.ndarray], value: str) -> DataFrame:
+    """a < b and ``value``, the distance: pairs that ``accept`` takes, from the upper triangle of blocks."""
 
     def pick(a, av, b, bv):
-        s = 1 - distances(av, bv, "cosine")
-        i, j = np.nonzero((s > above) & (a[:, None] != b[None, :]))
+        d = distances(av, bv, metric)
+        i, j = np.nonzero(accept(d) & (a[:, None] != b[None, :]))
         if np.array_equal(a, b):
             i, j = i[i < j], j[i < j]
-        return np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), s[i, j]
+        return np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), d[i, j]
 
     blocks = packed(vectors)
     pairs = blocks.crossJoin(second(blocks)).where(F.col("block") <= F.col("block2"))
-    return block_pairs(pairs, pick, "a long, b long, similarity double")
+    return block_pairs(pairs, pick, f"a long, b long, {value} double")
+
+
+def similar_pairs(vectors: DataFrame, above: float) -> DataFrame:
+    """a < b, similarity: all pairs with a cosine above the threshold; ids must be distinct. A zero vector is like none."""
+    near = all_pairs(vectors, "cosine", lambda d: 1 - d > above, "distance")
+    return near.select("a", "b", (1 - F.col("distance")).alias("similarity"))
+
+
+def near_pairs(vectors: DataFrame, similarity: float, most: int) -> DataFrame:
+    """a < b, distance, similarity: the ``most`` nearest pairs with an L2 distance under sqrt(2 (1 - similarity)), as of unit vectors."""
+    bound = float(np.sqrt(2 * (1 - similarity)))
+    pairs = all_pairs(vectors, "l2", lambda d: d < bound, "distance").withColumn("similarity", 1 - F.col("distance") * F.col("distance") / 2)
+    return pairs.orderBy(F.round("distance", 9), "a", "b").limit(most)

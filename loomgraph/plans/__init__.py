@@ -1,3 +1,3 @@
 """Queries over the driver's tables; each module registers its own."""
 
-from loomgraph.plans import queries, structure  # noqa: F401
+from loomgraph.plans import context, queries, structure, texts, themes, upserts  # noqa: F401

@@ -105,11 +105,22 @@ def node_df_idf(spark, sf_dir):
     return graph.document_frequencies(src.event_incidences(spark, sf_dir), src.event_edges(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
 
 
-@query(f"""WITH {INCIDENCES}, d AS (SELECT node, count(*) AS degree FROM inc GROUP BY node)
-SELECT count(*) AS nodes, (SELECT count(*) FROM events) AS edges, round(avg(degree), 6) AS average_degree, max(degree) AS max_degree, count(*) FILTER (degree = 0) AS isolated,
-round((SELECT count(*) FROM events) / (count(*) * (count(*) - 1)), 9) AS density FROM d""")
+NODES = """nodes AS (SELECT 'c:' || c_custkey AS node, c_name AS label, 'customer' AS node_type FROM customer UNION ALL SELECT 'p:' || p_partkey, p_name, 'part' FROM part UNION ALL SELECT 's:' || s_suppkey, s_name, 'supplier' FROM supplier)"""
+
+
+@query(f"""WITH {ORDERS}, {NODES}, d AS (SELECT node, count(*) AS degree FROM inc WHERE role <> 'member' GROUP BY node), a AS (SELECT node, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN d USING (node))
+SELECT count(*) AS nodes, (SELECT count(*) FROM orders) AS edges, round(avg(degree), 6) AS average_degree, max(degree) AS max_degree, count(*) FILTER (degree = 0) AS isolated,
+round((SELECT count(*) FROM orders) / (count(*) * (count(*) - 1)), 9) AS density FROM a""")
 def graph_statistics(spark, sf_dir):
-    return graph.statistics(src.event_incidences(spark, sf_dir), src.event_edges(spark, sf_dir))
+    """Customers without orders, and suppliers, which are members only, are isolated."""
+    return graph.statistics(src.order_incidences(spark, sf_dir), src.table(spark, sf_dir, "orders"), src.order_nodes(spark, sf_dir))
+
+
+@query(f"""WITH {ORDERS}, {NODES}, n AS (SELECT count(*) AS n FROM orders), d AS (SELECT node, count(DISTINCT edge_id) AS df FROM inc GROUP BY node)
+SELECT node, coalesce(df, 0) AS df, round(least(ln((n + 1) / (coalesce(df, 0) + 1)) + 1, 6.0), 6) AS idf FROM nodes LEFT JOIN d USING (node), n""")
+def all_node_idf(spark, sf_dir):
+    """As ``node_df_idf``, but nodes without edges have df 0."""
+    return graph.document_frequencies(src.order_incidences(spark, sf_dir), src.table(spark, sf_dir, "orders"), nodes=src.order_nodes(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"""WITH {ORDERS} SELECT edge_id, array_to_string(list(node ORDER BY position, node) FILTER (role = 'source'), ' ') AS sources, array_to_string(list(node ORDER BY position, node) FILTER (role = 'target'), ' ') AS targets
@@ -137,11 +148,16 @@ def hop_lengths(spark, sf_dir):
 
 
 def checkpointed(spark: SparkSession) -> None:
-    """The session's checkpoint folder, or one of its own where none is set (tests)."""
+    """Sets the session's checkpoint folder, ``spark.checkpoint.dir``; only a local session may go without it."""
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomgraph-"))
+            base = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+        spark.sparkContext.setCheckpointDir(base)
 
 
 @query("""WITH n AS (SELECT count(*) AS n FROM documents), p AS (SELECT event_id, event_id % n AS item, CASE WHEN event_id % 7 <> 0 THEN 'chunk of ' || event_id END AS chunk FROM events, n)
@@ -191,7 +207,7 @@ def fixed_chunks(spark, sf_dir):
     return src.table(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", F.posexplode(chunks).alias("pos", "chunk"))
 
 
-@query(r"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM conversations)
+@query(r"""WITH w AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), ' '), lambda x: x <> '') AS w FROM conversations)
 SELECT conv_id, turn, array_to_string(list_transform(list_zip(w, range(1, len(w) + 1)), lambda p: '"' || replace(p[1], '"', '""') || CASE WHEN p[2] = len(w) THEN '*"' ELSE '"' END), ' ') AS match FROM w""")
 def match_queries(spark, sf_dir):
     return src.table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.match_query(F.col("text")).alias("match"))
@@ -202,8 +218,22 @@ def keyword_fallback(spark, sf_dir):
     return src.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(tx.keywords(F.col("text")), " ").alias("words"))
 
 
+#: The families in SQL, written out: {} is the verb.
+FAMILY_SQL = """CASE WHEN regexp_matches(lower({0}), 'cause|result in|lead to|leads to|led to|trigger|enable|prevent|block|reduce|increase|impact|affect|disrupt|transform|drive|accelerate') THEN 'Cause & Effect'
+WHEN regexp_matches(lower({0}), 'partner|collaborate|team up|ally|join|integrate|work with|cooperate|support') THEN 'Partnership'
+WHEN regexp_matches(lower({0}), 'acquire|buy|purchase|invest|fund|merge|raise|sell|divest|ipo') THEN 'Acquisition & Investment'
+WHEN regexp_matches(lower({0}), 'compete|rival|challenge|outperform|surpass|overtake|beat|versus|alternative') THEN 'Competition'
+WHEN regexp_matches(lower({0}), 'regulate|ban|approve|fine|sue|comply|enforce|legislat|sanction|antitrust|patent|licens|lawsuit') THEN 'Regulation & Legal'
+WHEN regexp_matches(lower({0}), 'hack|breach|attack|vulnerab|exploit|malware|ransomware|phish|compromis|leak') THEN 'Security Incident'
+WHEN regexp_matches(lower({0}), 'price|cost|fee|tariff|discount|revenue|profit|margin|valuation|billion|million|worth') THEN 'Pricing & Cost'
+WHEN regexp_matches(lower({0}), 'benchmark|perform|test|evaluat|score|speed|latency|throughput|accuracy|efficien') THEN 'Performance & Benchmark'
+WHEN regexp_matches(lower({0}), 'hire|recruit|layoff|lay off|laid off|fire|restructur|downsize|appoint|resign|ceo') THEN 'Hiring & Layoffs'
+WHEN regexp_matches(lower({0}), 'launch|release|announc|unveil|introduce|debut|ship|deploy|roll out|open source') THEN 'Product Launch'
+WHEN regexp_matches(lower({0}), 'use|run|has|is|include|contain|feature|offer|provide|consist') THEN 'Association' ELSE 'Other' END"""
+
+
 def family_sql(verb: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(lower({verb}), '{'|'.join(parts)}') THEN '{family}'" for family, parts in tx.FAMILIES) + " ELSE 'Other' END"
+    return FAMILY_SQL.format(verb)
 
 
 @query(f"SELECT {family_sql('p_type')} AS family, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT {family_sql('event_type')} || ' event', count(*) FROM events GROUP BY 1")
@@ -213,11 +243,15 @@ def relation_family_counts(spark, sf_dir):
     return parts.unionByName(events)
 
 
-@query(r"""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' ||
-CASE WHEN url ILIKE 'http://%' THEN regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), ':80$', '') ELSE regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), ':443$', '') END ||
-regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '/$', '') AS url FROM pages""")
+@query(r"""WITH v AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url || '/' WHEN 1 THEN url || '?next=/' WHEN 2 THEN regexp_extract(url, '^[^:]*://[^/]*') || '/' WHEN 3 THEN ' no address/ ' ELSE replace(upper(url), 'HTTPS://', 'HTTPS://') END AS u FROM pages),
+p AS (SELECT page_id, u, regexp_extract(u, '^([A-Za-z]+)://', 1) AS scheme, regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1) AS host, regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '([?#].*)$', 1) AS tail FROM v)
+SELECT page_id, CASE WHEN scheme = '' THEN trim(u) ELSE lower(scheme) || '://' || CASE lower(scheme) WHEN 'http' THEN regexp_replace(lower(host), ':80$', '') WHEN 'https' THEN regexp_replace(lower(host), ':443$', '') ELSE lower(host) END || CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/$', '') END || tail END AS url FROM p""")
 def url_normalize(spark, sf_dir):
-    return src.table(spark, sf_dir, "pages").select("page_id", tx.normalized_url(F.col("url")).alias("url"))
+    """Pages' addresses, with slashes put to the end of the path, into the query or after the host, and upper case."""
+    url, root = F.col("url"), F.regexp_extract("url", "^[^:]*://[^/]*", 0)
+    by = F.col("page_id") % 5
+    odd = F.when(by == 0, F.concat(url, F.lit("/"))).when(by == 1, F.concat(url, F.lit("?next=/"))).when(by == 2, F.concat(root, F.lit("/"))).when(by == 3, " no address/ ").otherwise(F.upper(url))
+    return src.table(spark, sf_dir, "pages").select("page_id", tx.normalized_url(odd).alias("url"))
 
 
 @query(r"""SELECT doc_id, coalesce(length(text) < 500 OR ends_with(text, '...') OR ends_with(text, '…') OR contains(lower(text), 'read more') OR contains(lower(text), 'continue reading'), true) AS needs_full,
