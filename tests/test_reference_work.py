@@ -223,6 +223,19 @@ def test_processing(spark):
     assert {r.id: r.status for r in failed.collect()} == {1: "failed", 3: "failed", 4: "completed"}
 
 
+def test_processing_stream(spark, tmp_path):
+    from loomgraph.streaming import ingest
+
+    source = tmp_path / "items"
+    for n, rows in enumerate(([(1, "A text."), (2, "B text.")], [(3, "C text.")])):
+        spark.createDataFrame(rows, "id long, full_content string").coalesce(1).write.mode("append").parquet(f"file://{source}/{n}")
+    items = ingest.feed_stream(spark, f"file://{source}/*", spark.createDataFrame([], "id long, full_content string").schema, 1)
+    extract = lambda rows: rows.where(F.col("id") > 0).select(F.concat(F.lit("e_chunk0_"), "id").alias("edge_id"), F.lit("r").alias("relation"), F.lit("c_0").alias("chunk_id"), F.col("id").alias("feed_item_id"), F.array(F.lit("n")).alias("nodes"), F.array(F.lit("n")).alias("sources"), F.array().cast("array<string>").alias("targets"))
+    ingest.process_batches(items, f"file://{tmp_path}/out", f"file://{tmp_path}/state", extract).awaitTermination(120)
+    assert {r.id: r.status for r in ingest.current_status(spark, f"file://{tmp_path}/out").collect()} == {1: "completed", 2: "completed", 3: "completed"}
+    assert spark.read.parquet(f"file://{tmp_path}/out/edges").count() == 3
+
+
 def test_models(spark):
     rows = spark.createDataFrame([("dogs run",), ("running dog",), (None,), ("",)], "t string").select(models.embedded(F.col("t")).alias("v"), models.answered(F.col("t"), models.first_lines).alias("a")).collect()
     assert rows[0].v == pytest.approx(rows[1].v) and rows[2].v is None and not any(rows[3].v) and [r.a for r in rows] == ["dogs run ", "running dog ", None, ""]
