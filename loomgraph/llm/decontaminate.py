@@ -67,18 +67,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
         lengths = [r["n"] for r in stats if (r["n"] + 1) // 2 == block]
         of_block = windows.where(F.col("n").isin(lengths))
         anchors = of_block.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda o: run_of(word_array(F.col("window")), o, block))).alias("block")).distinct()
-        # the last may be shorter; the blocks around one that is found hold every window that covers it
-        blocks = F.regexp_extract_all("norm", F.lit(f"(?:[^ ]+ ){{1,{block}}}"), F.lit(0))
-        cut = rows.select("doc_id", "__text", blocks.alias("blocks"))
-        if small:  # the blocks stay beside each other: no row is built until one is found
-            near = cut.select("doc_id", "__text", "blocks", F.posexplode("blocks").alias("k", "block")).join(hint(anchors), "block")
+        blocks = F.regexp_extract_all("norm", F.lit(f"(?:[^ ]+ ){{{block}}}"), F.lit(0))
+        if small:  # the text stays beside its blocks: no row is built until a block is found
+            near = rows.select("doc_id", "__text", "norm", F.posexplode(blocks).alias("k", "block")).join(hint(anchors), "block")
         else:
-            places = cut.select("doc_id", "__text", F.posexplode("blocks").alias("k", "block")).join(anchors, "block", "left_semi").groupBy("doc_id", "__text").agg(F.collect_set("k").alias("ks"))
+            places = rows.select("doc_id", "__text", F.posexplode(blocks).alias("k", "block")).join(anchors, "block", "left_semi").groupBy("doc_id", "__text").agg(F.collect_set("k").alias("ks"))
             places = places.withColumnsRenamed({"doc_id": "__id", "__text": "__t"})
-            near = cut.dropDuplicates(["doc_id", "__text"]).join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t"))).select("doc_id", "__text", "blocks", F.explode("ks").alias("k"))
-        first = F.greatest(F.col("k") - 1, F.lit(0))
-        around = F.array_join(F.slice("blocks", first + 1, F.col("k") - first + 2), "")
-        near = near.select("doc_id", "__text", (first * block).alias("base"), ((F.col("k") - first) * block).alias("at"), word_array(around).alias("words"))
+            near = rows.dropDuplicates(["doc_id", "__text"]).join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t"))).select("doc_id", "__text", "norm", F.explode("ks").alias("k"))
+        # the blocks before, at and after the found one hold every window that covers it; the rest of the text is not split
+        upto = lambda words: F.call_function("substring_index", F.col("norm"), F.lit(" "), words.cast("int"))
+        base = F.greatest(F.col("k") - 1, F.lit(0)) * block
+        around = F.when(F.col("k") < 2, upto((F.col("k") + 2) * block)).otherwise(F.substr(upto((F.col("k") + 2) * block), F.char_length(upto(base)) + 2))
+        near = near.select("doc_id", "__text", base.alias("base"), (F.col("k") * block - base).alias("at"), word_array(around).alias("words"))
         for n in lengths:
             starts = F.filter(F.sequence(F.col("at") - (block - 1), F.col("at")), lambda p: (p >= 0) & (p + n <= F.size("words")))
             places = F.explode(F.transform(starts, lambda p: F.struct((F.col("base") + p).alias("start"), run_of(F.col("words"), p, n).alias("window")))).alias("place")
