@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprints, language, line_dedup, mixing, near_dup, quality, sharding, token_output
+from . import chat, decontaminate, fingerprints, language, line_dedup, mixing, near_dup, quality, repeated_windows, sharding, token_output
 
 QUERIES = {
     "op1_mix_to_weights": mixing.op1_mix_to_weights,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_shard_best_fit": sharding.op10_shard_best_fit,
+    "op13_suffix_windows": repeated_windows.op13_suffix_windows,
 }
 ORACLE_SQL = {
     "op1_mix_to_weights": mixing.OP1_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
+    "op13_suffix_windows": repeated_windows.OP13_SQL,
 }
