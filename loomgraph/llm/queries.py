@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprints, language, line_dedup, mixing, near_dup, quality, repeated_windows, sharding, spelling, token_output
+from . import chat, decontaminate, fingerprints, language, line_dedup, mixing, near_dup, periodic, quality, repeated_windows, sharding, spelling, token_output
 
 QUERIES = {
     "op1_mix_to_weights": mixing.op1_mix_to_weights,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_shard_best_fit": sharding.op10_shard_best_fit,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_suffix_windows": repeated_windows.op13_suffix_windows,
 }
@@ -22,7 +23,9 @@ ORACLE_SQL = {
     "op1_mix_to_weights": mixing.OP1_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op11_periodic_runs": periodic.OP11_SQL,
     "op12_spelling_variants": spelling.OP12_SQL,
     "op13_suffix_windows": repeated_windows.OP13_SQL,
 }
