@@ -59,7 +59,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return _mixed(left[: len(right)]) + right
+    x = _mixed(left[: len(right)]) + right
+    return x ^ (x >> np.uint64(31))  # else parts of one length could change places
 
 
 def hashes(data: np.ndarray, width: int) -> np.ndarray:
@@ -167,7 +168,8 @@ def shared_runs(chunk: Chunk, codes: np.ndarray) -> Items:
     if not len(keys):
         return Items(keys, keys, empty, empty, empty, empty)
     doc = chunk.doc_at(chunk.first)[order]
-    text = (_mixed(_mixed(chunk.window[chunk.first]) + chunk.window[chunk.last]) + (chunk.last - chunk.first).astype(np.uint64) | np.uint64(1))[order]
+    ends = _mixed(_mixed(chunk.window[chunk.first]) + chunk.window[chunk.last])
+    text = (_mixed(ends + (chunk.last - chunk.first).astype(np.uint64) * _ODD) | np.uint64(1))[order]
     least, most = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
     tag = np.minimum.reduceat(text, starts)
     tag[np.maximum.reduceat(text, starts) != tag] = 0
