@@ -57,7 +57,8 @@ def light_edges(table: DataFrame) -> DataFrame:
     steps = table.select("word", "n", place).select("*", F.substring("word", F.lit(1), F.col("at")).alias("node"), F.substring("word", F.col("at") + 1, F.lit(1)).alias("own"))
     children = steps.groupBy("node", "own").agg(F.count("*").alias("below"))
     nodes = children.groupBy("node").agg(F.count("*").alias("children"), F.max(F.when(F.col("own") != "", F.struct("below", "own"))).alias("heavy"))
-    nodes = nodes.where(F.col("children") > 1).select("node", F.col("heavy.own").alias("heavy"))
+    # written, so that the join reads both sides from exchanges and can split a frequent node
+    nodes = stored(nodes.where(F.col("children") > 1).select("node", F.col("heavy.own").alias("heavy")), "nodes")
     return steps.join(nodes, "node").where(F.col("own") != F.col("heavy")).drop("node")
 
 
