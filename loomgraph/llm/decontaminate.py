@@ -10,8 +10,8 @@ joins shuffle block keys instead.
 
 Defined results: a null text has no words; null or wordless items have no windows; an item without
 id is listed as ''; rows that share doc_id and text have the same result; items with equal windows are
-all listed; in a very long text only the blocks around a found one are compared; empty tables give
-empty or uncontaminated results; other columns, whatever their names, are ignored by the report and
+all listed; a very long text is cut into blocks twice at most, and each found block costs the same
+however long the text is; empty tables give empty or uncontaminated results; other columns, whatever their names, are ignored by the report and
 kept by the filters.
 """
 
@@ -61,32 +61,36 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
     stats = windows.groupBy("n").agg(F.count("*").alias("c")).orderBy("n").collect()  # a row per window length
     small = sum(r["c"] for r in stats) <= MOST_WINDOWS
     hint = F.broadcast if small else (lambda df: df)
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("__text"), normalised(F.col("text")).alias("norm"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__key")
+    rows = docs.select("doc_id", key, text_key(F.col("text")).alias("__text"), normalised(F.col("text")).alias("norm"))
+    sizes = {block: [r["n"] for r in stats if (r["n"] + 1) // 2 == block] for block in sorted({(r["n"] + 1) // 2 for r in stats})}
+    if not sizes:
+        return rows.select("doc_id", "__text", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")).limit(0)
+    blocks = lambda block: F.regexp_extract_all("norm", F.lit(f"(?:[^ ]+ ){{1,{block}}}"), F.lit(0))
     found = None
-    for block in sorted({(r["n"] + 1) // 2 for r in stats}):
-        lengths = [r["n"] for r in stats if (r["n"] + 1) // 2 == block]
+    for block, lengths in sizes.items():
+        anchors = windows.where(F.col("n").isin(lengths)).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda o: run_of(word_array(F.col("window")), o, block))).alias("block")).distinct()
+        part = rows.select("__key", "__text", F.posexplode(blocks(block)).alias("k", "block")).join(hint(anchors), "block", "left_semi")
+        part = part.groupBy("__key", "__text").agg(F.collect_set("k").alias("ks")).withColumn("size", F.lit(block))
+        found = part if found is None else found.unionByName(part)
+    found = stored(found, "places")
+    # only documents with a found block are cut again; their blocks lie in one array, so a place costs the same in a text of any length
+    some = stored(by_ids(rows, found.select("__key"), key="__key").dropDuplicates(["__key", "__text"]), "found")
+    held, found = found, None
+    for block, lengths in sizes.items():
+        near = some.join(held.where(F.col("size") == block).hint("merge"), ["__key", "__text"])
+        near = near.select("doc_id", "__text", blocks(block).alias("blocks"), "ks").select("doc_id", "__text", "blocks", F.explode("ks").alias("k"))
+        # the blocks before, at and after the found one hold every window that covers it
+        first = F.greatest(F.col("k") - 1, F.lit(0))
+        around = word_array(F.array_join(F.slice("blocks", first + 1, F.col("k") - first + 2), ""))
+        near = near.select("doc_id", "__text", (first * block).alias("base"), ((F.col("k") - first) * block).alias("at"), around.alias("words"))
         of_block = windows.where(F.col("n").isin(lengths))
-        anchors = of_block.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda o: run_of(word_array(F.col("window")), o, block))).alias("block")).distinct()
-        blocks = F.regexp_extract_all("norm", F.lit(f"(?:[^ ]+ ){{{block}}}"), F.lit(0))
-        if small:  # the text stays beside its blocks: no row is built until a block is found
-            near = rows.select("doc_id", "__text", "norm", F.posexplode(blocks).alias("k", "block")).join(hint(anchors), "block")
-        else:
-            places = rows.select("doc_id", "__text", F.posexplode(blocks).alias("k", "block")).join(anchors, "block", "left_semi").groupBy("doc_id", "__text").agg(F.collect_set("k").alias("ks"))
-            places = places.withColumnsRenamed({"doc_id": "__id", "__text": "__t"})
-            near = rows.dropDuplicates(["doc_id", "__text"]).join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t"))).select("doc_id", "__text", "norm", F.explode("ks").alias("k"))
-        # the blocks before, at and after the found one hold every window that covers it; the rest of the text is not split
-        upto = lambda words: F.call_function("substring_index", F.col("norm"), F.lit(" "), words.cast("int"))
-        base = F.greatest(F.col("k") - 1, F.lit(0)) * block
-        around = F.when(F.col("k") < 2, upto((F.col("k") + 2) * block)).otherwise(F.substr(upto((F.col("k") + 2) * block), F.char_length(upto(base)) + 2))
-        near = near.select("doc_id", "__text", base.alias("base"), (F.col("k") * block - base).alias("at"), word_array(around).alias("words"))
         for n in lengths:
             starts = F.filter(F.sequence(F.col("at") - (block - 1), F.col("at")), lambda p: (p >= 0) & (p + n <= F.size("words")))
             places = F.explode(F.transform(starts, lambda p: F.struct((F.col("base") + p).alias("start"), run_of(F.col("words"), p, n).alias("window")))).alias("place")
             part = near.select("doc_id", "__text", places).select("doc_id", "__text", "place.*", F.lit(n).alias("n")).join(hint(of_block.where(F.col("n") == n).select("window", "items")), "window")
             part = part.select("doc_id", "__text", F.struct("start", "n").alias("run"), "items")
             found = part if found is None else found.unionByName(part)
-    if found is None:
-        return rows.select("doc_id", "__text", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")).limit(0)
     per = found.groupBy("doc_id", "__text").agg(F.array_sort(F.collect_set("run")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.aggregate(
         "runs", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
