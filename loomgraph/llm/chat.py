@@ -13,8 +13,8 @@ which streams them in order, since a digest has to be sequential.
 
 Defined results: a null text or role is empty; a null turn comes first; ties go by role, then text;
 a null conv_id is a conversation of its own; repeated rows are turns of their own; an empty table
-gives the added conversation only; other columns are ignored; a very long text is encoded in slices of
-``SLICE`` code points, whose bytes join to the same text.
+gives the added conversation only; other columns are ignored; a very long text has the ids that
+the vocabulary gives it, also where it holds very long runs of blanks.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Reserved ids and how they are rendered.
 START, BODY, END = 50257, 50258, 50259
 RENDERED = {START: "<|im_start|>", BODY: "\n", END: "<|im_end|>\n"}
-#: The library's pattern can't take runs of hundreds of thousands of blanks.
-SLICE = 1 << 16
+#: The library's pattern can't take runs of hundreds of thousands of blanks: runs from this length on are encoded as the piece that they are.
+LONG_BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
 #: A block ends with the turn that brings it to so many tokens.
 BLOCK_TOKENS = 32_768
 BLOCKS = "conv_id long, part int, block long, whole boolean, chars long, ids array<int>, mask array<byte>"
@@ -66,10 +66,12 @@ def unescaped(text: str) -> str:
 
 
 def encoded(text: str, enc) -> list[int]:
-    text = escaped(text)
-    if len(text) <= SLICE:
-        return enc.encode_ordinary(text)
-    return [i for a in range(0, len(text), SLICE) for i in enc.encode_ordinary(text[a: a + SLICE])]
+    text, ids, at = escaped(text), [], 0
+    for run in LONG_BLANKS.finditer(text):
+        end = run.end() - (run.end() < len(text))  # the last blank belongs to what follows
+        ids += enc.encode_ordinary(text[at:run.start()]) + enc._encode_single_piece(text[run.start():end])
+        at = end
+    return ids + enc.encode_ordinary(text[at:])
 
 
 def decoded(ids: np.ndarray, enc) -> str:
@@ -135,7 +137,7 @@ def write_chat(turns: DataFrame, path: str, vocabulary: str | None = None, train
     """Formats turns (conv_id, turn, role, text) and writes blocks of token ids with masks as Parquet."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     keys = ["conv_id", "turn", "role", "text"]
-    ordered = rows.repartitionByRange("conv_id", "turn", "role", F.xxhash64("text")).sortWithinPartitions(*keys)
+    ordered = rows.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 64)).sortWithinPartitions(*keys)
     ordered.select("conv_id", "role", "text").mapInArrow(blocks(vocabulary or vocabulary_path(VOCABULARY), trained), BLOCKS).write.parquet(path)
 
 
