@@ -367,8 +367,15 @@ def report(docs: DataFrame, least_percent: int = 75, bands: int = BANDS, rows: i
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, all columns kept."""
-    return by_ids(docs, report(docs, **options).where(~F.col("kept")).select("doc_id"), held=False)
+    """One document of each group, all columns kept; of rows with equal doc_id and text one stays.
+
+    Rows without doc_id stay as they are. Only texts under a doc_id with such repeated rows are shuffled.
+    """
+    kept = by_ids(docs, report(docs, **options).where(~F.col("kept")).select("doc_id"), held=False)
+    rows = docs.select("doc_id", F.xxhash64(F.col("text").isNull(), F.col("text")).alias("__t")).where("doc_id is not null")
+    repeated = stored(rows.groupBy("doc_id", "__t").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    once = by_ids(kept, repeated, held=False)
+    return once.unionByName(by_ids(kept, repeated).dropDuplicates(["doc_id", "text"]))
 
 
 def op7_minhash_near_dup(spark, sf_dir: str) -> DataFrame:
