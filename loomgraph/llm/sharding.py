@@ -188,7 +188,9 @@ def in_order(docs: DataFrame, shards: int = 16) -> DataFrame:
         return in_order(stored(docs.toDF(*at), "documents").toDF(*docs.columns), shards)
     rows = placed(rows, shards).withColumnsRenamed({f"c{len(at)}": "__file", f"c{len(at) + 1}": "__at"})
     # narrow rows are numbered; a file is a range of the order, whose rows come from one task
-    slots = numbered(stored(rows.select("shard", "__file", "__at"), "places"), "shard", ["__at"], F.col("__file")).select("__file", "__at", "shard", "slot")
+    # by the number in the file's name: from 100,000 files on names don't sort like numbers
+    number = F.regexp_extract("__file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    slots = numbered(stored(rows.select("shard", "__file", "__at"), "places"), "shard", ["__at"], F.struct(F.coalesce(number, F.lit(-1)).alias("n"), F.col("__file").alias("file"))).select("__file", "__at", "shard", "slot")
     found = rows.drop("shard").join(slots.hint("merge"), ["__file", "__at"])
     return found.select(*[F.col(n).alias(c) for n, c in zip(at, docs.columns)], F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
