@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomgraph.functions.vectors import bound
+
 #: Entities decoded when HTML is stripped, in this order.
 ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " ")]
 #: Words left out of keyword queries.
@@ -48,7 +50,13 @@ def strip_html(html: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit("[^.!?]+[.!?]+"), F.lit(0))
+    """Stretches that end with full stops, exclamation or question marks; what stands behind the last mark is none.
+
+    A mark is put behind an open end and its stretch dropped, or every place of the end would be tried as a start.
+    """
+    whole = F.regexp_like(text, F.lit(r"[.!?]\z"))
+    found = F.regexp_extract_all(F.when(whole, text).otherwise(F.concat(text, F.lit("."))), F.lit("[^.!?]+[.!?]+"), F.lit(0))
+    return F.when(whole, found).otherwise(bound(found, lambda m: F.slice(m, F.lit(1), F.greatest(F.size(m) - 1, F.lit(0)))))
 
 
 def match_query(text: Column) -> Column:
@@ -78,8 +86,8 @@ def relation_one_hot(family: Column) -> Column:
 
 
 def capitalised(words: Column) -> Column:
-    """Words joined by spaces, each with a capital first letter."""
-    return F.initcap(F.array_join(F.filter(words, lambda w: w != ""), " "))
+    """Words joined by spaces, each with a capital first letter and small ones behind."""
+    return F.array_join(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.concat(F.upper(F.substring(w, F.lit(1), F.lit(1))), F.lower(F.substr(w, F.lit(2))))), " ")
 
 
 def relation_title(edge_id: Column) -> Column:
@@ -135,14 +143,18 @@ def trimmed(text: Column) -> Column:
 def normalized_url(url: Column) -> Column:
     """Scheme and host in lower case, default port and a slash at the end of the path off; a lone slash stays.
 
-    Text that isn't an address with a scheme is trimmed and stays.
+    User names before an @ stay as they are. An address without a scheme (no colon in its first part) is a path with
+    what follows. Other text is trimmed and stays.
     """
     form = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#\s]*)([^?#\s]*)([^\s]*)$"
+    bare = r"^((?!//)[^/?#:\s]+(?:/[^?#\s]*)?|/(?!/)[^?#\s]*)([?#][^\s]*)?$"
     part = [F.regexp_extract(url, form, i) for i in range(1, 5)]
-    scheme, host = F.lower(part[0]), F.lower(part[1])
+    scheme, host = F.lower(part[0]), F.lower(F.regexp_extract(part[1], "[^@]*$", 0))
+    user = F.regexp_extract(part[1], "^(.*@)?", 1)
     host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
     path = F.when(F.length(part[2]) > 1, F.regexp_replace(part[2], "/$", "")).otherwise(part[2])
-    return F.when(F.regexp_like(url, F.lit(form)), F.concat(scheme, F.lit("://"), host, path, part[3])).otherwise(trimmed(url))
+    return F.when(F.regexp_like(url, F.lit(form)), F.concat(scheme, F.lit("://"), user, host, path, part[3])).otherwise(
+        F.when(F.regexp_like(url, F.lit(bare)), F.concat(F.regexp_replace(F.regexp_extract(url, bare, 1), "(.)/$", "$1"), F.regexp_extract(url, bare, 2))).otherwise(trimmed(url)))
 
 
 def repaired_url(url: Column) -> Column:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -73,16 +80,20 @@ def sliced(v: Column, start: int, end: int) -> Column:
     return F.slice(v, start + 1, end - start)
 
 
+def scaled(v: Column, of_zero: Callable[[Column], Column]) -> Column:
+    """Elements through the norm, which is computed once, as is the vector itself; ``of_zero`` for a zero vector."""
+    unit = lambda d: bound(norm(d), lambda n: F.transform(d, lambda x: F.when(n > 0, x / n).otherwise(of_zero(x))))
+    return bound(doubles(v), unit)
+
+
 def normalized(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    length = norm(v)
-    return F.transform(doubles(v), lambda x: F.when(length > 0, x / length).otherwise(x))
+    return scaled(v, lambda x: x)
 
 
 def normalized_or_nan(v: Column) -> Column:
     """Unit length; a zero vector gives NaN elements."""
-    length = norm(v)
-    return F.transform(doubles(v), lambda x: F.when(length > 0, x / length).otherwise(float("nan")))
+    return scaled(v, lambda x: F.lit(float("nan")))
 
 
 def added_int8(a: Column, b: Column) -> Column:

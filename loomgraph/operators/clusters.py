@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,27 +15,76 @@ from loomgraph.functions.vectors import cosine_similarity
 def weighted_means(rows: DataFrame, key: list[str], vector: str, weight: str | None = None) -> DataFrame:
     """key, mean: element-wise weighted mean of the vectors, as an array.
 
-    Each Arrow batch adds up its vectors per key first, so a key's vectors reach the shuffle as few sums.
+    Each Arrow batch adds up its vectors per key first, so a key's vectors reach the shuffle as few sums;
+    those are sorted by key and added up in a stream.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    parts = rows.where(F.col(vector).isNotNull() & w.isNotNull()).select(F.struct(*key).alias("k"), w.alias("w"), F.col(vector).cast("array<double>").alias("v"))
-    text = F.to_json("k")  # one column to group by, whatever the keys are
-    schema = "t string, w double, v array<double>"
-    sums = parts.select(text.alias("t"), "w", "v").mapInArrow(added_up, schema)
-    total = sums.groupBy("t").agg(F.sum("w").alias("w"), F.collect_list("v").alias("vs"))
-    mean = F.transform(F.aggregate(F.slice("vs", 2, F.size("vs")), F.element_at("vs", 1), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)), lambda x: x / F.col("w"))
-    kind = parts.schema["k"].dataType
-    return total.select(F.from_json("t", kind).alias("k"), mean.alias("mean")).select("k.*", "mean")
-
-
-def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sums: dict[str, tuple[float, np.ndarray]] = {}
-        weights, lists = batch.column("w").to_numpy(), batch.column("v")
-        for i, t in enumerate(batch.column("t").to_pylist()):
-            v = lists[i].values.to_numpy(zero_copy_only=False) * weights[i]
-            sums[t] = (sums[t][0] + weights[i], sums[t][1] + v) if t in sums else (weights[i], v)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([w for w, _ in sums.values()], pa.float64()), pa.array([v for _, v in sums.values()], pa.list_(pa.float64()))], names=["t", "w", "v"])
+    parts = rows.where(F.col(vector).isNotNull() & w.isNotNull()).select(*key, w.alias("__w"), F.col(vector).cast("array<double>").alias("__v"))
+    kinds = ", ".join(f"`{k}` {parts.schema[k].dataType.simpleString()}" for k in key)
+    sums = parts.mapInArrow(added_up(key), f"{kinds}, __w double, __v array<double>")
+    ordered = sums.repartition(*key).sortWithinPartitions(*key)
+    return ordered.mapInArrow(means(key), f"{kinds}, mean array<double>")
+
+
+def groups_of(batch: pa.RecordBatch, key: list[str]) -> np.ndarray:
+    """A number for each row, equal for equal keys (null equals null)."""
+    number = np.zeros(batch.num_rows, np.int64)
+    for k in key:
+        codes = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        number = np.unique(number * (codes.max(initial=0) + 1) + codes, return_inverse=True)[1]
+    return number
+
+
+def vector_sums(batch: pa.RecordBatch, number: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the vectors by number, and each number's first row; all vectors of a batch have one length."""
+    flat, v = batch.column("__v").flatten().to_numpy(zero_copy_only=False), None
+    if len(flat) % batch.num_rows or len(set(np.diff(batch.column("__v").offsets.to_numpy()))) > 1:
+        raise ValueError("vectors of different dimensions")
+    v = flat.reshape(batch.num_rows, -1) * (1 if weights is None else weights[:, None])
+    first = np.unique(number, return_index=True)[1]
+    out = np.zeros((len(first), v.shape[1]))
+    np.add.at(out, number, v)
+    return out, first
+
+
+def added_up(key: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                number, weights = groups_of(batch, key), batch.column("__w").to_numpy()
+                sums, first = vector_sums(batch, number, weights)
+                yield rows_of(batch, key, first, {"__w": pa.array(np.bincount(number, weights))}, "__v", sums)
+
+    return run
+
+
+def rows_of(batch: pa.RecordBatch, key: list[str], first: np.ndarray, more: dict[str, pa.Array], name: str, v: np.ndarray) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel()))
+    return pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(first)) for k in key], *more.values(), lists], names=[*key, *more, name])
+
+
+def means(key: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From sums sorted by key: the mean of each key; a key may go on in the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        finish = lambda b: rows_of(b, key, np.arange(b.num_rows), {}, "mean", b.column("__v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) / b.column("__w").to_numpy()[:, None])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            number = groups_of(batch, key)
+            number = np.cumsum(np.concatenate([[0], number[1:] != number[:-1]]))
+            sums, first = vector_sums(batch, number, None)
+            done = rows_of(batch, key, first, {"__w": pa.array(np.bincount(number, batch.column("__w").to_numpy()))}, "__v", sums)
+            if done.num_rows > 1:
+                yield finish(done.slice(0, done.num_rows - 1))
+            held = done.slice(done.num_rows - 1)
+        if held is not None:
+            yield finish(held)
+
+    return run
 
 
 def exemplars(members: DataFrame, centroids: DataFrame, k: int = 10) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -74,17 +74,43 @@ def most_connected(incidences: DataFrame, nodes: DataFrame, k: int = 5) -> DataF
     return all_degrees(incidences, nodes).orderBy(F.desc("degree"), "node").limit(k)
 
 
-def connected_edges(incidences: DataFrame, least: int = 2, most_edges: int | None = None) -> DataFrame:
+#: A node on more edges than that is indexed together with each edge's other nodes.
+HEAVY = 1000
+
+
+def connection_candidates(rows: DataFrame, least: int, heavy: int = HEAVY) -> DataFrame:
+    """a < b: pairs of edges that may have ``least`` nodes in common; all that do are among them.
+
+    Of an edge's nodes, from the rarest on, all but the last ``least - 1`` are indexed: two edges that
+    share ``least`` nodes share one of those. Where a common node is on very many edges and another one
+    must be shared, too, it is indexed with each of the others, so the edges it has meet in small groups.
+    ``rows`` are distinct (edge_id, node).
+    """
+    counts = rows.groupBy("node").agg(F.count("*").alias("n"))
+    per = Window.partitionBy("edge_id")
+    ranked = rows.join(counts, "node").select("edge_id", "node", "n", F.row_number().over(per.orderBy("n", "node")).alias("at"), F.count("*").over(per).alias("size"))
+    indexed = ranked.where(F.col("at") <= F.col("size") - (least - 1)).checkpoint()
+    split = (F.col("n") > heavy) if least > 1 else F.lit(False)
+    light = indexed.where(~split).select(F.array("node").alias("key"), "edge_id")
+    # in the order of ranks, so that a pair of nodes is one key from both edges
+    others = indexed.where(split).select("edge_id", "node").join(rows.select("edge_id", F.col("node").alias("other")), "edge_id").where(F.col("node") != F.col("other"))
+    keyed = light.unionByName(others.select(F.array("node", "other").alias("key"), "edge_id"))
+    return keyed.select("key", F.col("edge_id").alias("a")).join(keyed.select("key", F.col("edge_id").alias("b")), "key").where("a < b").select("a", "b").distinct()
+
+
+def connected_edges(incidences: DataFrame, least: int = 2, most_edges: int | None = None, heavy: int = HEAVY) -> DataFrame:
     """a < b, shared: pairs of edges with at least ``least`` nodes in common.
 
-    A node on n edges gives n (n - 1) / 2 rows before they are counted, so with nodes on very many edges
-    the result itself is quadratic. ``most_edges`` leaves out nodes on more edges than that.
+    Candidates come from :func:`connection_candidates` and are counted exactly. ``most_edges`` leaves out
+    nodes on more edges than that.
     """
     rows = incidences.select("edge_id", "node").distinct()
     if most_edges is not None:
         rows = rows.join(rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") <= most_edges).select("node"), "node", "left_semi")
-    pairs = rows.select("node", F.col("edge_id").alias("a")).join(rows.select("node", F.col("edge_id").alias("b")), "node").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    rows = rows.checkpoint()  # read for counts, ranks and sets
+    sets = rows.groupBy("edge_id").agg(F.collect_list("node").alias("nodes"))
+    pairs = connection_candidates(rows, least, heavy).join(sets.select(F.col("edge_id").alias("a"), F.col("nodes").alias("of_a")), "a").join(sets.select(F.col("edge_id").alias("b"), F.col("nodes").alias("of_b")), "b")
+    return pairs.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("shared")).where(F.col("shared") >= least)
 
 
 def visibility_threshold(degrees: DataFrame, target: int) -> DataFrame:

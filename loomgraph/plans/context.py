@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as tx
 from loomgraph.operators import context, graph, paths, similarity
-from loomgraph.plans.queries import INCIDENCES, NODES, ORDERS, query, vectors
+from loomgraph.plans.queries import INCIDENCES, NODES, ORDERS, checkpointed, query, vectors
 from loomgraph.plans.structure import PATHS, order_paths
 from loomgraph.sources import tables as src
 
@@ -53,6 +53,7 @@ def subgraph_edges(spark, sf_dir):
 @query("""WITH x AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS p FROM lineitem) SELECT a.e AS a, b.e AS b, count(*) AS shared FROM x a JOIN x b ON a.p = b.p AND a.e < b.e GROUP BY 1, 2 HAVING count(*) >= 2""")
 def connected_edges(spark, sf_dir):
     """Orders that share at least two parts."""
+    checkpointed(spark)
     rows = src.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("edge_id"), F.col("l_partkey").alias("node"))
     return graph.connected_edges(rows, 2)
 

@@ -243,14 +243,14 @@ def relation_family_counts(spark, sf_dir):
     return parts.unionByName(events)
 
 
-@query(r"""WITH v AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url || '/' WHEN 1 THEN url || '?next=/' WHEN 2 THEN regexp_extract(url, '^[^:]*://[^/]*') || '/' WHEN 3 THEN ' no address/ ' ELSE replace(upper(url), 'HTTPS://', 'HTTPS://') END AS u FROM pages),
+@query(r"""WITH v AS (SELECT page_id, CASE page_id % 7 WHEN 5 THEN regexp_replace(url, '^[^:]*://', '') || '/' WHEN 6 THEN replace(url, '://', '://User@') WHEN 0 THEN url || '/' WHEN 1 THEN url || '?next=/' WHEN 2 THEN regexp_extract(url, '^[^:]*://[^/]*') || '/' WHEN 3 THEN ' no address/ ' ELSE replace(upper(url), 'HTTPS://', 'HTTPS://') END AS u FROM pages),
 p AS (SELECT page_id, u, regexp_extract(u, '^([A-Za-z]+)://', 1) AS scheme, regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1) AS host, regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '([?#].*)$', 1) AS tail FROM v)
-SELECT page_id, CASE WHEN scheme = '' THEN trim(u) ELSE lower(scheme) || '://' || CASE lower(scheme) WHEN 'http' THEN regexp_replace(lower(host), ':80$', '') WHEN 'https' THEN regexp_replace(lower(host), ':443$', '') ELSE lower(host) END || CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/$', '') END || tail END AS url FROM p""")
+SELECT page_id, CASE WHEN scheme = '' AND u LIKE '% %' THEN trim(u) WHEN scheme = '' THEN regexp_replace(regexp_extract(u, '^[^?#]*'), '/$', '') || tail ELSE lower(scheme) || '://' || CASE WHEN contains(host, '@') THEN split_part(host, '@', 1) || '@' ELSE '' END || CASE lower(scheme) WHEN 'http' THEN regexp_replace(lower(regexp_replace(host, '^.*@', '')), ':80$', '') WHEN 'https' THEN regexp_replace(lower(regexp_replace(host, '^.*@', '')), ':443$', '') ELSE lower(regexp_replace(host, '^.*@', '')) END || CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/$', '') END || tail END AS url FROM p""")
 def url_normalize(spark, sf_dir):
     """Pages' addresses, with slashes put to the end of the path, into the query or after the host, and upper case."""
     url, root = F.col("url"), F.regexp_extract("url", "^[^:]*://[^/]*", 0)
-    by = F.col("page_id") % 5
-    odd = F.when(by == 0, F.concat(url, F.lit("/"))).when(by == 1, F.concat(url, F.lit("?next=/"))).when(by == 2, F.concat(root, F.lit("/"))).when(by == 3, " no address/ ").otherwise(F.upper(url))
+    by = F.col("page_id") % 7
+    odd = F.when(by == 5, F.concat(F.regexp_replace(url, "^[^:]*://", ""), F.lit("/"))).when(by == 6, F.replace(url, F.lit("://"), F.lit("://User@"))).when(by == 0, F.concat(url, F.lit("/"))).when(by == 1, F.concat(url, F.lit("?next=/"))).when(by == 2, F.concat(root, F.lit("/"))).when(by == 3, " no address/ ").otherwise(F.upper(url))
     return src.table(spark, sf_dir, "pages").select("page_id", tx.normalized_url(odd).alias("url"))
 
 

@@ -39,6 +39,16 @@ def bfs_paths(spark, sf_dir):
     return order_paths(spark, sf_dir)[0].select("seed", "target", "length", F.array_join(F.col("path").cast("array<string>"), " ").alias("path"))
 
 
+@query(f"WITH {PATHS.replace(' QUALIFY row_number() OVER (PARTITION BY seed, target ORDER BY path) <= 3', '')} SELECT seed, target, CAST(length AS INTEGER) AS length, array_to_string(path, ' ') AS path FROM found")
+def all_paths(spark, sf_dir):
+    """All shortest paths of up to five orders between every hundredth customer."""
+    checkpointed(spark)
+    rows = src.order_incidences(spark, sf_dir).where("role <> 'member'")
+    seeds = rows.where(F.startswith("node", F.lit("c:")) & (F.substring("node", 3, 20).cast("long") % 100 == 0)).select("node").distinct()
+    pairs = seeds.select(F.col("node").alias("seed")).join(seeds.select(F.col("node").alias("target")), F.col("seed") != F.col("target"))  # the pairs that are asked for
+    return paths.all_shortest_paths(rows, pairs).select("seed", "target", "length", F.array_join(F.col("path").cast("array<string>"), " ").alias("path"))
+
+
 @query(f"""WITH {PATHS}, h AS (SELECT seed, target, path, unnest(range(1, len(path))) AS i FROM found)
 SELECT seed, target, array_to_string(path, ' ') AS path, CAST(i - 1 AS INTEGER) AS hop, string_agg(a.node, ' ' ORDER BY a.node) AS shared
 FROM h JOIN g a ON a.edge_id = path[i] JOIN g b ON b.edge_id = path[i + 1] AND a.node = b.node GROUP BY ALL""")
