@@ -1,10 +1,12 @@
-"""Full-text search: stored postings and BM25 (k1 = 1.2, b = 0.75; lower is better)."""
+"""Full-text search: stored postings with upkeep, phrases, and BM25 (k1 = 1.2, b = 0.75; lower is better)."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.search import snippet, terms, terms_of
@@ -14,49 +16,168 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 @dataclass(frozen=True)
 class Index:
-    """Postings (bucket, term, doc, tf, dl) by bucket of terms, and one row of totals (n, mean), both Parquet at ``path``."""
+    """Segments of postings at ``path``, with marks of documents that were deleted or replaced.
+
+    A segment has postings (bucket, term, doc, tf, dl, positions) by bucket of terms and docs (doc, dl); it
+    is never changed. Marks (doc, at) say that a document's rows in segments numbered below ``at`` are dead.
+    Each change writes a new version of the manifest, a row per segment, table of marks, and totals; readers
+    see a version or the next, never part of one. One writer at a time.
+    """
 
     path: str
     buckets: int
 
+    def manifest(self, spark: SparkSession) -> tuple[int, list[Row]]:
+        rows = spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
+        last = rows.agg(F.max("version")).first()[0]
+        return last, rows.where(F.col("version") == last).collect()  # a row per segment and table of marks
+
+    def tables(self, spark: SparkSession, part: str, entries: list[Row] | None = None) -> DataFrame:
+        """The live rows of all segments' (or these) ``part``, with the segment's number."""
+        every = self.manifest(spark)[1]
+        entries = [e for e in every if e.kind == "segment"] if entries is None else entries
+        found = None
+        for e in entries:
+            rows = spark.read.parquet(f"{self.path}/{e.name}/{part}").withColumn("number", F.lit(e.number))
+            found = rows if found is None else found.unionByName(rows)
+        marks = [spark.read.parquet(f"{self.path}/{e.name}") for e in every if e.kind == "marks"]
+        if not marks:
+            return found
+        last = reduce(DataFrame.unionByName, marks).groupBy("doc").agg(F.max("at").alias("at"))
+        return found.join(last, "doc", "left").where(F.col("at").isNull() | (F.col("at") <= F.col("number"))).drop("at")
+
     def postings(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/postings")
+        return self.tables(spark, "postings")
 
     def totals(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/totals")
+        """One row: n documents, mean words."""
+        t = next(e for e in self.manifest(spark)[1] if e.kind == "totals")
+        return spark.createDataFrame([(t.docs, t.words / t.docs if t.docs else 0.0)], "n long, mean double")
+
+
+MANIFEST = "kind string, name string, number long, docs long, words long, version long"
 
 
 def bucket_of(term, buckets: int):
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def build(docs: DataFrame, doc: str, text: str, path: str, buckets: int = 64) -> Index:
-    """Tokenizes every text once and writes its postings: a search reads the buckets of its own terms only."""
-    rows = docs.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("terms"))
-    counted = rows.select("doc", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
-    counted = counted.withColumn("bucket", bucket_of("term", buckets))
+def committed(spark: SparkSession, index: Index, version: int, entries: list[tuple]) -> None:
+    spark.createDataFrame(entries, MANIFEST.removesuffix(", version long")).coalesce(1).write.parquet(f"{index.path}/manifest/version={version}")
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(postings: DataFrame, path: str) -> None:
     # a frequent term's postings spread over files by document
-    counted.repartitionByRange("bucket", "term", "doc").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-    kept = docs.sparkSession.read.parquet(f"{path}/postings").select("doc", "dl").distinct()
-    every = docs.agg(F.count("*").alias("n"))
-    words = kept.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
-    every.crossJoin(words).select("n", (F.col("words") / F.col("n")).alias("mean")).write.parquet(f"{path}/totals")  # two single rows
-    return Index(path, buckets)
+    postings.repartitionByRange("bucket", "term", "doc").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+
+
+def segment(index: Index, docs: DataFrame, doc: str, text: str, number: int) -> tuple:
+    """Tokenizes every text once and writes a segment; its entry in the manifest."""
+    spark, name = docs.sparkSession, f"segment-{number}-{uuid.uuid4().hex}"
+    rows = docs.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("terms"))
+    rows = rows.select("doc", "terms", F.coalesce(F.size("terms"), F.lit(0)).alias("dl"))
+    rows.write.parquet(f"{index.path}/{name}/terms")
+    rows = spark.read.parquet(f"{index.path}/{name}/terms")
+    words = rows.select("doc", "dl", F.posexplode("terms").alias("at", "term"))
+    counted = words.groupBy("term", "doc", "dl").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    written(counted.select(bucket_of("term", index.buckets).alias("bucket"), "term", "doc", F.size("positions").cast("long").alias("tf"), "dl", "positions"), f"{index.path}/{name}/postings")
+    rows.select("doc", "dl").write.parquet(f"{index.path}/{name}/docs")
+    t = spark.read.parquet(f"{index.path}/{name}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    removed(spark, f"{index.path}/{name}/terms")
+    return ("segment", name, number, t[0], t[1])
+
+
+def build(docs: DataFrame, doc: str, text: str, path: str, buckets: int = 64) -> Index:
+    """An index of one segment. A document without terms counts among the documents; ids must be distinct."""
+    index = Index(path, buckets)
+    first = segment(index, docs, doc, text, 1)
+    committed(docs.sparkSession, index, 1, [first, ("totals", None, 1, first[3], first[4])])
+    return index
+
+
+def changed(spark: SparkSession, index: Index, ids: DataFrame, docs: DataFrame | None = None, doc: str = "doc", text: str = "text") -> None:
+    version, entries = index.manifest(spark)
+    number = 1 + max(e.number for e in entries)
+    name = f"marks-{number}-{uuid.uuid4().hex}"
+    ids.select(F.col(doc).alias("doc")).distinct().withColumn("at", F.lit(number).cast("long")).write.parquet(f"{index.path}/{name}")
+    gone = index.tables(spark, "docs").join(spark.read.parquet(f"{index.path}/{name}").select("doc"), "doc", "left_semi").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    own = [segment(index, docs, doc, text, number)] if docs is not None else []
+    old = next(e for e in entries if e.kind == "totals")
+    totals = ("totals", None, number, old.docs - gone[0] + sum(s[3] for s in own), old.words - gone[1] + sum(s[4] for s in own))
+    kept = [tuple(e)[:5] for e in entries if e.kind != "totals"]
+    committed(spark, index, version + 1, [*kept, ("marks", name, number, gone[0], gone[1]), *own, totals])
+
+
+def upsert(index: Index, docs: DataFrame, doc: str, text: str) -> None:
+    """Inserts documents, or puts them in the place of those with their ids. Only these texts and the ids of the others are read."""
+    changed(docs.sparkSession, index, docs, docs, doc, text)
+
+
+def delete(index: Index, ids: DataFrame, doc: str) -> None:
+    changed(ids.sparkSession, index, ids, doc=doc)
+
+
+def merge(spark: SparkSession, index: Index, most: int = 8) -> None:
+    """Writes the smallest segments' live rows into one, so that ``most`` are left; with one left, marks go, too."""
+    version, entries = index.manifest(spark)
+    parts = sorted((e for e in entries if e.kind == "segment"), key=lambda e: (e.docs, e.number))
+    if len(parts) <= most:
+        return
+    old = parts[: len(parts) - most + 1]
+    # its rows are those live now, so later marks alone can concern them
+    number = max(e.number for e in old)
+    name = f"segment-{number}-{uuid.uuid4().hex}"
+    written(index.tables(spark, "postings", old).drop("number"), f"{index.path}/{name}/postings")
+    index.tables(spark, "docs", old).drop("number").write.parquet(f"{index.path}/{name}/docs")
+    t = spark.read.parquet(f"{index.path}/{name}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    names = {e.name for e in old}
+    rest = [tuple(e)[:5] for e in entries if e.name not in names and not (most == 1 and e.kind == "marks")]
+    committed(spark, index, version + 1, [*rest, ("segment", name, number, t[0], t[1])])
+
+
+def units_of(query: str) -> list[tuple[str, ...]]:
+    """The query's words, each as its terms: several terms are a phrase. Each once, in order."""
+    return list(dict.fromkeys(tuple(t) for word in query.split() if (t := terms_of(word))))
+
+
+def phrase(found: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """doc, dl, tf: where the words stand one behind the other, from the postings of their terms."""
+    places = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(w).alias("term")) for i, w in enumerate(words)])
+    asked = found.sparkSession.range(1).select(F.explode(places).alias("p")).select("p.*")
+    at = found.join(F.broadcast(asked), "term").select("doc", "dl", "k", F.explode("positions").alias("at"))  # a row per word
+    starts = at.groupBy("doc", "dl", (F.col("at") - F.col("k")).alias("start")).agg(F.count("*").alias("n")).where(F.col("n") == len(words))
+    return starts.groupBy("doc", "dl").agg(F.count("*").alias("tf"))
 
 
 def search(spark: SparkSession, index: Index, query: str, most: int | None = None) -> DataFrame:
-    """doc, rank: documents that hold all the query's stems, the best ``most`` of them."""
-    wanted = sorted(set(terms_of(query)))
+    """doc, rank: documents that hold all the query's words as stems, the best ``most`` of them.
+
+    A word that falls into several terms ("e-mail", "3.5") is a phrase: its terms follow each other, and
+    its occurrences and documents are counted like a term's.
+    """
+    units = units_of(query)
     found = index.postings(spark)
-    if not wanted:
+    if not units:
         return found.select("doc", F.lit(0.0).alias("rank")).limit(0)
+    wanted = sorted({t for u in units for t in u})
     buckets = [r[0] for r in spark.createDataFrame([(w,) for w in wanted], "term string").select(bucket_of("term", index.buckets)).distinct().collect()]  # as many as the query has words
     found = found.where(F.col("bucket").isin(buckets) & F.col("term").isin(wanted))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    rows = found.join(F.broadcast(df), "term").crossJoin(F.broadcast(index.totals(spark)))  # a row per word of the query; one row
+    singles = [u[0] for u in units if len(u) == 1]
+    rows = found.where(F.col("term").isin(singles)).select("doc", "dl", F.col("term").alias("unit"), "tf")
+    for u in units:
+        if len(u) > 1:
+            rows = rows.unionByName(phrase(found.where(F.col("term").isin(*u)), u).select("doc", "dl", F.lit(" ".join(u)).alias("unit"), "tf"))
+    df = rows.groupBy("unit").agg(F.count("*").alias("df"))
+    rows = rows.join(F.broadcast(df), "unit").crossJoin(F.broadcast(index.totals(spark)))  # a row per word of the query; one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    ranked = rows.groupBy("doc").agg((-F.sum(score)).alias("rank"), F.count("*").alias("k")).where(F.col("k") == len(wanted)).drop("k")
+    ranked = rows.groupBy("doc").agg((-F.sum(score)).alias("rank"), F.count("*").alias("k")).where(F.col("k") == len(units)).drop("k")
     return ranked if most is None else ranked.orderBy(F.round("rank", 9), "doc").limit(most)
 
 
@@ -73,7 +194,7 @@ def search_content(spark: SparkSession, index: Index, chunks: DataFrame, edges:
     """
     hits = F.broadcast(search(spark, index, query, most).withColumnRenamed("doc", "id"))  # `most` rows
     found = chunks.join(hits, "id").join(items.select(F.col("id").alias("feed_item_id"), "title"), "feed_item_id")
-    found = found.select("id", "feed_item_id", "chunk_index", "title", "rank", snippet(F.col("content"), terms_of(query), 48).alias("snippet")).persist()
+    found = found.select("id", "feed_item_id", "chunk_index", "title", "rank", snippet(F.col("content"), terms_of(query), 48).alias("snippet")).checkpoint()
     named = edges.select("edge_id", F.col("source_chunk_id").alias("id")).join(F.broadcast(found.select("id")), "id")
     stated = provenance.select("edge_id", "feed_item_id", "chunk_index").join(F.broadcast(found.select("id", "feed_item_id", "chunk_index")), ["feed_item_id", "chunk_index"])
     both = named.select("edge_id", "id").unionByName(stated.select("edge_id", "id")).distinct()
