@@ -33,3 +33,11 @@ def with_analysis(history: DataFrame, saved: DataFrame) -> DataFrame:
     new = saved.select("id", *[F.col(c).alias(f"new_{c}") for c in ("synthesis", "hypotheses", "analyzed_at")], F.lit(True).alias("given"))
     rows = history.join(new, "id", "left")
     return rows.select(*[F.when(F.col("given"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in ("synthesis", "hypotheses", "analyzed_at") else F.col(c) for c in history.columns])
+
+
+def new_items(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """``key``, new_items: by how many rows a refresh has made a source longer, never under 0."""
+    old = before.groupBy(key).agg(F.count("*").alias("old"))
+    now = after.groupBy(key).agg(F.count("*").alias("now"))
+    more = F.greatest(F.lit(0), F.coalesce("now", F.lit(0)) - F.coalesce("old", F.lit(0))).cast("long")
+    return now.join(old, now[key].eqNullSafe(old[key]), "left").select(now[key], more.alias("new_items"))

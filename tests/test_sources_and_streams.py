@@ -107,3 +107,31 @@ def test_vector_functions_by_sql_text(spark):
     for wrong in ("vec_distance_l2(a, array(1D))", "vec_slice(a, 3, 3)", "vec_slice(a, 0, 17)", "vec_quantize_binary(array(1D))"):
         with pytest.raises(Exception):
             spark.sql(f"SELECT {wrong} FROM pair").collect()
+
+
+def test_articles_of_pages(spark):
+    from loomgraph.functions.article import article, extracted
+
+    prose = "This sentence is long enough to be taken for prose, and goes on."
+    page = f"""<html><head><title>t</title><script>var p = "<p>{prose}</p>";</script></head><body><nav><ul><li><a href="/x">{prose}</a></li></ul></nav>
+    <div class="ad banner"><p>{prose} Buy.</p></div><article><h1>The  <i>head</i></h1><p>{prose} With a <a href="/more?x=1">link</a>, <b>bold </b>and <em>more</em>.<br>Next line<p>Second. {prose}
+    <ul><li>one<li>two <b>2</b></ul><h2>Part</h2><blockquote>{prose}</blockquote><ol><li>first</li></ol><pre>  code
+   x</pre><div id="comments"><p>{prose} Comment.</p></div></article><footer><p>{prose} Foot.</p></footer></body></html>"""
+    want = "\n\n".join(["# The *head*", f"{prose} With a [link](https://a.b/more?x=1), **bold** and *more*.\nNext line", f"Second. {prose}", "- one\n- two **2**", "## Part", f"> {prose}", "1. first", "```\n  code\n   x\n```"])
+    assert extracted(page, "https://a.b/c/d") == want
+    side = f"<div><div id=side><a href=/a>{prose}</a><a href=/b>{prose}</a></div><div id=main><p>{prose}</p><p>{prose}</p></div></div>"
+    assert extracted(side, "") == f"{prose}\n\n{prose}"
+    odd = [None, "", "<p>short</p>", "no markup at all, but long enough to be prose, perhaps", "</div></p><b>x", "<div>" * 3000 + prose]
+    assert [extracted(h, None) for h in odd[:3]] == [None, None, None] and extracted(odd[3], "") == odd[3] and extracted(odd[4], "") is None and extracted(odd[5], "") == prose
+    nested = f"<article><p>{prose}</p><p>{prose}</p><ul><li>one<ul><li>inner</li></ul></li></ul></article>"
+    assert extracted(nested, "") == f"{prose}\n\n{prose}\n\n- one\n\ue000".replace("\ue000", "  - inner")
+    got = spark.createDataFrame([(page, "https://a.b/c/d"), (None, None)], "h string, u string").select(article(F.col("h"), F.col("u")).alias("a")).collect()
+    assert [r.a for r in got] == [want, None]
+
+
+def test_new_items_of_a_refresh(spark):
+    from loomgraph.operators.history import new_items
+
+    before = spark.createDataFrame([("a",)] * 3 + [("b",)] * 2 + [(None,)] + [("gone",)], "s string")
+    after = spark.createDataFrame([("a",)] * 5 + [("b",)] + [(None,)] * 2 + [("c",)], "s string")
+    assert {r["s"]: r["new_items"] for r in new_items(before, after, "s").collect()} == {"a": 2, "b": 0, None: 1, "c": 1}
