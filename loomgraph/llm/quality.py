@@ -8,11 +8,12 @@ back-off masses come from aggregations over them. Nothing of the model is collec
 of n-grams seen once to four times per order, from which the discounts follow.
 
 Documents are cut into parts by file and row number. Each part's distinct n-grams are listed in its
-task (so a frequent n-gram counts once a part, not once a use), dealt into ``BUCKETS`` by a digest and
+task (so a frequent n-gram counts once a part, not once a use), dealt into buckets (one for ``BUCKET_TEXT`` bytes of text, ``BUCKETS`` at least) by a digest and
 packed. The distinct ones of all parts are joined with the shards of every order; per bucket, the
 resulting losses meet the parts' lists and go back to the parts, where they meet the documents'
 compressed texts. That is the only shuffle of texts; a task streams them and holds the losses of one
-part's n-grams. A bucket of many parts is split by part (``BUCKET_PARTS``).
+part's n-grams. A bucket of many parts is split by part (``BUCKET_PARTS``), and a price goes only where it
+is listed.
 
 Two rates decide. The loss per character, over all characters, is high for nonsense. The loss per
 character that a cache of the last ``CACHE`` places leaves (an n-gram seen there costs nothing) is low
@@ -49,9 +50,10 @@ BITS, MASK = 21, (1 << 21) - 1
 CACHE = 64
 LOW, HIGH, MARGIN, STEP = 0.001, 0.999, 1.05, 0.001
 SHRINK, FEWEST = 100.0, 50
-PART_ROWS = 8192
-#: Buckets of n-grams, and parts whose lists of a bucket meet in one task.
-BUCKETS, BUCKET_PARTS = 64, 512
+#: Rows of a part at most, and bytes of text that its rows have at their mean length.
+PART_ROWS, PART_BYTES = 8192, 32 << 20
+#: Buckets of n-grams at least, bytes of text for each, and parts whose lists of a bucket meet in one task.
+BUCKETS, BUCKET_TEXT, BUCKET_PARTS = 64, 16 << 20, 512
 #: Characters worked on at once; a longer text is cut.
 PIECE = 1 << 18
 LISTED = "part int, bucket int, grams binary"
@@ -169,9 +171,9 @@ def runs_of(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from ((a, b) for a, b in zip(edges, edges[1:]) if b > a)
 
 
-def bucket_of(hi, lo):
+def bucket_of(hi, lo, buckets: int):
     """The bucket of an n-gram, alike for numpy arrays and columns."""
-    return (lo % 1_000_003 * 31 + hi % 999_983) % BUCKETS
+    return (lo % 1_000_003 * 31 + hi % 999_983) % buckets
 
 
 def packed(hi: np.ndarray, lo: np.ndarray) -> bytes:
@@ -196,17 +198,17 @@ def distinct(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hi[new], lo[new]
 
 
-def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def listing(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """The distinct n-grams of each part's texts by bucket, as far as the part lies in the task's partition."""
     at, held = None, []
 
     def listed() -> Iterator[pa.RecordBatch]:
         hi, lo = distinct(*(np.concatenate(c) for c in zip(*held)))
-        bucket = bucket_of(hi, lo)
+        bucket = bucket_of(hi, lo, buckets)
         order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-        some = [k for k in range(BUCKETS) if edges[k] < edges[k + 1]]
-        grams = [packed(hi[order[edges[k]: edges[k + 1]]], lo[order[edges[k]: edges[k + 1]]]) for k in some]
+        some, edges = np.unique(bucket[order], return_index=True)
+        edges = np.append(edges, len(order))
+        grams = [packed(hi[order[edges[k]: edges[k + 1]]], lo[order[edges[k]: edges[k + 1]]]) for k in range(len(some))]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), at, np.int32)), pa.array(some, pa.int32()), pa.array(grams, pa.binary())], names=["part", "bucket", "grams"])
 
     for batch in batches:
@@ -225,19 +227,22 @@ def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from listed()
 
 
-def merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct n-grams of lists sorted by bucket."""
+def merging(batches: Iterator[pa.RecordBatch], salted: bool) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of lists sorted by bucket, or by bucket and salt, which comes along."""
     at, held = None, []
 
     def merged() -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([*map(pa.array, distinct(*(np.concatenate(c) for c in zip(*held))))], names=["hi", "lo"])
+        hi, lo = distinct(*(np.concatenate(c) for c in zip(*held)))
+        salt = [pa.array(np.full(len(hi), at[1], np.int32))] * salted
+        yield pa.RecordBatch.from_arrays([*salt, pa.array(hi), pa.array(lo)], names=["salt"] * salted + ["hi", "lo"])
 
     for batch in batches:
-        for bucket, grams in zip(batch.column("bucket").to_pylist(), batch.column("grams").to_pylist()):
-            if held and bucket != at:
+        salts = batch.column("salt").to_pylist() if salted else [0] * batch.num_rows
+        for bucket, salt, grams in zip(batch.column("bucket").to_pylist(), salts, batch.column("grams").to_pylist()):
+            if held and (bucket, salt) != at:
                 yield from merged()
                 held = []
-            at = bucket
+            at = (bucket, salt)
             held.append(unpacked(grams))
             if len(held) > 64:
                 held = [distinct(*(np.concatenate(c) for c in zip(*held)))]
@@ -399,23 +404,31 @@ def scoring(columns: list[str], text_at: int | None) -> Callable[[Iterator[pa.Re
     return run
 
 
-def located(docs: DataFrame) -> DataFrame:
+def located(docs: DataFrame, part_rows: int) -> DataFrame:
     """``docs`` with part: a digest of file and row number, the same in every run; rows without a file are written first."""
     try:
-        part = F.hash("_metadata.file_path", F.floor(F.col("_metadata.row_index") / PART_ROWS))
+        part = F.hash("_metadata.file_path", F.floor(F.col("_metadata.row_index") / part_rows))
         return docs.select("*", part.alias("part"))
     except AnalysisException:
-        return located(stored(docs, "located"))
+        return located(stored(docs, "located"), part_rows)
 
 
 def scored(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]], columns: list[str], text: str) -> DataFrame:
     """``columns`` of ``docs`` with loss, fresh, chars and blank. Names must not be those of this function's own columns."""
-    placed = located(docs)
-    listed = stored(placed.select("part", F.col(text).alias("text")).mapInArrow(listing, LISTED), "listed")
+    size, n = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.count("*")).first()
+    buckets = max(BUCKETS, size // BUCKET_TEXT + 1)
+    placed = located(docs, max(1, min(PART_ROWS, PART_BYTES * n // max(1, size))))
+    listed = stored(placed.select("part", F.col(text).alias("text")).mapInArrow(lambda b: listing(b, buckets), LISTED), "listed")
     wanted = listed.select("bucket", "grams").repartition("bucket").sortWithinPartitions("bucket")
-    wanted = stored(wanted.mapInArrow(merging, "hi long, lo long"), "wanted")
+    wanted = stored(wanted.mapInArrow(lambda b: merging(b, False), "hi long, lo long"), "wanted")
     salts = -(-listed.select("part").distinct().count() // BUCKET_PARTS)
-    prices = probabilities(levels, wanted).select(bucket_of(F.col("hi"), F.col("lo")).cast("int").alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(max(0, salts - 1)))).alias("salt"), F.lit(0).alias("kind"), "hi", "lo", "loss")
+    prices = probabilities(levels, wanted)
+    if salts > 1:  # a price goes to those shares of its bucket's parts that list it
+        of_share = listed.select("bucket", F.pmod("part", F.lit(salts)).alias("salt"), "grams").repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
+        prices = prices.join(of_share.mapInArrow(lambda b: merging(b, True), "salt int, hi long, lo long"), ["hi", "lo"])
+    else:
+        prices = prices.withColumn("salt", F.lit(0))
+    prices = prices.select(bucket_of(F.col("hi"), F.col("lo"), buckets).cast("int").alias("bucket"), "salt", F.lit(0).alias("kind"), "hi", "lo", "loss")
     lists = listed.select("bucket", F.pmod("part", F.lit(max(1, salts))).alias("salt"), F.lit(1).alias("kind"), "part", "grams")
     priced = prices.unionByName(lists, allowMissingColumns=True).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "kind")
     losses = priced.mapInArrow(pricing, "part int, grams binary, losses binary").withColumn("kind", F.lit(0))
