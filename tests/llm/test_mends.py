@@ -142,3 +142,15 @@ def test_fixed_capacity_in_bins(spark):
     alone = 1 + max(sharding.best_fit_decreasing([s for _, s in rows], 50_000))
     assert all(r[1] <= 50_000 for r in placed) and sum(r[1] for r in placed) == sum(s for _, s in rows)
     assert len(placed) <= alone * 1.01 + 1
+
+
+def test_quality_is_the_same_however_it_is_dealt(spark, monkeypatch):
+    """Many buckets, small parts, and buckets split by part with prices routed to their lists."""
+    from loomgraph.llm import quality
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    rows = lambda: sorted(((r.doc_id, r.keep, round(r.perplexity or 0, 6), round(r.fresh_perplexity or 0, 6)) for r in quality.report(docs, labels).collect()))
+    want = rows()
+    for name, value in (("BUCKETS", 7), ("BUCKET_TEXT", 20_000), ("BUCKET_PARTS", 2), ("PART_BYTES", 60_000)):
+        monkeypatch.setattr(quality, name, value)
+    assert rows() == want
