@@ -161,10 +161,10 @@ def checkpointed(spark: SparkSession) -> None:
 
 
 @query("""WITH n AS (SELECT count(*) AS n FROM documents), p AS (SELECT event_id, event_id % n AS item, CASE WHEN event_id % 7 <> 0 THEN 'chunk of ' || event_id END AS chunk FROM events, n)
-SELECT event_id AS edge_id, item AS feed_item_id, coalesce(chunk, substr(text, 1, 80), '(Source text not available)') AS chunk_text FROM p LEFT JOIN documents ON doc_id = item""")
+SELECT event_id AS edge_id, item AS feed_item_id, coalesce(chunk, text, '(Source text not available)') AS chunk_text FROM p LEFT JOIN documents ON doc_id = item""")
 def provenance_edge(spark, sf_dir):
     items = src.feed_items(spark, sf_dir).select(F.col("id").alias("feed_item_id"), "full_content")
-    return src.provenance(spark, sf_dir).join(items, "feed_item_id", "left").select("edge_id", "feed_item_id", F.coalesce("chunk_text", F.substring("full_content", 1, 80), F.lit("(Source text not available)")).alias("chunk_text"))
+    return src.provenance(spark, sf_dir).join(items, "feed_item_id", "left").select("edge_id", "feed_item_id", F.coalesce("chunk_text", "full_content", F.lit("(Source text not available)")).alias("chunk_text"))
 
 
 @query()
@@ -328,10 +328,9 @@ def cluster_top_entities(spark, sf_dir):
 k AS (SELECT count(DISTINCT e) AS k FROM x), i AS (SELECT p, least(ln((k + 1) / (df + 1)) + 1, 6.0) AS idf FROM w, k),
 v AS (SELECT e, idf, embedding::DOUBLE[] AS v FROM x JOIN i USING (p), n JOIN embeddings ON vec_id = p % n),
 q AS (SELECT e, idf, generate_subscripts(v, 1) AS pos, unnest(v) AS y FROM v)
-SELECT e AS edge_id, CAST(pos - 1 AS INTEGER) AS pos, round(sum(idf * y) / sum(idf), 5) + 0.0 AS mean FROM q WHERE pos <= 4 GROUP BY e, pos""")
+SELECT e AS edge_id, CAST(pos - 1 AS INTEGER) AS pos, round(sum(idf * y) / sum(idf), 5) + 0.0 AS mean FROM q GROUP BY e, pos""")
 def event_vector_pool(spark, sf_dir):
-    """The first four elements of ``event_vector_pool_whole``."""
-    return pooled_parts(spark, sf_dir, F.slice("embedding", 1, 4))
+    return pooled_parts(spark, sf_dir, F.col("embedding"))
 
 
 @query("""WITH n AS (SELECT count(*) AS n FROM embeddings), x AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS p FROM lineitem), w AS (SELECT p, count(*) AS df FROM x GROUP BY p),
@@ -354,9 +353,9 @@ def pooled_parts(spark: SparkSession, sf_dir: str, vector: Column) -> DataFrame:
     return clusters.weighted_means(x.join(weighted, "part"), ["edge_id"], "v", "idf").select("edge_id", F.posexplode("mean").alias("pos", "mean")).withColumn("mean", F.round("mean", 5) + 0.0)
 
 
-@query("""SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || substr(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), 1, 150), chr(10) ORDER BY turn) AS history FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), chr(10) ORDER BY turn) AS history FROM conversations GROUP BY conv_id""")
 def conversation_history(spark, sf_dir):
-    line = F.concat("role", F.lit(": "), F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), 1, 150))
+    line = F.concat("role", F.lit(": "), F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
     rows = src.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines"))
     return rows.select("conv_id", "turns", F.array_join(F.transform("lines", lambda s: s["line"]), "\n").alias("history"))
 

@@ -65,12 +65,12 @@ def repaired_urls(spark, sf_dir):
 
 @query(rf"""WITH p AS (SELECT page_id, {stripped_sql()} AS t FROM pages) SELECT page_id, CASE WHEN length(t) <= 150 THEN t ELSE substr(t, 1, 150) || '...' END AS snippet, CASE WHEN length(t) <= 300 THEN t ELSE substr(t, 1, 300) || '...' END AS preview,
 CASE WHEN len(list_filter(string_split(t, ' '), lambda w: w <> '')) <= 4 THEN t ELSE array_to_string(list_slice(list_filter(string_split(t, ' '), lambda w: w <> ''), 1, 4), ' ') || '...' END AS label,
-CASE WHEN len(list_filter(string_split(t, ' '), lambda w: w <> '')) = 0 THEN 0 ELSE greatest(1, len(list_filter(string_split(t, ' '), lambda w: w <> '')) // 200) END AS minutes, regexp_replace(substr(t, 1, 200), '(?i)(the|de)', '<b>\1</b>', 'g') AS marked FROM p""")
+CASE WHEN len(list_filter(string_split(t, ' '), lambda w: w <> '')) = 0 THEN 0 ELSE greatest(1, len(list_filter(string_split(t, ' '), lambda w: w <> '')) // 200) END AS minutes, regexp_replace(t, '(?i)(the|de)', '<b>\1</b>', 'g') AS marked FROM p""")
 def item_previews(spark, sf_dir):
     """Snippets, previews, short labels, minutes of reading, and query words marked."""
     rows = src.table(spark, sf_dir, "pages").select("page_id", tx.strip_html(F.col("html")).alias("t"))
     words = F.size(F.filter(F.split("t", " "), lambda w: w != ""))
-    return rows.select("page_id", tx.cut(F.col("t"), 150).alias("snippet"), tx.cut(F.col("t"), 300).alias("preview"), tx.first_words(F.col("t"), 4).alias("label"), tx.reading_minutes(words).cast("long").alias("minutes"), tx.highlighted(F.substring("t", 1, 200), F.lit(" the de ")).alias("marked"))
+    return rows.select("page_id", tx.cut(F.col("t"), 150).alias("snippet"), tx.cut(F.col("t"), 300).alias("preview"), tx.first_words(F.col("t"), 4).alias("label"), tx.reading_minutes(words).cast("long").alias("minutes"), tx.highlighted(F.col("t"), F.lit(" the de ")).alias("marked"))
 
 
 @query("""SELECT doc_id AS id FROM documents WHERE contains(lower(strip_accents(coalesce('Article ' || doc_id, ''))), 'article 7') OR contains(lower(strip_accents(coalesce(substr(text, 1, 150), ''))), 'ero') OR contains(lower(strip_accents(coalesce(source, ''))), 'ero')""")
