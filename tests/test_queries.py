@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows on the small tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from loomgraph.plans import queries as plans
@@ -11,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def canonical(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("NULL" if x is None or x != x else f"{x:.6g}" if isinstance(x, float) else str(x) for x in row) for row in frame.itertuples(index=False))
+    return sorted(tuple("NULL" if x is None or x is pd.NA or x != x else f"{x:.6g}" if isinstance(x, float) else str(x) for x in row) for row in frame.itertuples(index=False))
 
 
 def expected(sql):
