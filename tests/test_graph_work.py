@@ -68,6 +68,41 @@ def test_all_shortest_paths(spark, most):
     assert {(r["seed"], r["target"], r["length"], tuple(r["path"])) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("most, kept", [(3, 3), (4, 2), (5, 3), (5, None)])
+def test_paths_from_both_ends(spark, most, kept):
+    # chains of edges that only groups of ends reach, beside a part that nothing joins to them
+    rows = hypergraph(11, edges=25, nodes=50, hub=False)
+    rows |= {(100 + e, f"m{e + i}") for e in range(9) for i in (0, 1)} | {(200 + e, f"m{e + i}") for e in range(4) for i in (0, 1)} | {(300, "z0"), (300, "z1")}
+    of, on = collections.defaultdict(set), collections.defaultdict(set)
+    for e, n in rows:
+        of[e].add(n)
+        on[n].add(e)
+    ends = sorted(n for n in on if n[0] == "n")[:12] + ["m0", "m1", "m4", "m5", "m9", "z0", "z1"]
+    want = set()
+    for a in ends:
+        level, seen, open_ = [((e,), e) for e in sorted(on[a])], set(on[a]), set(ends) - {a}
+        for _ in range(most):
+            hit = {b: sorted(p for p, e in level if b in of[e])[:kept] for b in open_ if any(b in of[e] for _, e in level)}
+            want |= {(a, b, len(p), p) for b, ps in hit.items() for p in ps}
+            open_ -= set(hit)
+            level = sorted({(p + (f,), f) for p, e in level for n in of[e] for f in on[n] if f not in seen})
+            seen |= {f for _, f in level}
+    assert max(w[2] for w in want) == most
+    df = spark.createDataFrame(sorted(rows), "edge_id long, node string")
+    named = spark.createDataFrame([(n,) for n in ends], "node string")
+    got = paths.shortest_paths(df, named, named, most, kept).collect()
+    assert {(r["seed"], r["target"], r["length"], tuple(r["path"])) for r in got} == want and len(got) == len(want)
+
+
+def test_parts_without_a_way_between_them_stay_closed(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "d"), (3, "x"), (4, "y"), (5, "x"), (5, "v"), (6, "v"), (6, "y")], "edge_id long, node string")
+    ends = spark.createDataFrame([(n,) for n in "abcdxy"], "start string")
+    found = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "d")], "seed string, target string")
+    near = ends.join(rows, F.col("start") == F.col("node")).select("start", "edge_id")
+    left = paths.open_pairs(rows, found, ends, ends, near, 1).collect()
+    assert {(r["seed"], r["target"]) for r in left} == {("d", "c"), ("x", "y"), ("y", "x")}
+
+
 def test_weighted_means(spark):
     rng = random.Random(9)
     rows = [(rng.choice([1, 2, None]), rng.choice(["x", "y", None]), rng.random(), [rng.random() for _ in range(3)]) for _ in range(500)] + [(7, "z", 0.5, None), (7, "z", None, [1.0, 2.0, 3.0])]
