@@ -109,6 +109,14 @@ def test_vector_functions_by_sql_text(spark):
             spark.sql(f"SELECT {wrong} FROM pair").collect()
 
 
+def test_short_article_that_the_page_names():
+    from loomgraph.functions.article import extracted
+
+    page = "<body><nav><a href='/x'>Way</a></nav><article></article><article><h1>Short.</h1><p><b>Short.<br></article><footer>Foot</footer></body>"
+    assert extracted(page) == "# Short.\n\n**Short.**"
+    assert extracted("<body><article><script>x</script></article><p>few</p></body>") is None
+
+
 def test_articles_of_pages(spark):
     from loomgraph.functions.article import article, extracted
 
