@@ -55,6 +55,19 @@ def second(blocks: DataFrame) -> DataFrame:
     return blocks.withColumnsRenamed({"block": "block2", "ids": "ids2", "flat": "flat2"})
 
 
+def least_of_rows(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k least finite values of each row, to nine digits, equal ones by id."""
+    r = np.round(d, 9)
+    if k < r.shape[1]:
+        i, j = np.nonzero(np.isfinite(r) & (r <= np.partition(r, k - 1, axis=1)[:, k - 1: k]))
+    else:
+        i, j = np.nonzero(np.isfinite(r))
+    order = np.lexsort((ids[j], r[i, j], i))
+    i, j = i[order], j[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[kept], j[kept]
+
+
 def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", within: float | None = None, where: Column | None = None, itself: bool = False) -> DataFrame:
     """query, id, distance, rank (from 1): the k nearest of ``base`` by (distance, id).
 
@@ -67,11 +80,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine",
         if not itself:
             d[q[:, None] == ids[None, :]] = np.inf
         d[~(d < (np.inf if within is None else within))] = np.inf
-        order = np.lexsort((np.broadcast_to(ids, d.shape), np.round(d, 9)), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(q)), order.shape[1])
-        found = d[rows, order.ravel()]
-        fine = np.isfinite(found)
-        return q[rows][fine], ids[order.ravel()][fine], found[fine]
+        i, j = least_of_rows(d, ids, k)
+        return q[i], ids[j], d[i, j]
 
     base = base if where is None else base.where(where)
     pairs = packed(queries.select("id", "v")).crossJoin(second(packed(base.select("id", "v"))))  # blocks, not rows
@@ -80,6 +90,25 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine",
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest_levels(queries: DataFrame, base: DataFrame, levels: int, digits: int, metric: str = "l2") -> DataFrame:
+    """query, id, distance (rounded to ``digits``): all of ``base`` at the ``levels`` least different rounded distances, but the query itself."""
+
+    def pick(q, qv, ids, v):
+        d = distances(qv, v, metric)
+        d[q[:, None] == ids[None, :]] = np.inf
+        # where numpy and Spark round a half differently, a level of the one touches three of the other's at most
+        near, most = np.sort(np.round(d, digits), axis=1), 3 * levels
+        level = np.cumsum(np.diff(near, axis=1, prepend=near[:, :1]) > 0, axis=1)
+        bound = np.where(level < most, near, -np.inf).max(axis=1)
+        i, j = np.nonzero(np.isfinite(d) & (np.round(d, digits) <= bound[:, None]))
+        return q[i], ids[j], d[i, j]
+
+    pairs = packed(queries.select("id", "v")).crossJoin(second(packed(base.select("id", "v"))))  # blocks, not rows
+    found = block_pairs(pairs, pick, "query long, id long, distance double").withColumn("distance", F.round("distance", digits))
+    rank = F.dense_rank().over(Window.partitionBy("query").orderBy("distance"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= levels).drop("rank")
+
+
 def all_pairs(vectors: DataFrame, metric: str, accept: Callable[[np.ndarray], np.ndarray], value: str) -> DataFrame:
     """a < b and ``value``, the distance: pairs that ``accept`` takes, from the upper triangle of blocks."""
 

@@ -195,10 +195,11 @@ a AS (SELECT DISTINCT query, event_id % n AS feed_item_id, round(distance, 5) AS
 def similar_articles(spark, sf_dir):
     """Articles of nodes (users) by the nodes' distance from every hundredth one, each article and distance once."""
     base = vectors(spark, sf_dir).select("id", "v")
-    hits = similarity.nearest(base.where("id % 100 = 0"), base, 1 << 30, "l2")
     n = src.table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
     events = src.table(spark, sf_dir, "events").crossJoin(F.broadcast(n)).select(F.col("user_id").alias("id"), (F.col("event_id") % F.col("n")).alias("feed_item_id")).distinct()  # one row
-    rows = hits.join(events, "id").select("query", "feed_item_id", F.round("distance", 5).alias("distance")).distinct()
+    # every node with events has an article at its distance, so twenty distances hold the first twenty rows
+    hits = similarity.nearest_levels(base.where("id % 100 = 0"), base.join(events.select("id"), "id", "left_semi"), 20, 5)
+    rows = hits.join(events, "id").select("query", "feed_item_id", "distance").distinct()
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "feed_item_id"))

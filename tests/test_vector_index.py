@@ -78,3 +78,27 @@ def test_join_by_cells_compares_little(spark):
     assert compared < 0.1 * base.count() ** 2 / 2
     pairs = lambda df: [(r["a"], r["b"], round(r["distance"], 7)) for r in df.collect()]
     assert pairs(vector_index.near_pairs(index, 0.955, 50)) == pairs(similarity.near_pairs(base, 0.955, 50))
+
+
+@pytest.mark.parametrize("k", [1, 3, 40, 60])
+def test_least_of_rows(k):
+    rng = np.random.default_rng(k)
+    d = rng.integers(0, 5, size=(30, 40)).astype(float)
+    d[rng.random(d.shape) < 0.2] = np.inf
+    ids = rng.permutation(40)
+    want = [(i, j) for i in range(30) for j in sorted(range(40), key=lambda j: (d[i, j], ids[j]))[:k] if np.isfinite(d[i, j])]
+    assert list(zip(*similarity.least_of_rows(d, ids, k))) == want
+
+
+def test_nearest_levels(spark):
+    rng = np.random.default_rng(5)
+    v = rng.integers(0, 3, size=(200, 3)).astype(float)  # many at one distance
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").repartition(3)
+    got = {(r["query"], r["id"], r["distance"]) for r in similarity.nearest_levels(df.where("id < 5"), df, 2, 1).collect()}
+    want = set()
+    for q in range(5):
+        d = np.round(np.linalg.norm(v - v[q], axis=1), 1)
+        levels = sorted({d[i] for i in range(200) if i != q})[:2]
+        want |= {(q, i, d[i]) for i in range(200) if i != q and d[i] in levels}
+    assert got == want
+    assert similarity.nearest_levels(df.where("id < 5"), df.limit(0), 2, 1).count() == 0
