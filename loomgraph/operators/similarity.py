@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+#: Vectors in a block, distances held at once.
+BLOCK, SLAB = 2048, 1 << 20
 PACKED = "block long, ids array<long>, flat array<double>"
 
 
@@ -109,19 +110,39 @@ def nearest_levels(queries: DataFrame, base: DataFrame, levels: int, digits: int
     return found.withColumn("rank", rank).where(F.col("rank") <= levels).drop("rank")
 
 
-def all_pairs(vectors: DataFrame, metric: str, accept: Callable[[np.ndarray], np.ndarray], value: str) -> DataFrame:
-    """a < b and ``value``, the distance: pairs that ``accept`` takes, from the upper triangle of blocks."""
+def slabs(a: np.ndarray, av: np.ndarray, b: np.ndarray, bv: np.ndarray, metric: str, accept: Callable[[np.ndarray], np.ndarray], most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The accepted pairs (least id, greatest id, distance) of two blocks, ``SLAB`` distances at a time.
 
-    def pick(a, av, b, bv):
-        d = distances(av, bv, metric)
-        i, j = np.nonzero(accept(d) & (a[:, None] != b[None, :]))
-        if np.array_equal(a, b):
-            i, j = i[i < j], j[i < j]
-        return np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), d[i, j]
+    Of a block with itself each pair comes once. With ``most``, a slab leaves out what is farther than
+    that many of its pairs, by more than a rounding to nine digits can change.
+    """
+    itself, step = np.array_equal(a, b), max(1, SLAB // max(1, len(b)))
+    for at in range(0, len(a), step):
+        d = distances(av[at: at + step], bv, metric)
+        i, j = np.nonzero(accept(d) & (a[at: at + step, None] != b[None, :]))
+        if itself:
+            i, j = i[i + at < j], j[i + at < j]
+        far = d[i, j]
+        if most is not None and len(far) > most:
+            kept = far <= np.partition(far, most - 1)[most - 1] + 1e-8
+            i, j, far = i[kept], j[kept], far[kept]
+        x, y = a[at: at + step][i], b[j]
+        yield np.minimum(x, y), np.maximum(x, y), far
+
+
+def all_pairs(vectors: DataFrame, metric: str, accept: Callable[[np.ndarray], np.ndarray], value: str, most: int | None = None) -> DataFrame:
+    """a < b and ``value``, the distance: pairs that ``accept`` takes, from the upper triangle of blocks; ``most`` as in :func:`slabs`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, av, b, bv = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("ids", "flat", "ids2", "flat2"))
+                for found in slabs(a, av.reshape(len(a), -1), b, bv.reshape(len(b), -1), metric, accept, most):
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, found)], names=["a", "b", value])
 
     blocks = packed(vectors)
     pairs = blocks.crossJoin(second(blocks)).where(F.col("block") <= F.col("block2"))
-    return block_pairs(pairs, pick, f"a long, b long, {value} double")
+    return pairs.select("ids", "flat", "ids2", "flat2").mapInArrow(run, f"a long, b long, {value} double")
 
 
 def similar_pairs(vectors: DataFrame, above: float) -> DataFrame:
@@ -133,5 +154,5 @@ def similar_pairs(vectors: DataFrame, above: float) -> DataFrame:
 def near_pairs(vectors: DataFrame, similarity: float, most: int) -> DataFrame:
     """a < b, distance, similarity: the ``most`` nearest pairs with an L2 distance under sqrt(2 (1 - similarity)), as of unit vectors."""
     bound = float(np.sqrt(2 * (1 - similarity)))
-    pairs = all_pairs(vectors, "l2", lambda d: d < bound, "distance").withColumn("similarity", 1 - F.col("distance") * F.col("distance") / 2)
+    pairs = all_pairs(vectors, "l2", lambda d: d < bound, "distance", most).withColumn("similarity", 1 - F.col("distance") * F.col("distance") / 2)
     return pairs.orderBy(F.round("distance", 9), "a", "b").limit(most)

@@ -10,6 +10,8 @@ showed when the index was built.
 ``similar_pairs`` joins a table with itself: every vector is at home in its nearest centre's cell and
 visits a cell only if it lies within the threshold of the plane between both centres, since all that
 is at home there lies beyond. No pair is lost; what is compared is cut by the clusters that there are.
+Vectors lie in bins of neighbouring cells and are not copied for their visits: pairs of bins meet, and
+which rows of them are compared is worked out there.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import similarity
+from loomgraph.operators.storage import written
 
 #: Vectors that centres are trained on, cells at most, queries in a list, vectors in a block.
-SAMPLE, MOST_CELLS, LIST, BLOCK = 20_000, 8192, 256, 1024
+SAMPLE, MOST_CELLS, LIST, BLOCK = 20_000, 8192, 256, 2048
 #: Distances are compared with this much room for rounding.
 ROOM = 1e-9
 
@@ -239,71 +242,161 @@ def rows_compared(index: VectorIndex, queries: DataFrame, probes: int | None = N
     return routed(index, asked, 0, probes or index.probes).join(F.broadcast(sizes), "cell").groupBy(F.col("id").alias("query")).agg(F.sum("n").alias("rows"))  # a row per cell
 
 
-def visitors(centres: np.ndarray, radii: np.ndarray, within: float, metric: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each vector at home (role 0) and as a visitor (1) of later cells that may hold something within the distance."""
-    apart = l2(centres, centres)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@dataclass
+class Bins:
+    """Which bins hold a cell: neighbouring small cells share a bin, a cell of over ``BLOCK`` vectors has several."""
+
+    first: np.ndarray  # by cell
+    shares: np.ndarray  # by cell
+    bins: int
+
+    def of(self, cells: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+        return self.first[cells] + (mixed % self.shares[cells].astype(np.uint64)).astype(np.int64)
+
+
+def bins_of(centres: np.ndarray, sizes: np.ndarray) -> Bins:
+    """Cells in order from one centre to the nearest one left, put into bins while those have room."""
+    first, shares = np.zeros(len(centres), np.int64), np.maximum(1, -(-sizes // BLOCK))
+    left, at, filled, bins = np.ones(len(centres), bool), 0, 0, 0
+    for _ in range(len(centres)):
+        left[at] = False
+        if filled and filled + sizes[at] > BLOCK:
+            filled, bins = 0, bins + 1
+        first[at] = bins
+        filled += sizes[at]
+        if shares[at] > 1:
+            filled, bins = 0, bins + int(shares[at])
+        if left.any():
+            d = ((centres - centres[at]) ** 2).sum(axis=1)
+            at = int(np.where(left, d, np.inf).argmin())
+    return Bins(first, shares, bins + 1)
+
+
+def visited(centres: np.ndarray, radii: np.ndarray, within: float, v: np.ndarray, home: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Of vectors at home in a cell and ``cells``: which later cells may hold something within the distance."""
+    d = l2(v, centres[cells])
+    own = np.linalg.norm(v - centres[home], axis=1)[:, None]
+    # all that is at home in a cell lies on its side of the plane between the centres, and within its radius
+    places, number = np.unique(home, return_inverse=True)
+    apart = l2(centres[places], centres[cells])[number]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = (d * d - own * own) / (2 * apart)
+    return (cells[None, :] > home[:, None]) & ~(plane > within + ROOM) & ~(d - radii[cells][None, :] > within + ROOM)
+
+
+BINNED = "bin long, cells array<int>, ids array<long>, flat binary, visits array<int>"
+
+
+def binned(index: VectorIndex, within: float) -> DataFrame:
+    """A row per bin: its vectors, their cells and the bins that any of them visits. Every vector is in one bin."""
+    centres, radii, sizes, cosine = index.centres, index.radii, index.sizes, index.metric == "cosine"
+    bins = bins_of(centres, sizes)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = bins.of(batch.column("cell").to_numpy(), batch.column("id").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), *batch.columns], names=["bin", *batch.schema.names])
+
+    def block(number: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        cells, ids, v = (np.concatenate(x) for x in zip(*parts))
+        seen = np.zeros(bins.bins, bool)
+        filled = np.flatnonzero(sizes)
+        for at in range(0, len(ids), 256):
+            here = slice(at, at + 256)
+            for c in filled[visited(centres, radii, within, v[here], cells[here], filled).any(axis=0)]:
+                seen[bins.first[c]: bins.first[c] + bins.shares[c]] = True
+        for c in np.unique(cells):  # the shares of a cell meet each other
+            seen[number + 1: bins.first[c] + bins.shares[c]] = True
+        seen[number] = True
+        columns = [pa.array([number], pa.int64()), pa.array([cells], pa.list_(pa.int32())), pa.array([ids], pa.list_(pa.int64())), pa.array([v.tobytes()], pa.binary()), pa.array([np.flatnonzero(seen)], pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, names=["bin", "cells", "ids", "flat", "visits"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = matrix(batch.column("v"))
-            v = unit(v) if metric == "cosine" else v
-            home = batch.column("cell").to_numpy()
-            d = l2(v, centres)
-            own = d[np.arange(len(v)), home][:, None]
-            # all that is at home in a cell lies on its side of the plane between the centres, and within its radius
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (d * d - own * own) / (2 * apart[home])
-            near = (np.arange(len(centres))[None, :] > home[:, None]) & ~(plane > within + ROOM) & ~(d - radii[None, :] > within + ROOM)
-            i, j = np.nonzero(near)
-            rows, cells = np.concatenate([np.arange(len(v)), i]), np.concatenate([home, j])
-            role = np.concatenate([np.zeros(len(v), np.int8), np.ones(len(i), np.int8)])
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(role), batch.column("id").take(pa.array(rows)), pa.array(list(v[rows]), pa.list_(pa.float64()))], names=["cell", "role", "id", "v"])
+            number, v = batch.column("bin").to_numpy(), matrix(batch.column("v"))
+            v = unit(v) if cosine else v
+            cells, ids = batch.column("cell").to_numpy(), batch.column("id").to_numpy()
+            edges = np.flatnonzero(np.diff(number)) + 1
+            for begin, end in zip([0, *edges], [*edges, len(number)]):
+                if held is not None and number[begin] != held:
+                    yield block(held, parts)
+                    parts = []
+                held = int(number[begin])
+                parts.append((cells[begin:end], ids[begin:end], v[begin:end].copy()))
+        if held is not None:
+            yield block(held, parts)
+
+    rows = index.rows().select("cell", F.col("id").cast("long").alias("id"), "v")
+    kind = rows.schema["v"].dataType.simpleString()
+    return rows.mapInArrow(dealt, f"bin long, cell int, id long, v {kind}").repartition(min(64, bins.bins), "bin").sortWithinPartitions("bin").mapInArrow(gathered, BINNED)
+
+
+def bin_pairs(index: VectorIndex, within: float) -> DataFrame:
+    """Pairs of bins with something to compare; bins are written once, and not copied for their pairs."""
+    bins = written(binned(index, within), "bins")
+    return bins.crossJoin(bins.drop("visits").withColumnsRenamed({c: f"{c}2" for c in bins.columns})).where(F.array_contains("visits", F.col("bin2").cast("int")))
+
+
+def compared_in(index: VectorIndex, within: float) -> Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]]:
+    """ids, vectors, ids2, vectors2 to be compared, out of pairs of bins: a cell with itself, or with its visitors."""
+    centres, radii = index.centres, index.radii
+
+    def run(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        for i in range(batch.num_rows):
+            bin1, bin2 = (batch.column(c)[i].as_py() for c in ("bin", "bin2"))
+            cells, ids, cells2, ids2 = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("cells", "ids", "cells2", "ids2"))
+            v, v2 = (np.frombuffer(batch.column(c)[i].as_buffer()).reshape(n, -1) for c, n in (("flat", len(ids)), ("flat2", len(ids2))))
+            there = np.unique(cells2)
+            near = np.concatenate([visited(centres, radii, within, v[at: at + 256], cells[at: at + 256], there) for at in range(0, len(ids), 256)])
+            for c, near_c in zip(there, near.T):
+                home = np.flatnonzero(cells2 == c)
+                some = np.flatnonzero(near_c)
+                if len(some):
+                    yield ids[some], v[some], ids2[home], v2[home]
+                same = np.flatnonzero(cells == c) if bin1 <= bin2 else []
+                if len(same):
+                    yield ids[same], v[same], ids2[home], v2[home]
 
     return run
 
 
-def gathered(rows: DataFrame) -> DataFrame:
-    """Rows (cell, role, id, v) in blocks of about ``BLOCK`` of one cell and role."""
-    counted = rows.groupBy("cell", "role").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("shares"))
-    share = F.pmod(F.xxhash64("id"), F.col("shares")).alias("share")
-    per = rows.join(counted, ["cell", "role"]).select("cell", "role", share, F.struct("id", "v").alias("q")).groupBy("cell", "role", "share").agg(F.collect_list("q").alias("qs"))
-    return per.select("cell", "role", "share", F.col("qs.id").alias("ids"), F.flatten("qs.v").alias("flat"))
-
-
 def block_pairs_of(index: VectorIndex, within: float) -> DataFrame:
     """The pairs of blocks that are compared for pairs of vectors within the distance (in the space of the cells)."""
-    rows = index.rows().select("cell", F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    blocks = gathered(rows.mapInArrow(visitors(index.centres, index.radii, within, index.metric), "cell int, role byte, id long, v array<double>")).checkpoint()
-    homes = blocks.where("role = 0").withColumnsRenamed({"share": "share2", "ids": "ids2", "flat": "flat2"}).drop("role")
-    return blocks.join(homes, "cell").where((F.col("role") == 1) | (F.col("share") <= F.col("share2")))
+    compared = compared_in(index, within)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, v, ids2, v2 in compared(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([v.ravel()], pa.list_(pa.float64())), pa.array([ids2], pa.list_(pa.int64())), pa.array([v2.ravel()], pa.list_(pa.float64()))], names=["ids", "flat", "ids2", "flat2"])
+
+    return bin_pairs(index, within).mapInArrow(run, "ids array<long>, flat array<double>, ids2 array<long>, flat2 array<double>")
+
+
+def paired(index: VectorIndex, within: float, metric: str, accept: Callable[[np.ndarray], np.ndarray], most: int | None = None) -> DataFrame:
+    """a < b, distance: pairs that ``accept`` takes, compared a slab at a time; ``most`` as in :func:`similarity.slabs`."""
+    compared = compared_in(index, within)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, v, ids2, v2 in compared(batch):
+                for found in similarity.slabs(ids, v, ids2, v2, metric, accept, most):
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, found)], names=["a", "b", "distance"])
+
+    return bin_pairs(index, within).mapInArrow(run, "a long, b long, distance double")
 
 
 def similar_pairs(index: VectorIndex, above: float) -> DataFrame:
     """a < b, similarity: all pairs with a cosine above the threshold, for an index by "cosine"; a zero vector is like none."""
     within = float(np.sqrt(max(0.0, 2 * (1 - above))))
-
-    def pick(a, av, b, bv):
-        d = similarity.distances(av, bv, "cosine")
-        i, j = np.nonzero((1 - d > above) & (a[:, None] != b[None, :]))
-        if np.array_equal(a, b):
-            i, j = i[i < j], j[i < j]
-        return np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), 1 - d[i, j]
-
-    return similarity.block_pairs(block_pairs_of(index, within), pick, "a long, b long, similarity double")
+    return paired(index, within, "cosine", lambda d: 1 - d > above).select("a", "b", (1 - F.col("distance")).alias("similarity"))
 
 
 def near_pairs(index: VectorIndex, similarity_: float, most: int) -> DataFrame:
     """a < b, distance, similarity: the ``most`` nearest pairs with an L2 distance under sqrt(2 (1 - similarity)), for an index by "l2"."""
     bound = float(np.sqrt(2 * (1 - similarity_)))
-
-    def pick(a, av, b, bv):
-        d = similarity.distances(av, bv, "l2")
-        i, j = np.nonzero((d < bound) & (a[:, None] != b[None, :]))
-        if np.array_equal(a, b):
-            i, j = i[i < j], j[i < j]
-        return np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), d[i, j]
-
-    found = similarity.block_pairs(block_pairs_of(index, bound), pick, "a long, b long, distance double").withColumn("similarity", 1 - F.col("distance") * F.col("distance") / 2)
+    found = paired(index, bound, "l2", lambda d: d < bound, most).withColumn("similarity", 1 - F.col("distance") * F.col("distance") / 2)
     return found.orderBy(F.round("distance", 9), "a", "b").limit(most)

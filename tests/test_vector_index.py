@@ -102,3 +102,14 @@ def test_nearest_levels(spark):
         want |= {(q, i, d[i]) for i in range(200) if i != q and d[i] in levels}
     assert got == want
     assert similarity.nearest_levels(df.where("id < 5"), df.limit(0), 2, 1).count() == 0
+
+
+def test_join_by_cells_copies_no_vectors(spark):
+    """In random directions nearly every vector visits nearly every cell; yet each is in one bin, and a bin is bounded."""
+    rng = np.random.default_rng(3)
+    base = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(3000, 32)))], "id long, v array<double>").repartition(4)
+    index = vector_index.build(base, own_path(spark, "v"), "cosine", cells=100)
+    bins = vector_index.binned(index, 1.3).select(F.size("ids").alias("n")).toPandas().n
+    assert bins.sum() == 3000 and bins.max() <= vector_index.BLOCK
+    pairs = lambda df: {(r["a"], r["b"]): round(r["similarity"], 7) for r in df.collect()}
+    assert pairs(vector_index.similar_pairs(index, 0.3)) == pairs(similarity.similar_pairs(base, 0.3))
