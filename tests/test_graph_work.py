@@ -4,12 +4,13 @@ import collections
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as tx
 from loomgraph.functions import vectors as vx
-from loomgraph.operators import clusters, graph, paths
+from loomgraph.operators import clusters, graph, merging, paths, similarity
 
 
 def hypergraph(seed, edges=60, nodes=40, hub=True):
@@ -131,3 +132,18 @@ def test_sentences_urls_titles_and_norms(spark):
     assert one(tx.relation_title(F.lit("works with_Some ONE"))) == "Works with Some one"
     assert one(vx.normalized(F.array(F.lit(3.0), F.lit(4.0)))) == [0.6, 0.8] and one(vx.normalized(F.array(F.lit(0.0)))) == [0.0]
     assert str(one(vx.normalized_or_nan(F.array(F.lit(0.0), F.lit(0.0))))) == "[nan, nan]" and one(vx.normalized(F.lit(None).cast("array<double>"))) is None
+
+
+@pytest.mark.parametrize("few", [20, 4096])
+def test_merge_plan_without_pairs(spark, few):
+    """The plan from each node's best partner is the plan from all pairs, with equal vectors and zero vectors among them; and pairs are counted alike."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(300, 8))
+    v[50:58], v[60], v[61:70] = v[40], 0, -v[70]
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [])], "id long, v array<double>").repartition(3)
+    degrees = spark.createDataFrame([(i, int(d)) for i, d in enumerate(rng.integers(0, 9, size=250))], "node long, degree long")
+    pairs = similarity.similar_pairs(vectors, 0.5)
+    rows = lambda df: sorted((r["kept"], r["gone"], round(r["similarity"], 7)) for r in df.collect())
+    assert rows(merging.plan_of_vectors(vectors, degrees, 0.5, few)) == rows(merging.merge_plan(pairs, degrees))
+    counted = {r["id"]: r["n"] for r in similarity.pair_counts(vectors, 0.5).groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    assert counted == {r["a"]: r["n"] for r in pairs.groupBy("a").agg(F.count("*").alias("n")).collect()}
