@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions.search import snippet, terms, terms_of
+from loomgraph.functions.search import snippet, terms_of
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -18,8 +20,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 class Index:
     """Segments of postings at ``path``, with marks of documents that were deleted or replaced.
 
-    A segment has postings (bucket, term, doc, tf, dl, positions) by bucket of terms and docs (doc, dl); it
-    is never changed. Marks (doc, at) say that a document's rows in segments numbered below ``at`` are dead.
+    A segment has postings (bucket, term, doc, tf, dl, positions) by bucket of terms, and in the bucket
+    ``LENGTHS`` a row without a term for every document; it is never changed. Marks (doc, at) say that a document's rows in segments numbered below ``at`` are dead.
     Each change writes a new version of the manifest, a row per segment, table of marks, and totals; readers
     see a version or the next, never part of one. One writer at a time.
     """
@@ -33,12 +35,16 @@ class Index:
         return last, rows.where(F.col("version") == last).collect()  # a row per segment and table of marks
 
     def tables(self, spark: SparkSession, part: str, entries: list[Row] | None = None) -> DataFrame:
-        """The live rows of all segments' (or these) ``part``, with the segment's number."""
+        """The live rows of all segments' (or these) ``part`` ("postings", "docs" or "all"), with the segment's number."""
         every = self.manifest(spark)[1]
         entries = [e for e in every if e.kind == "segment"] if entries is None else entries
         found = None
         for e in entries:
-            rows = spark.read.parquet(f"{self.path}/{e.name}/{part}").withColumn("number", F.lit(e.number))
+            rows = spark.read.parquet(f"{self.path}/{e.name}").withColumn("number", F.lit(e.number))
+            if part == "postings":
+                rows = rows.where(F.col("bucket") != LENGTHS)
+            elif part == "docs":
+                rows = rows.where(F.col("bucket") == LENGTHS).select("doc", "dl", "number")
             found = rows if found is None else found.unionByName(rows)
         marks = [spark.read.parquet(f"{self.path}/{e.name}") for e in every if e.kind == "marks"]
         if not marks:
@@ -66,31 +72,55 @@ def committed(spark: SparkSession, index: Index, version: int, entries: list[tup
     spark.createDataFrame(entries, MANIFEST.removesuffix(", version long")).coalesce(1).write.parquet(f"{index.path}/manifest/version={version}")
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a table that nothing reads any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+#: A term's postings go to so many files of a bucket at most, by document; the bucket of documents' lengths; places of words that a task gathers.
+SPREAD, LENGTHS, HELD = 8, -1, 500_000
 
 
 def written(postings: DataFrame, path: str) -> None:
     # a frequent term's postings spread over files by document
-    postings.repartitionByRange("bucket", "term", "doc").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+    spread = F.pmod(F.xxhash64("doc"), F.lit(SPREAD))
+    postings.repartition("bucket", spread).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
 
 
 def segment(index: Index, docs: DataFrame, doc: str, text: str, number: int) -> tuple:
-    """Tokenizes every text once and writes a segment; its entry in the manifest."""
+    """Tokenizes every text once and writes a segment; its entry in the manifest.
+
+    A text's words are gathered by term where the text lies, so what is shuffled is a row per term and
+    document. Each document adds a row without a term, which has its length, in a bucket of its own.
+    """
     spark, name = docs.sparkSession, f"segment-{number}-{uuid.uuid4().hex}"
-    rows = docs.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("terms"))
-    rows = rows.select("doc", "terms", F.coalesce(F.size("terms"), F.lit(0)).alias("dl"))
-    rows.write.parquet(f"{index.path}/{name}/terms")
-    rows = spark.read.parquet(f"{index.path}/{name}/terms")
-    words = rows.select("doc", "dl", F.posexplode("terms").alias("at", "term"))
-    counted = words.groupBy("term", "doc", "dl").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-    written(counted.select(bucket_of("term", index.buckets).alias("bucket"), "term", "doc", F.size("positions").cast("long").alias("tf"), "dl", "positions"), f"{index.path}/{name}/postings")
-    rows.select("doc", "dl").write.parquet(f"{index.path}/{name}/docs")
-    t = spark.read.parquet(f"{index.path}/{name}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    removed(spark, f"{index.path}/{name}/terms")
-    return ("segment", name, number, t[0], t[1])
+    rows = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text"))
+    found = rows.mapInArrow(placed, f"doc {rows.schema['doc'].dataType.simpleString()}, dl int, term string, positions array<int>")
+    bucket = F.when(F.col("term").isNull(), F.lit(LENGTHS)).otherwise(bucket_of("term", index.buckets))
+    written(found.select(bucket.alias("bucket"), "term", "doc", F.size("positions").cast("long").alias("tf"), "dl", "positions"), f"{index.path}/{name}")
+    return ("segment", name, number, *lengths(spark, index, name))
+
+
+def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text a row without a term, and a row per term with its places; at most about ``HELD`` places at once."""
+    for batch in batches:
+        docs, dl, words, places, ends = [], [], [], [], [0]
+        for i, text in enumerate(batch.column("text")):
+            found = terms_of(text.as_py())
+            at: dict[str | None, list[int]] = {None: []}
+            for k, term in enumerate(found):
+                at.setdefault(term, []).append(k)
+            for term, where in at.items():
+                words.append(term)
+                places += where
+                ends.append(len(places))
+            docs += [i] * len(at)
+            dl += [len(found)] * len(at)
+            if len(places) >= HELD or i + 1 == batch.num_rows:
+                positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(docs, pa.int64())), pa.array(dl, pa.int32()), pa.array(words, pa.string()), positions], names=["doc", "dl", "term", "positions"])
+                docs, dl, words, places, ends = [], [], [], [], [0]
+
+
+def lengths(spark: SparkSession, index: Index, name: str) -> tuple[int, int]:
+    """Documents and words of a segment."""
+    found = spark.read.parquet(f"{index.path}/{name}").where(F.col("bucket") == LENGTHS)
+    return tuple(found.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first())
 
 
 def build(docs: DataFrame, doc: str, text: str, path: str, buckets: int = 64) -> Index:
@@ -133,9 +163,8 @@ def merge(spark: SparkSession, index: Index, most: int = 8) -> None:
     # its rows are those live now, so later marks alone can concern them
     number = max(e.number for e in old)
     name = f"segment-{number}-{uuid.uuid4().hex}"
-    written(index.tables(spark, "postings", old).drop("number"), f"{index.path}/{name}/postings")
-    index.tables(spark, "docs", old).drop("number").write.parquet(f"{index.path}/{name}/docs")
-    t = spark.read.parquet(f"{index.path}/{name}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    written(index.tables(spark, "all", old).drop("number"), f"{index.path}/{name}")
+    t = lengths(spark, index, name)
     names = {e.name for e in old}
     rest = [tuple(e)[:5] for e in entries if e.name not in names and not (most == 1 and e.kind == "marks")]
     committed(spark, index, version + 1, [*rest, ("segment", name, number, t[0], t[1])])

@@ -75,3 +75,20 @@ def test_upkeep(spark, path):
         for q in ("e-mail house", "the"):
             assert ranks(search.search(spark, index, q)) == by_hand(docs, q), (what, q)
     assert not [e for e in index.manifest(spark)[1] if e.kind == "marks"][1:]
+
+
+def test_words_are_gathered_where_texts_lie(spark, path, monkeypatch):
+    """A segment is one table with a row per term and document, and one per document; also from texts in several steps."""
+    docs = texts(4, range(50)) | {50: None, 51: ""}
+    df = spark.createDataFrame(list(docs.items()), SCHEMA).repartition(2)
+    index = search.build(df, "id", "body", path, buckets=8)
+    name = index.manifest(spark)[1][0].name
+    stored = spark.read.parquet(f"{path}/{name}")
+    assert stored.where("term is null").count() == 52 and stored.where("term is not null").count() == sum(len(set(terms_of(t))) for t in docs.values())
+    got = {(r["doc"], r["term"]): sorted(r["positions"]) for r in stored.where("term is not null").collect()}
+    assert all([i for i, w in enumerate(terms_of(docs[d])) if w == t] == at for (d, t), at in got.items())
+    import pyarrow as pa
+
+    monkeypatch.setattr(search, "HELD", 7)
+    batch = pa.RecordBatch.from_pydict({"doc": list(docs), "text": list(docs.values())})
+    assert {(x["doc"], x["term"]): x["positions"] for b in search.placed([batch]) for x in b.to_pylist() if x["term"]} == got
