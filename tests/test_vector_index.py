@@ -113,3 +113,18 @@ def test_join_by_cells_copies_no_vectors(spark):
     assert bins.sum() == 3000 and bins.max() <= vector_index.BLOCK
     pairs = lambda df: {(r["a"], r["b"]): round(r["similarity"], 7) for r in df.collect()}
     assert pairs(vector_index.similar_pairs(index, 0.3)) == pairs(similarity.similar_pairs(base, 0.3))
+
+
+@pytest.mark.parametrize("slab", [40, 1 << 20])
+def test_slabs(monkeypatch, slab):
+    """Pairs of a block with itself and with another, once each, however few distances are held; the nearest with those like the last."""
+    monkeypatch.setattr(similarity, "SLAB", slab)
+    rng = np.random.default_rng(2)
+    v, ids = rng.integers(0, 3, size=(30, 3)).astype(float), rng.permutation(30)
+    every = sorted((round(float(np.linalg.norm(v[i] - v[j])), 7), min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(30) for j in range(i))
+    got = lambda a, b, most=None: sorted((round(float(d), 7), x, y) for part in similarity.slabs(ids[a], v[a], ids[b], v[b], "l2", lambda d: d < 2.5, most) for x, y, d in zip(*part))
+    all_, left, right = slice(None), slice(0, 11), slice(11, 30)
+    wanted = [p for p in every if p[0] < 2.5]
+    assert got(all_, all_) == wanted
+    assert sorted(got(left, left) + got(left, right) + got(right, right)) == wanted
+    assert got(all_, all_, 5)[:5] == wanted[:5] and (slab == 40 or len(got(all_, all_, 5)) < len(wanted))
