@@ -147,3 +147,16 @@ def test_merge_plan_without_pairs(spark, few):
     assert rows(merging.plan_of_vectors(vectors, degrees, 0.5, few)) == rows(merging.merge_plan(pairs, degrees))
     counted = {r["id"]: r["n"] for r in similarity.pair_counts(vectors, 0.5).groupBy("id").agg(F.sum("n").alias("n")).collect()}
     assert counted == {r["a"]: r["n"] for r in pairs.groupBy("a").agg(F.count("*").alias("n")).collect()}
+
+
+def test_common_nodes_meet_in_pairs(spark):
+    """Nodes on thirty edges each, of which few edges share two: candidates are little more than what is connected."""
+    rng = random.Random(5)
+    rows = [(e, n) for e in range(900) for n in rng.sample(range(150), 5)]
+    df = spark.createDataFrame(rows + rows[:7] + [(1000, None), (1001, None), (None, 3)], "edge_id long, node long")
+    of = collections.defaultdict(set)
+    for e, n in rows:
+        of[e].add(n)
+    want = {(a, b, len(of[a] & of[b])) for a, b in itertools.combinations(sorted(of), 2) if len(of[a] & of[b]) >= 2}
+    assert {tuple(r) for r in graph.connected_edges(df, 2).collect()} == want
+    assert graph.connection_candidates(df, 2).count() == len(want)  # 60,000 pairs share one node
