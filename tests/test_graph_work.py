@@ -160,3 +160,29 @@ def test_common_nodes_meet_in_pairs(spark):
     want = {(a, b, len(of[a] & of[b])) for a, b in itertools.combinations(sorted(of), 2) if len(of[a] & of[b]) >= 2}
     assert {tuple(r) for r in graph.connected_edges(df, 2).collect()} == want
     assert graph.connection_candidates(df, 2).count() == len(want)  # 60,000 pairs share one node
+
+
+@pytest.mark.parametrize("batch,group_bytes", [(3, 200), (10_000, 256 << 20)])
+def test_pooled_vectors_by_groups_of_keys(spark, batch, group_bytes):
+    """Repeated vectors count as often as they are there; ids without vector and keys without ids are left out."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(40), rng.choice(["x", "y", None]), rng.randrange(12), rng.randrange(2), float(rng.randint(1, 5))) for _ in range(600)]
+    rows += [(99, "x", 500, 0, 1.0), (98, "x", None, 0, 1.0), (97, "x", 1, 0, None), (96, "y", 3, 1, 2.0)]
+    vectors = [(i, [float(i), float(i * i), 1.0]) for i in range(10)] + [(3, [7.0, 0.0, -1.0]), (4, None), (None, [0.0, 0.0, 0.0])]
+    wanted = {}
+    for a, b, i, side, w in rows:
+        for j, v in vectors:
+            if i is not None and i == j and w and v:
+                total = wanted.setdefault((a, b), {}).setdefault(side, np.zeros(4))
+                total += [w, *(w * x for x in v)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = clusters.pooled(spark.createDataFrame(rows, "a long, b string, id long, side int, w double"), spark.createDataFrame(vectors, "id long, v array<float>"), ["a", "b"], 2, group_bytes).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(found) == len(wanted) and (96, "y") in wanted and (99, "x") not in wanted
+    for r in found:
+        for side, mean in ((0, r.m0), (1, r.m1)):
+            t = wanted[r.a, r.b].get(side)
+            assert mean is None if t is None else mean == pytest.approx(list(t[1:] / t[0]))
