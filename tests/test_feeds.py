@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from loomgraph.functions import chunks
@@ -45,3 +47,12 @@ def test_chunks(spark):
     }
     rows = spark.createDataFrame([(k,) for k in [*said, None]], "t string").select("t", chunks.text_chunks(F.col("t"), 10).alias("c")).collect()
     assert {r.t: r.c for r in rows} == {**said, None: []}
+
+
+def test_chunks_take_linear_time():
+    """Long stretches without an end mark and long blanks; searches from every character took seconds here."""
+    began = time.process_time()
+    assert [len(c) for c in chunks.chunks_of("word " * 20_000, 800)] == [799] * 125
+    assert chunks.chunks_of(f"a.{' ' * 50_000}b c. d", 800) == ["a. b c."]
+    assert chunks.chunks_of(f"{'.' * 50_000}{'a' * 50_000}", 60_000) == [f"{'.' * 50_000}{'a' * 10_000}", "a" * 40_000]
+    assert time.process_time() - began < 2
