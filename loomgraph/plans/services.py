@@ -77,7 +77,7 @@ def article_files(spark, sf_dir):
     items = src.feed_items(spark, sf_dir).join(docs, "id")
     items = items.withColumns({"author": F.when(F.col("lang") != "en", F.col("lang")), "source": F.col("source_id"), "description": F.lit(None).cast("string")}).where("source is not null")
     snapshots.write_articles(items, path)
-    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.md5("value").alias("markdown"))
+    return spark.read.format("article_files").load(path).select(F.md5("markdown").alias("markdown"))
 
 
 @query(r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS a FROM pages),

@@ -1,7 +1,7 @@
-"""A data source of feed snapshots, for batches and streams, and a sink of one file per article.
+"""A data source of feed snapshots, for batches and streams, and a sink and source of one file per article.
 
 ``spark.dataSource.register`` both, then ``spark.read.format("feed_snapshots").load(folder)``,
-``spark.readStream.format("feed_snapshots").load(folder)`` and ``df.write.format("article_files")``.
+``spark.readStream.format("feed_snapshots").load(folder)`` and ``df.write.format("article_files")``, which reads as well.
 Folders may be addresses of any store that Arrow's file systems reach.
 """
 
@@ -11,8 +11,10 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from xml.etree import ElementTree
+from zlib import crc32
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -135,14 +137,10 @@ class ArticleWriter(DataSourceWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         store, root = opened(self.path)
-        for folder in sorted({f for m in messages if m for f in m.folders}):  # one a day and source
-            old, new = f"{root}/{self.job}/{folder}", f"{root}/{folder}"
-            if store.get_file_info(new).type == fs.FileType.NotFound:
-                store.create_dir(new.rsplit("/", 1)[0], recursive=True)
-                store.move(old, new)
-            else:
-                for f in store.get_file_info(fs.FileSelector(old)):
-                    store.move(f.path, f"{new}/{f.base_name}")
+        days = sorted({f.split("/", 1)[0] for m in messages if m for f in m.folders})
+        store.create_dir(root, recursive=True)
+        with ThreadPoolExecutor(16) as pool:  # a day that isn't there yet is one move
+            list(pool.map(lambda d: moved(store, f"{root}/{self.job}/{d}", f"{root}/{d}"), days))
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -151,6 +149,47 @@ class ArticleWriter(DataSourceWriter):
             store.delete_dir(f"{root}/{self.job}")
 
 
+def moved(store: fs.FileSystem, old: str, new: str) -> None:
+    """Moves a folder, or what it holds if there is one of that name; files of the same name are replaced."""
+    if store.get_file_info(new).type != fs.FileType.Directory:
+        store.move(old, new)
+        return
+    for f in store.get_file_info(fs.FileSelector(old)):
+        moved(store, f.path, f"{new}/{f.base_name}")
+
+
+@dataclass
+class Days(InputPartition):
+    """Part ``part`` of ``of`` of the files of some days."""
+
+    days: tuple[str, ...]
+    part: int = 0
+    of: int = 1
+
+
+class ArticleReader(DataSourceReader):
+    """Tasks list and read the files of some days each; a day without date may hold any number, so many tasks share it."""
+
+    def __init__(self, options: dict) -> None:
+        self.path, self.size = options["path"], int(options.get("daysPerTask", 64))
+
+    def partitions(self) -> list[Days]:
+        store, root = opened(self.path)
+        found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        days = sorted(i.base_name for i in found if i.type == fs.FileType.Directory and not i.base_name.startswith(("_", ".")))
+        dated = [d for d in days if d != "undated"]
+        return [Days(tuple(dated[i:i + self.size])) for i in range(0, len(dated), self.size)] + [Days(("undated",), i, 64) for i in range(64) if "undated" in days] or [Days(())]
+
+    def read(self, partition: Days) -> Iterator[tuple]:
+        store, root = opened(self.path)
+        for day in partition.days:
+            for folder in store.get_file_info(fs.FileSelector(f"{root.rstrip('/')}/{day}")):
+                for f in store.get_file_info(fs.FileSelector(folder.path)):
+                    if crc32(f"{folder.base_name}/{f.base_name}".encode()) % partition.of == partition.part:
+                        with store.open_input_stream(f.path) as stream:
+                            yield (day, folder.base_name, f.base_name, stream.read().decode())
+
+
 class ArticleFiles(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -159,6 +198,9 @@ class ArticleFiles(DataSource):
     def schema(self) -> str:
         return ARTICLES
 
+    def reader(self, schema) -> ArticleReader:
+        return ArticleReader(self.options)
+
     def writer(self, schema, overwrite: bool) -> ArticleWriter:
         return ArticleWriter(self.options)
 
@@ -174,7 +216,9 @@ def write_articles(items: DataFrame, path: str) -> None:
     spark.dataSource.register(ArticleFiles)
     day = F.coalesce(F.date_format("pub_date", "yyyy-MM-dd"), F.lit("undated")).alias("day")
     rows = export.articles(items).join(items.select("id", day), "id").select("id", "day", "folder", "file", "markdown")
-    ordered = rows.repartition("day", "folder", "file").sortWithinPartitions("day", "folder", "file", "id")
+    # a day's folders are made by one task; what has no date is dealt by file
+    undated = F.when(F.col("day") == "undated", F.struct("folder", "file"))
+    ordered = rows.repartition(F.col("day"), undated).sortWithinPartitions("day", "folder", "file", "id")
     ordered.select("day", "folder", "file", "markdown").write.format("article_files").mode("append").save(path)
 
 

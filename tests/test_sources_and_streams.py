@@ -143,3 +143,20 @@ def test_new_items_of_a_refresh(spark):
     before = spark.createDataFrame([("a",)] * 3 + [("b",)] * 2 + [(None,)] + [("gone",)], "s string")
     after = spark.createDataFrame([("a",)] * 5 + [("b",)] + [(None,)] * 2 + [("c",)], "s string")
     assert {r["s"]: r["new_items"] for r in new_items(before, after, "s").collect()} == {"a": 2, "b": 0, None: 1, "c": 1}
+
+
+def test_article_files_read_back(spark, tmp_path):
+    """Days are moved whole or into what is there; undated files are shared by tasks and each is read once."""
+    items = [(i, f"T{i % 9}", f"l{i}", None, None if i % 3 else f"2024-01-0{1 + i % 4} 05:00:00", f"s{i % 2}", f"text {i}", None) for i in range(60)]
+    rows = spark.createDataFrame(items, "id long, title string, link string, author string, pub_date string, source string, full_content string, description string").withColumn("pub_date", F.to_timestamp("pub_date"))
+    path = str(tmp_path / "out")
+    snapshots.write_articles(rows.where("id < 50"), path)
+    before = {tuple(r) for r in spark.read.format("article_files").load(path).collect()}
+    assert len(before) == 50 and {r[0] for r in before} == {"undated", "2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04"}
+    kept = {(r[0], r[1], r[2]) for r in before}
+    snapshots.write_articles(rows.where("id >= 50").withColumn("title", F.concat(F.lit("Late "), "id")), path)
+    after = [tuple(r) for r in spark.read.format("article_files").load(path).collect()]
+    assert len(after) == len(set(after)) == 60 and before <= set(after) and len({r[:3] for r in after}) == 60 and kept <= {r[:3] for r in after}
+    assert {int(r[3].rsplit("text ", 1)[1]) for r in after} == set(range(60))
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_")]
+    assert spark.read.format("article_files").load(str(tmp_path / "none")).count() == 0
