@@ -186,3 +186,16 @@ def test_pooled_vectors_by_groups_of_keys(spark, batch, group_bytes):
         for side, mean in ((0, r.m0), (1, r.m1)):
             t = wanted[r.a, r.b].get(side)
             assert mean is None if t is None else mean == pytest.approx(list(t[1:] / t[0]))
+
+
+def test_last_hop_is_not_written(spark):
+    """What only the caller reads is not stored, and what is stored are files of columns, no checkpoints."""
+    from pathlib import Path
+
+    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "c"), (3, "a")], "edge_id long, node string")
+    seeds = rows.where("node = 'a'").select("node")
+    stored = {p.name for p in folder.iterdir()}
+    assert {(r.seed, r.node, r.length) for r in graph.hop_lengths(rows, seeds, 1).collect()} == {("a", "b", 1), ("a", "c", 1)}
+    assert {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in stored} == {"rows"}
