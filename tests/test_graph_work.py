@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as tx
 from loomgraph.functions import vectors as vx
 from loomgraph.operators import clusters, graph, merging, paths, similarity
+from loomgraph.sources import tables
+
+SF = "/root/testdata/sf0.001"
 
 
 def hypergraph(seed, edges=60, nodes=40, hub=True):
@@ -199,3 +202,16 @@ def test_last_hop_is_not_written(spark):
     stored = {p.name for p in folder.iterdir()}
     assert {(r.seed, r.node, r.length) for r in graph.hop_lengths(rows, seeds, 1).collect()} == {("a", "b", 1), ("a", "c", 1)}
     assert {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in stored} == {"rows"}
+
+
+def test_incidences_lie_in_bounded_partitions(spark, monkeypatch):
+    """The rows of a task don't grow with the table: 6,000 lines in parts of 500 give twelve partitions or more, with an order in one."""
+    whole = {tuple(r) for r in tables.order_incidences(spark, SF).collect()}
+    monkeypatch.setattr(tables, "DEALT", 500)
+    rows = tables.order_incidences(spark, SF)
+    sizes = [len(p) for p in rows.rdd.glom().collect()]
+    lines = tables.table(spark, SF, "lineitem").count()
+    assert len(sizes) >= lines / 500 and max(sizes) < 2500  # an order's customer, parts and suppliers, with chance
+    assert {tuple(r) for r in rows.collect()} == whole and len(whole) == sum(sizes)
+    nodes = tables.table(spark, SF, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("position"))
+    assert {(e, n, p) for e, n, r, p in whole if r == "target"} == {(r[0], f"p:{r[1]}", r[2]) for r in nodes.collect()}
