@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as tx
 from loomgraph.functions import vectors as vx
 from loomgraph.operators import clusters, graph, merging, paths, similarity
+from loomgraph.plans.queries import QUERIES
 from loomgraph.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -215,3 +216,16 @@ def test_incidences_lie_in_bounded_partitions(spark, monkeypatch):
     assert {tuple(r) for r in rows.collect()} == whole and len(whole) == sum(sizes)
     nodes = tables.table(spark, SF, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("position"))
     assert {(e, n, p) for e, n, r, p in whole if r == "target"} == {(r[0], f"p:{r[1]}", r[2]) for r in nodes.collect()}
+
+
+def test_neighborhood_in_small_partitions(spark, monkeypatch):
+    """Stages that group incidences run in as many tasks as the table needs, and give the same."""
+    want = {tuple(r) for r in QUERIES["neighborhood"](spark, SF).collect()}
+    monkeypatch.setattr(tables, "DEALT", 300)
+    found = QUERIES["neighborhood"](spark, SF)
+    assert {tuple(r) for r in found.collect()} == want
+    assert "hashpartitioning(l_orderkey" in plan(found) and "REPARTITION_BY_NUM" in plan(found)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
