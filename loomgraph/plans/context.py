@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as tx
 from loomgraph.operators import context, graph, paths, similarity
+from loomgraph.operators.storage import written
 from loomgraph.plans.queries import INCIDENCES, NODES, ORDERS, checkpointed, query, vectors
 from loomgraph.plans.structure import PATHS, order_paths
 from loomgraph.sources import tables as src
@@ -63,12 +64,13 @@ t AS (SELECT CASE WHEN count(*) <= 500 THEN 1 ELSE greatest(1, list(degree ORDER
 vis AS (SELECT node FROM a, t WHERE degree >= threshold OR (node LIKE 'p:%' AND CAST(substr(node, 3) AS BIGINT) % 10 = 0))"""
 
 
-def seen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The 500 nodes of the highest degrees, those like the last of them, and every tenth part, which is expanded; with incidences."""
+def seen(spark: SparkSession, sf_dir: str, target: int = 500) -> tuple[DataFrame, DataFrame]:
+    """The ``target`` nodes of the highest degrees, those like the last of them, and every tenth part, which is expanded; with incidences of sources and targets."""
     inc, nodes = src.order_incidences(spark, sf_dir), src.order_nodes(spark, sf_dir)
-    degrees = graph.all_degrees(inc, nodes)
+    checkpointed(spark)
+    degrees = written(graph.all_degrees(inc, nodes), "degrees")  # read for the threshold and for the nodes
     expanded = src.table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.concat(F.lit("p:"), "p_partkey").alias("node"))
-    return graph.visible(degrees, graph.visibility_threshold(degrees, 500), expanded), inc
+    return graph.visible(degrees, graph.visibility_threshold(degrees, target), expanded), inc.where("role <> 'member'")  # every line has a part, so no edge is lost
 
 
 @query(f"WITH {VISIBLE} SELECT node FROM vis")

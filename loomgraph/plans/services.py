@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import article, sql_names
 from loomgraph.operators import graph, history, search
-from loomgraph.plans.context import VISIBLE
+from loomgraph.plans.context import VISIBLE, seen
 from loomgraph.plans.index import own_path
 from loomgraph.plans import texts  # noqa: F401 - its SQL is read below
 from loomgraph.plans.queries import SQL, query
@@ -99,7 +99,5 @@ def new_items(spark, sf_dir):
 @query("WITH " + VISIBLE.replace("500", "2800") + " SELECT DISTINCT edge_id FROM inc WHERE edge_id NOT IN (SELECT edge_id FROM inc WHERE role <> 'member' AND node NOT IN (SELECT node FROM vis))")
 def visible_edges_of_many(spark, sf_dir):
     """As ``visible_edges``, with a limit of nodes that leaves edges."""
-    inc, nodes = src.order_incidences(spark, sf_dir), src.order_nodes(spark, sf_dir)
-    degrees = graph.all_degrees(inc, nodes)
-    expanded = src.table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.concat(F.lit("p:"), "p_partkey").alias("node"))
-    return graph.visible_edges(inc, graph.visible(degrees, graph.visibility_threshold(degrees, 2800), expanded))
+    nodes, inc = seen(spark, sf_dir, 2800)
+    return graph.visible_edges(inc, nodes)

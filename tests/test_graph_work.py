@@ -229,3 +229,23 @@ def test_neighborhood_in_small_partitions(spark, monkeypatch):
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_visible_edges_in_one_pass(spark):
+    """Against brute force; a missing node hides nothing, and an edge without a name is none."""
+    rng = random.Random(5)
+    rows = [(e, f"n{rng.randrange(12)}", rng.choice(["source", "target", "member"]), 0) for e in range(80) for _ in range(rng.randint(1, 3))]
+    rows += [(900, None, "source", 0), (901, "n1", "member", 0), (902, "hidden", None, 0), (None, "n1", "source", 0)]
+    shown = {f"n{i}" for i in range(6)}
+    inc = spark.createDataFrame(rows, "edge_id long, node string, role string, position int")
+    nodes = spark.createDataFrame([(n,) for n in [*sorted(shown), "n1"]], "node string")
+    hidden = {e for e, n, r, _ in rows if r in ("source", "target") and n is not None and n not in shown}
+    found = [r.edge_id for r in graph.visible_edges(inc, nodes).collect()]
+    assert sorted(found) == sorted({e for e, *_ in rows if e is not None} - hidden) and {900, 901, 902} <= set(found)
+    edges = graph.visible_edges(inc, nodes.where("false"))
+    assert sorted(r.edge_id for r in edges.collect()) == sorted({e for e, n, r, _ in rows if e is not None} - {e for e, n, r, _ in rows if r in ("source", "target") and n})
+
+
+def test_visible_edges_reads_lines_twice(spark):
+    """Degrees are written once; beside them, lines are read for orders' customers and for their parts."""
+    assert plan(QUERIES["visible_edges"](spark, SF)).count("lineitem.parquet") == 2
