@@ -99,6 +99,20 @@ def test_paths_from_both_ends(spark, most, kept):
     assert {(r["seed"], r["target"], r["length"], tuple(r["path"])) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("kept", [2, None])
+def test_one_table_of_ends_is_searched_once(spark, monkeypatch, kept):
+    rows = hypergraph(11, edges=25, nodes=50, hub=False) | {(100 + e, f"m{e + i}") for e in range(9) for i in (0, 1)}
+    df = spark.createDataFrame(sorted(rows) * 2, "edge_id long, node string")
+    named = spark.createDataFrame([(n,) for n in ("n1", "n2", "n3", "n4", "n5", "n6", "m0", "m3", "m4", "m5")], "node string")
+    names, write = [], paths.written
+    monkeypatch.setattr(paths, "written", lambda df, name: names.append(name) or write(df, name))
+    got = {tuple(map(str, r)) for r in paths.shortest_paths(df, named, named, 5, kept).collect()}
+    once = collections.Counter(names)
+    names.clear()
+    assert got == {tuple(map(str, r)) for r in paths.shortest_paths(df, named, named.select("node"), 5, kept).collect()}
+    assert max(int(r[2]) for r in got) == 5 and once["edges"] + once["nodes"] <= 5 < names.count("edges") + names.count("nodes")
+
+
 def test_parts_without_a_way_between_them_stay_closed(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "d"), (3, "x"), (4, "y"), (5, "x"), (5, "v"), (6, "v"), (6, "y")], "edge_id long, node string")
     ends = spark.createDataFrame([(n,) for n in "abcdxy"], "start string")
