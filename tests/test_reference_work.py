@@ -197,6 +197,26 @@ def test_provenance_and_context(spark):
     assert [r.edge_id for r in graph.visible_edges(inc, nodes.where("node in ('a', 'b')").select("node")).orderBy("edge_id").collect()] == [1, 3]
 
 
+def test_texts_name_only_what_they_show(spark, monkeypatch):
+    from loomgraph.plans import context as plans
+
+    inc = spark.createDataFrame([(e, "a", "source", 0) for e in range(40)] + [(e, "b", "target", 0) for e in range(40)] + [(50, "z", "source", 0)], "edge_id long, node string, role string, position int")
+    nodes = spark.createDataFrame([("a", "A"), ("b", "B")], "node string, label string")
+    edges = spark.createDataFrame([(e, f"l{e}") for e in (2, *range(20, 40), 50)], "edge_id long, label string")
+    stated = spark.createDataFrame([(e, i, 0, f"{e} in {i}") for e in range(40) for i in (2, 1)], "edge_id long, feed_item_id long, chunk_index int, chunk_text string")
+    wanted = spark.createDataFrame([(e, e % 2 == 0) for e in (*range(40), 50)], "edge_id long, of_path boolean")
+    looked_up, label = [], context.labelled_edges
+    monkeypatch.setattr(context, "labelled_edges", lambda *tables: looked_up.append(tables[-1].count()) or label(*tables))
+    for most in (1, 3, 12, 100):
+        found = [tuple(r) for r in context.first_labelled_edges(inc, nodes, edges, stated, wanted, most).orderBy(F.desc("of_path"), "edge_id").limit(most).collect()]
+        every = [tuple(r) for r in label(inc, nodes, edges, stated, wanted).join(wanted, "edge_id").orderBy(F.desc("of_path"), "edge_id").limit(most).collect()]
+        assert found == every and len(found) == min(most, 21) and found[0][:2] == (2, "l2") and found[0][4] == "2 in 1"
+    assert looked_up == [1, 8, 3, 24, 12, 41, 41]
+    found_paths = spark.createDataFrame([("s", t, 2, [e, 9]) for t in "cba" for e in (3, 1, 2)], "seed string, target string, length int, path array<long>")
+    monkeypatch.setattr(plans, "reasoned", lambda spark, sf_dir, found, rows: found)
+    assert sorted((r.target, r.path) for r in plans.first_reasoned(spark, "", found_paths, inc, 2).collect()) == [("a", [1, 9]), ("b", [1, 9])]
+
+
 def test_question(spark):
     inc, nodes, edges, items, chunks, stated = graph_tables(spark)
     vectors = spark.createDataFrame([(i, n, [float(x) for x in models.hashed_vectors([f"alpha {n}" if n in "ac" else f"other{n}"])[0]]) for i, n in enumerate("abcde")], "id long, node string, v array<double>")
